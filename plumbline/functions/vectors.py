@@ -94,20 +94,35 @@ def angle_deg(a: Vec, b: Vec) -> Column:
     )
 
 
+def tilt_deg(n: Vec, up: Vec) -> Column:
+    """Angle between two vectors already of unit length."""
+    cosine = dot(n, up)
+    return F.when(
+        cosine.isNotNull(), F.degrees(F.acos(F.greatest(f64(-1), F.least(f64(1), cosine))))
+    )
+
+
 def ground_axes(up: Vec) -> tuple[Vec, Vec]:
-    """Two unit axes across the ground. The seed is the world axis least aligned with ``up``."""
-    w = unit(up)
-    ax, ay, az = (F.abs(part) for part in w)
+    """Two unit axes across the ground for a unit ``up``.
+
+    The seed is the world axis least aligned with ``up`` (x, then y, on ties), and
+    its cross product with ``up`` is written out per case to keep the plan small.
+    """
+    ax, ay, az = (F.abs(part) for part in up)
     x_least = (ax <= ay) & (ax <= az)
-    y_least = ~x_least & (ay <= az)
-    one, zero = f64(1), f64(0)
-    seed = Vec(
-        F.when(x_least, one).otherwise(zero),
-        F.when(y_least, one).otherwise(zero),
-        F.when(x_least | y_least, zero).otherwise(one),
+    y_least = ay <= az
+    zero = f64(0)
+    size = F.sqrt(
+        F.when(x_least, up.y * up.y + up.z * up.z)
+        .when(y_least, up.x * up.x + up.z * up.z)
+        .otherwise(up.x * up.x + up.y * up.y)
+    )
+    e1 = Vec(
+        F.when(x_least, zero).when(y_least, up.z).otherwise(-up.y) / size,
+        F.when(x_least, -up.z).when(y_least, zero).otherwise(up.x) / size,
+        F.when(x_least, up.y).when(y_least, -up.x).otherwise(zero) / size,
     )
-    e1 = unit(cross(seed, w))
-    return e1, unit(cross(w, e1))
+    return e1, cross(up, e1)
 
 
 def entry(matrix: Column, index: int) -> Column:

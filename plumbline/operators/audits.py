@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import all_finite, f64, half_up
-from plumbline.functions.vectors import Vec, cross, dot, ground_axes, length, unit, vec
+from plumbline.functions.vectors import Vec, cross, dot, ground_axes, unit, vec
 from plumbline.operators.pixels import project
 from plumbline.operators.ranks import exact_nmad, exact_percentiles, with_ordinal
 
@@ -30,7 +30,7 @@ def select_near(points: DataFrame, centres: DataFrame, max_radius: float) -> Dat
     near = F.sequence(F.lit(-1), F.lit(1))
     spread = centres.select("*", cell("cx").alias("gx"), cell("cy").alias("gy"), cell("cz").alias("gz"))
     for g in ("gx", "gy", "gz"):
-        spread = spread.withColumn(g, F.explode(F.transform(near, lambda d, g=g: d + F.col(g))))
+        spread = spread.withColumn(g, F.explode(F.transform(near, lambda d: d + F.col(g))))
     placed = points.withColumns({"gx": cell("x"), "gy": cell("y"), "gz": cell("z")})
     away = [F.col(p) - F.col(c) for p, c in zip("xyz", ("cx", "cy", "cz"))]
     squared = away[0] * away[0] + away[1] * away[1] + away[2] * away[2]
@@ -146,24 +146,31 @@ def coverage(points: DataFrame, cloud: DataFrame, thresholds: DataFrame, keys: l
 
 
 def view_basis(ups: DataFrame, view: str) -> DataFrame:
-    """Screen axes (right, screen up, forward) of a named view, per run."""
-    up = unit(vec("ux", "uy", "uz"))
-    e1, e2 = ground_axes(up)
+    """Screen axes (right, screen up, forward) of a named view, one row per run."""
+    axis = unit(vec("ux", "uy", "uz"))
+    e1, e2 = ground_axes(vec("ux", "uy", "uz"))
+    named = lambda v, n: [part.alias(f"{n}{c}") for part, c in zip(v, "xyz")]
+    axes = ups.select("run_id", *named(axis, "u")).select(
+        "run_id", "ux", "uy", "uz", *named(e1, "a"), *named(e2, "b")
+    )
+    up, a, b = vec("ux", "uy", "uz"), vec("ax", "ay", "az"), vec("bx", "by", "bz")
     neg = lambda v: Vec(-v.x, -v.y, -v.z)
-    if view == "top":
-        right, screen, forward = e1, e2, neg(up)
-    elif view in ("front", "floor"):
-        right, screen, forward = e1, up, e2
-    elif view == "side":
-        right, screen, forward = e2, up, neg(e1)
-    elif view == "iso":
-        forward = unit(Vec(*(-(a + b) * f64(0.7) - u for a, b, u in zip(e1, e2, up))))
-        right = unit(cross(forward, up))
-        screen = unit(cross(right, forward))
-    else:
+    flat = {
+        "top": (a, b, neg(up)),
+        "front": (a, up, b),
+        "floor": (a, up, b),
+        "side": (b, up, neg(a)),
+    }
+    if view in flat:
+        right, screen, forward = flat[view]
+        return axes.select("run_id", *named(right, "r"), *named(screen, "s"), *named(forward, "f"))
+    if view != "iso":
         raise ValueError(f"unknown view {view!r}")
-    named = [("r", right), ("s", screen), ("f", forward)]
-    return ups.select("run_id", *(part.alias(f"{n}{c}") for n, v in named for part, c in zip(v, "xyz")))
+    tipped = unit(Vec(*(-(p + q) * f64(0.7) - u for p, q, u in zip(a, b, up))))
+    ahead = axes.select("run_id", "ux", "uy", "uz", *named(tipped, "f"))
+    f, r = vec("fx", "fy", "fz"), vec("rx", "ry", "rz")
+    sideways = ahead.select("*", *named(unit(cross(f, up)), "r"))
+    return sideways.select("run_id", "rx", "ry", "rz", *named(unit(cross(r, f)), "s"), "fx", "fy", "fz")
 
 
 def raster(points: DataFrame, basis: DataFrame, width: int, height: int, order: list[str]) -> DataFrame:

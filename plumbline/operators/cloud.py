@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import all_finite, f64, finite
-from plumbline.functions.vectors import Vec, ground_axes, dot, length, transform_point
+from plumbline.functions.vectors import Vec, dot, ground_axes, length, transform_point, unit, vec
 from plumbline.operators.pixels import pixel_status, usable_frames
 from plumbline.operators.ranks import exact_percentiles, uniform_sample, with_ordinal
 
@@ -373,11 +373,12 @@ def coloured_runs(frames: DataFrame) -> DataFrame:
 
 def footprint(selection: DataFrame, ups: DataFrame, keys: list[str]) -> DataFrame:
     """Width and depth across the ground of a selection."""
-    up = Vec(F.col("ux"), F.col("uy"), F.col("uz"))
-    e1, e2 = ground_axes(up)
-    p = Vec(F.col("x"), F.col("y"), F.col("z"))
+    axis = unit(vec("ux", "uy", "uz"))
+    axes = ups.select("run_id", *(a.alias(n) for a, n in zip(axis, ("ux", "uy", "uz"))))
+    e1, e2 = ground_axes(vec("ux", "uy", "uz"))
+    p = vec("x", "y", "z")
     placed = (
-        selection.join(ups.select("run_id", "ux", "uy", "uz"), "run_id")
+        selection.join(axes, "run_id")
         .withColumn("_a", dot(p, e1))
         .withColumn("_b", dot(p, e2))
     )

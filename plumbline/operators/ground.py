@@ -20,9 +20,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import all_finite, f64, with_uniform_draw
 from plumbline.functions.vectors import (
-    Plane,
     Vec,
-    angle_deg,
     cross,
     dot,
     ground_axes,
@@ -32,6 +30,7 @@ from plumbline.functions.vectors import (
     plane_elevation_at,
     scaled,
     signed_height,
+    tilt_deg,
     unit,
     vec,
 )
@@ -157,14 +156,6 @@ def draw_triples(sizes: DataFrame, options: GroundOptions) -> DataFrame:
     return base.where((a != b) & (b != c) & (a != c)).drop("m")
 
 
-def plane_through(a: Vec, b: Vec, c: Vec, up: Vec) -> Plane:
-    """Plane of three points with its normal on the up side; NULL when collinear."""
-    raw = unit(cross(minus(b, a), minus(c, a)))
-    flip = F.when(dot(raw, up) < f64(0), f64(-1)).otherwise(f64(1))
-    normal = scaled(raw, flip)
-    return Plane(normal, -dot(normal, a))
-
-
 def candidate_planes(sample: DataFrame, ups: DataFrame, options: GroundOptions) -> DataFrame:
     """One row per usable draw: an up-facing plane inside the tilt gate."""
     sizes = sample.groupBy("run_id").agg(F.max("n").alias("n")).where(F.col("n") >= 3)
@@ -176,24 +167,34 @@ def candidate_planes(sample: DataFrame, ups: DataFrame, options: GroundOptions)
     located = wanted.join(_pool_positions(sample, options.pools), ["run_id", "pool", "at"])
     corner = lambda s, c: F.max(F.when(F.col("slot") == s, F.col(c))).alias(f"{c}{s}")
     corners = located.groupBy(*FIT, "iter").agg(*(corner(s, c) for s in range(3) for c in "xyz"))
-    at = [vec(f"x{s}", f"y{s}", f"z{s}") for s in range(3)]
-    up = vec("ux", "uy", "uz")
-    joined = corners.join(_unit_ups(ups), "run_id")
-    p = plane_through(*at, up)
+    a, b, c = (vec(f"x{s}", f"y{s}", f"z{s}") for s in range(3))
+    up, n = vec("ux", "uy", "uz"), vec("nx", "ny", "nz")
+    names = ("_cx", "_cy", "_cz")
+    across = cross(minus(b, a), minus(c, a))
+    raw = corners.join(_unit_ups(ups), "run_id").select(
+        *FIT, "iter", "ux", "uy", "uz", "x0", "y0", "z0", *(p.alias(k) for p, k in zip(across, names))
+    )
+    # Three points give a plane unless they are collinear; its normal faces up.
+    product = vec(*names)
+    size = length(product)
+    faced = F.when(dot(product, up) < f64(0), f64(-1)).otherwise(f64(1))
+    planes = raw.withColumn("_size", size).where(F.col("_size") > f64(1e-12)).withColumn("_face", faced)
+    normal = planes.select(
+        *FIT,
+        "iter",
+        "x0",
+        "y0",
+        "z0",
+        "ux",
+        "uy",
+        "uz",
+        *((F.col("_face") * F.col(k) / F.col("_size")).alias(m) for k, m in zip(names, ("nx", "ny", "nz"))),
+    )
     return (
-        joined.select(
-            *FIT,
-            "iter",
-            *(part.alias(n) for part, n in zip(p.normal, ("nx", "ny", "nz"))),
-            p.offset.alias("d"),
-            "ux",
-            "uy",
-            "uz",
-        )
-        .where(F.col("nx").isNotNull())
-        .withColumn("tilt_deg", angle_deg(vec("nx", "ny", "nz"), up))
+        normal.withColumn("d", -dot(n, a))
+        .withColumn("tilt_deg", tilt_deg(n, up))
         .where(F.col("tilt_deg") <= f64(options.max_tilt_deg))
-        .drop("ux", "uy", "uz")
+        .select(*FIT, "iter", "nx", "ny", "nz", "d", "tilt_deg")
     )
 
 
@@ -296,7 +297,6 @@ def refine(members: DataFrame, keys: Sequence[str]) -> DataFrame:
     up = vec("ux", "uy", "uz")
     e1, e2 = ground_axes(up)
     p = vec("x", "y", "z")
-    axes = [("e1", e1), ("e2", e2)]
     flat = (
         members.where(F.col("weight") > 0)
         .withColumn("_u", dot(p, e1))
@@ -337,10 +337,12 @@ def refine(members: DataFrame, keys: Sequence[str]) -> DataFrame:
         )
     b1, b2 = ground_axes(up)
     tilt = [F.col("_k0"), F.col("_k1")]
-    normal = unit(
-        Vec(*(w_ - tilt[0] * a - tilt[1] * b for w_, a, b in zip(up, b1, b2)))
+    raw = [w_ - tilt[0] * a - tilt[1] * b for w_, a, b in zip(up, b1, b2)]
+    leaning = solved.select(
+        *keys, "ux", "uy", "uz", "_k2", *(r.alias(c) for r, c in zip(raw, ("_rx", "_ry", "_rz")))
     )
-    named = solved.select(
+    normal = unit(vec("_rx", "_ry", "_rz"))
+    named = leaning.select(
         *keys, "ux", "uy", "uz", "_k2", *(n.alias(c) for n, c in zip(normal, ("nx", "ny", "nz")))
     )
     return named.select(
@@ -362,7 +364,7 @@ def _refine_once(sample: DataFrame, fits: DataFrame, options: GroundOptions) ->
         *FIT, *(F.col(c).alias(f"_{c}") for c in ("nx", "ny", "nz", "d"))
     )
     ups = sample.groupBy("run_id").agg(*(F.first(c).alias(c) for c in ("ux", "uy", "uz")))
-    tilt = angle_deg(vec("_nx", "_ny", "_nz"), vec("ux", "uy", "uz"))
+    tilt = tilt_deg(vec("_nx", "_ny", "_nz"), vec("ux", "uy", "uz"))
     inside = F.coalesce(tilt <= f64(options.max_tilt_deg), F.lit(False))
     outside = F.coalesce(tilt > f64(options.max_tilt_deg), F.lit(False))
     return (
@@ -437,7 +439,7 @@ def fit_sample(sample: DataFrame, ups: DataFrame, options: GroundOptions) -> Dat
         .when(F.col("inlier_count") < options.min_inliers, F.lit("too few inliers"))
         .when(F.col("below_fraction") > f64(options.max_below_fraction), F.lit("too much below the plane"))
     )
-    tilt = angle_deg(vec("nx", "ny", "nz"), vec("ux", "uy", "uz"))
+    tilt = tilt_deg(vec("nx", "ny", "nz"), vec("ux", "uy", "uz"))
     graded = joined.withColumn("tilt_deg", tilt)
     quality = ground_quality(
         F.col("inlier_fraction"), F.col("tilt_deg"), F.col("below_fraction"), F.col("rmse"), options
@@ -559,7 +561,7 @@ def fit_from_seeds(
         ),
     )
     support = plane_support(cloud, planes, ["run_id"], band)
-    tilt = angle_deg(vec("nx", "ny", "nz"), vec("ux", "uy", "uz"))
+    tilt = tilt_deg(vec("nx", "ny", "nz"), vec("ux", "uy", "uz"))
     return (
         planes.join(axes, "run_id")
         .withColumn("tilt_deg", tilt)

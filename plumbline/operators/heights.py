@@ -308,7 +308,7 @@ def connected_voxels(points: DataFrame, keys: list[str], edge: float = 0.05) ->
     near = F.sequence(F.lit(-1), F.lit(1))
     moved = nodes.select(*keys, F.col("node").alias("src"), *at)
     for c in at:
-        moved = moved.withColumn(c, F.explode(F.transform(near, lambda d, c=c: d + F.col(c))))
+        moved = moved.withColumn(c, F.explode(F.transform(near, lambda d: d + F.col(c))))
     edges = moved.join(nodes.select(*keys, *at, F.col("node").alias("dst")), [*keys, *at]).where(
         F.col("src") < F.col("dst")
     )

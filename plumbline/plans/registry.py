@@ -34,12 +34,16 @@ def plan(name: str, covers: str, sql: str | None = None) -> Callable[[Job], Job]
 
 
 def publish(df: DataFrame) -> DataFrame:
-    """Doubles to six decimals (no minus zero), whole numbers to bigint: what the SQL side returns."""
+    """Doubles to six decimals (no minus zero), whole numbers to bigint: what the SQL side returns.
+
+    A billionth is added first: the data is full of exact decimal halves, and two
+    engines that sum in different orders would round those to different sides.
+    """
     out = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            c = F.round(c.cast("double") + F.lit(1e-9), 6) + F.lit(0.0)
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         out.append(c.alias(field.name))
@@ -48,7 +52,7 @@ def publish(df: DataFrame) -> DataFrame:
 
 def r6(expression: str, name: str) -> str:
     """The SQL side of ``publish`` for one double."""
-    return f"round({expression}, 6) + 0e0 AS {name}"
+    return f"round(({expression}) + 1e-9, 6) + 0e0 AS {name}"
 
 
 def r6s(*names: str) -> str:

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.cloud import thin_to
 from plumbline.operators.trials import fixed, trial_stats
 
 
+def seven_digits(value: Column) -> Column:
+    """Seven significant digits without trailing zeros."""
+    padded = F.format_string("%.7g", value)
+    short = F.regexp_replace(padded, r"(\.\d*?)0+($|e)", "$1$2")
+    return F.regexp_replace(short, r"\.($|e)", "$1")
+
+
 def cloud_lines(points: DataFrame, max_points: int, order: list[str]) -> DataFrame:
     """One text line per kept point (x y z r g b), in stored order."""
     kept = thin_to(points, max_points, order)
@@ -16,10 +23,10 @@ def cloud_lines(points: DataFrame, max_points: int, order: list[str]) -> DataFra
     return kept.select(
         "run_id",
         "ord",
-        F.format_string(
-            "%.7g %.7g %.7g %d %d %d",
-            *(F.col(c) for c in "xyz"),
-            *(F.coalesce(c, F.lit(0)).cast("int") for c in colour),
+        F.concat_ws(
+            " ",
+            *(seven_digits(F.col(c)) for c in "xyz"),
+            *(F.coalesce(c, F.lit(0)).cast("int").cast("string") for c in colour),
         ).alias("line"),
     )
 
