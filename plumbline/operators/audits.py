@@ -198,17 +198,20 @@ def raster(points: DataFrame, basis: DataFrame, width: int, height: int, order:
     framed = box.withColumn("_k", scale).select("run_id", "_u0", "_v0", "_k", left.alias("_l"), down.alias("_b"))
     cells = (
         placed.join(framed, "run_id")
-        .withColumn("px", half_up(F.col("_l") + (F.col("_u") - F.col("_u0")) * F.col("_k")))
-        .withColumn("py", half_up(F.col("_b") - (F.col("_v") - F.col("_v0")) * F.col("_k")))
+        .withColumn("cell_x", half_up(F.col("_l") + (F.col("_u") - F.col("_u0")) * F.col("_k")))
+        .withColumn("cell_y", half_up(F.col("_b") - (F.col("_v") - F.col("_v0")) * F.col("_k")))
         .where(
-            (F.col("px") >= 0) & (F.col("py") >= 0) & (F.col("px") < width) & (F.col("py") < height)
+            (F.col("cell_x") >= 0)
+            & (F.col("cell_y") >= 0)
+            & (F.col("cell_x") < width)
+            & (F.col("cell_y") < height)
         )
     )
     selected = F.coalesce(F.col("selected"), F.lit(False)) if "selected" in points.columns else F.lit(False)
     rank = F.struct(selected.alias("s"), F.when(selected, f64(0)).otherwise(-F.col("_w")).alias("w"), *order)
     front = F.max_by(F.struct(F.col("_w").alias("depth"), selected.alias("selected"), *order), rank)
-    return cells.groupBy("run_id", "px", "py").agg(front.alias("p"), F.count(F.lit(1)).alias("points")).select(
-        "run_id", "px", "py", "points", "p.depth", "p.selected"
+    return cells.groupBy("run_id", "cell_x", "cell_y").agg(front.alias("p"), F.count(F.lit(1)).alias("points")).select(
+        "run_id", "cell_x", "cell_y", "points", "p.depth", "p.selected"
     )
 
 

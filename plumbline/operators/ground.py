@@ -117,10 +117,10 @@ def _pool_size(n: Column, pool: float) -> Column:
 
 def _pool_positions(sample: DataFrame, pools: Sequence[float]) -> DataFrame:
     """Every proposal point with its position in each pool (stored order, or lowest first)."""
-    keep = ["run_id", "pool", "at", "x", "y", "z"]
+    keep = ["run_id", "pool", "place", "x", "y", "z"]
     parts: list[DataFrame] = []
     if any(p >= 1 for p in pools):
-        parts.append(sample.withColumn("pool", f64(1)).withColumn("at", F.col("pos")).select(*keep))
+        parts.append(sample.withColumn("pool", f64(1)).withColumn("place", F.col("pos")).select(*keep))
     low = [p for p in pools if p < 1]
     if low:
         ranked = with_rank(sample, ["run_id"], F.col("along"), ["pos"])
@@ -129,7 +129,7 @@ def _pool_positions(sample: DataFrame, pools: Sequence[float]) -> DataFrame:
             ranked.withColumn("_p", F.explode(wanted))
             .where(F.col("rank") <= F.col("_p.m"))
             .withColumn("pool", F.col("_p.p"))
-            .withColumn("at", F.col("rank") - 1)
+            .withColumn("place", F.col("rank") - 1)
             .select(*keep)
         )
     out = parts[0]
@@ -160,11 +160,11 @@ def candidate_planes(sample: DataFrame, ups: DataFrame, options: GroundOptions)
     """One row per usable draw: an up-facing plane inside the tilt gate."""
     sizes = sample.groupBy("run_id").agg(F.max("n").alias("n")).where(F.col("n") >= 3)
     triples = draw_triples(sizes, options)
-    slots = F.array(*(F.struct(F.lit(s).alias("slot"), F.col(f"at{s}").alias("at")) for s in range(3)))
+    slots = F.array(*(F.struct(F.lit(s).alias("slot"), F.col(f"at{s}").alias("place")) for s in range(3)))
     wanted = triples.withColumn("_s", F.explode(slots)).select(
-        *FIT, "iter", F.col("_s.slot").alias("slot"), F.col("_s.at").alias("at")
+        *FIT, "iter", F.col("_s.slot").alias("slot"), F.col("_s.place").alias("place")
     )
-    located = wanted.join(_pool_positions(sample, options.pools), ["run_id", "pool", "at"])
+    located = wanted.join(_pool_positions(sample, options.pools), ["run_id", "pool", "place"])
     corner = lambda s, c: F.max(F.when(F.col("slot") == s, F.col(c))).alias(f"{c}{s}")
     corners = located.groupBy(*FIT, "iter").agg(*(corner(s, c) for s in range(3) for c in "xyz"))
     a, b, c = (vec(f"x{s}", f"y{s}", f"z{s}") for s in range(3))
@@ -214,13 +214,15 @@ def score_planes(sample: DataFrame, candidates: DataFrame, band: float) -> DataF
     )
     spans = sample.groupBy("run_id").agg(F.max("pos").alias("_last"))
     per_block = candidates.join(spans, "run_id").select(
-        *FIT,
+        F.col("run_id").alias("fit_run"),
+        "seed",
+        "pool",
         "iter",
         "nx",
         "ny",
         "nz",
         "d",
-        F.explode(F.expr(f"sequence(0L, _last div {BLOCK})")).alias("block"),
+        F.explode(F.expr(f"sequence(0L, _last div {BLOCK})")).alias("fit_block"),
     )
 
     def score(points: pd.DataFrame, planes: pd.DataFrame) -> pd.DataFrame:
@@ -234,7 +236,7 @@ def score_planes(sample: DataFrame, candidates: DataFrame, band: float) -> DataF
             parts.append(
                 pd.DataFrame(
                     {
-                        "run_id": some["run_id"].to_numpy(),
+                        "run_id": some["fit_run"].to_numpy(),
                         "seed": some["seed"].to_numpy(),
                         "pool": some["pool"].to_numpy(),
                         "iter": some["iter"].to_numpy(),
@@ -254,7 +256,7 @@ def score_planes(sample: DataFrame, candidates: DataFrame, band: float) -> DataF
     )
     partial = (
         blocks.groupBy("run_id", "block")
-        .cogroup(per_block.groupBy("run_id", "block"))
+        .cogroup(per_block.groupBy("fit_run", "fit_block"))
         .applyInPandas(score, schema)
     )
     return partial.groupBy(*FIT, "iter").agg(
@@ -367,7 +369,8 @@ def _refine_once(sample: DataFrame, fits: DataFrame, options: GroundOptions) ->
     tilt = tilt_deg(vec("_nx", "_ny", "_nz"), vec("ux", "uy", "uz"))
     inside = F.coalesce(tilt <= f64(options.max_tilt_deg), F.lit(False))
     outside = F.coalesce(tilt > f64(options.max_tilt_deg), F.lit(False))
-    return (
+    # A handful of rows per run, read three times by the next step.
+    return cut_lineage(
         fits.join(better, FIT, "left")
         .join(ups, "run_id")
         .withColumn("_ok", inside)
@@ -545,7 +548,8 @@ def fit_from_seeds(
     """Plane through operator-picked points, refined once on its own inliers."""
     axes = _unit_ups(ups)
     picked = seeds.select("run_id", "x", "y", "z", f64(1).alias("weight")).join(axes, "run_id")
-    seeded = refine(picked, ["run_id"]).where(F.col("nx").isNotNull())
+    seeded = cut_lineage(refine(picked, ["run_id"]))
+    seeded = seeded.where(F.col("nx").isNotNull())
     cloud = points.select("run_id", "x", "y", "z", "weight").join(axes, "run_id")
     inliers = cloud.join(seeded, "run_id").where(
         F.abs(signed_height(plane(), vec("x", "y", "z"))) <= f64(band)
@@ -553,12 +557,14 @@ def fit_from_seeds(
     enough = inliers.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 3)
     better = refine(inliers.drop("nx", "ny", "nz", "d"), ["run_id"]).join(enough, "run_id", "left_semi")
     renamed = better.select("run_id", *(F.col(c).alias(f"_{c}") for c in ("nx", "ny", "nz", "d")))
-    planes = seeded.join(renamed, "run_id", "left").select(
-        "run_id",
-        *(
-            F.when(F.col("_nx").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
-            for c in ("nx", "ny", "nz", "d")
-        ),
+    planes = cut_lineage(
+        seeded.join(renamed, "run_id", "left").select(
+            "run_id",
+            *(
+                F.when(F.col("_nx").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
+                for c in ("nx", "ny", "nz", "d")
+            ),
+        )
     )
     support = plane_support(cloud, planes, ["run_id"], band)
     tilt = tilt_deg(vec("nx", "ny", "nz"), vec("ux", "uy", "uz"))

@@ -8,7 +8,7 @@ the bins with partial aggregation, and then sorts only inside a bin.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from plumbline.functions.numbers import f64, finite
 
 BINS = 2048
+SKETCH_ACCURACY = 1000
+# Three times the sketch's rank error on each side.
+BRACKET = 3.0 / SKETCH_ACCURACY
 NMAD_SCALE = 1.4826
 
 
@@ -55,50 +58,73 @@ def _bin_offsets(binned: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def upper_middle(n: Column) -> Column:
+    """Rank of the upper of the two middle values (the middle one of an odd group)."""
+    return (F.floor(n / f64(2)) + 1).cast("long")
+
+
 def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: Column, probs: Mapping[str, float]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: Column,
+    probs: Mapping[str, float],
+    ranks: Mapping[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """Nearest-rank percentiles per group: ``keys``, one column per name, and ``n``.
 
-    Exact for any group size. Passes: a sketch, a bin count, and one sort of the
-    distinct values of the single bin that holds each wanted rank.
+    Exact for any group size, in two passes. A mergeable sketch with a guaranteed
+    rank error brackets each wanted rank; then everything under a bracket is
+    counted and only the values inside it (under 1 % of the group) are told apart.
+    ``ranks`` replaces the nearest-rank rule of a name, within the bracket of its p.
     """
     values = df.select(*keys, value.cast("double").alias("_v")).where(finite(F.col("_v")))
-    binned = _binned(values, keys)
-    offsets = _bin_offsets(binned, keys)
+    names = list(probs)
+    ends = [max(0.0, probs[k] / 100.0 - BRACKET) for k in names]
+    ends += [min(1.0, probs[k] / 100.0 + BRACKET) for k in names]
+    marks = values.groupBy(*keys).agg(
+        F.percentile_approx("_v", ends, F.lit(SKETCH_ACCURACY)).alias("_m"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+
+    def rank(i: int, name: str) -> Column:
+        if ranks and name in ranks:
+            return ranks[name](F.col("_n"))
+        return nearest_rank(F.col("_n"), probs[name])
+
     wanted = F.array(
         *(
-            F.struct(F.lit(name).alias("name"), nearest_rank(F.col("_n"), p).alias("rank"))
-            for name, p in probs.items()
-        )
-    )
-    picks = (
-        offsets.withColumn("_w", F.explode(wanted))
-        .where((F.col("_w.rank") > F.col("_before")) & (F.col("_w.rank") <= F.col("_through")))
-        .select(
-            *keys,
-            "_bin",
-            F.col("_w.name").alias("_name"),
-            (F.col("_w.rank") - F.col("_before")).alias("_want"),
-            "_n",
+            F.struct(
+                F.lit(i).alias("i"),
+                F.col("_m")[i].alias("lo"),
+                F.col("_m")[len(names) + i].alias("hi"),
+                rank(i, name).alias("rank"),
+            )
+            for i, name in enumerate(names)
         )
     )
+    brackets = marks.select(*keys, "_n", wanted.alias("_w"))
+    inside = F.when(F.col("_v") >= F.col("_b.lo"), F.col("_v"))
     counted = (
-        binned.join(picks, [*keys, "_bin"])
-        .groupBy(*keys, "_name", "_want", "_n", "_v")
+        values.join(brackets, list(keys))
+        .select(*keys, "_n", "_v", F.explode("_w").alias("_b"))
+        .where(F.col("_v") <= F.col("_b.hi"))
+        .groupBy(*keys, "_n", F.col("_b.i").alias("_i"), F.col("_b.rank").alias("_rank"), inside.alias("_x"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     running = (
-        W.partitionBy(*keys, "_name")
-        .orderBy("_v")
+        W.partitionBy(*keys, "_i")
+        .orderBy(F.asc_nulls_first("_x"))
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    hit = counted.withColumn("_cum", F.sum("_c").over(running)).where(
-        (F.col("_want") <= F.col("_cum")) & (F.col("_want") > F.col("_cum") - F.col("_c"))
+    reached = counted.withColumn("_cum", F.sum("_c").over(running)).where(F.col("_cum") >= F.col("_rank"))
+    # The first value to reach the rank. Nothing there would mean the bracket
+    # missed it, which the sketch rules out; fail rather than answer wrongly.
+    first = lambda i: F.min_by(
+        F.coalesce("_x", F.raise_error(F.lit("percentile bracket missed its rank")).cast("double")),
+        F.when(F.col("_i") == i, F.col("_cum")),
     )
-    return hit.groupBy(*keys).agg(
-        *(F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in probs),
-        F.max("_n").alias("n"),
+    return reached.groupBy(*keys).agg(
+        *(first(i).alias(name) for i, name in enumerate(names)), F.max("_n").alias("n")
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import f64, finite
-from plumbline.operators.ranks import exact_percentiles
+from plumbline.operators.ranks import exact_percentiles, upper_middle
 
 # The accepted modes, and whether each may see reference geometry.
 SCALE_MODES = ["camera_height", "trajectory", "metric_model", "known_object", "oracle_reference"]
@@ -50,10 +50,10 @@ def request_faults(observations: DataFrame) -> DataFrame:
 
 def even_median(df: DataFrame, keys: list[str], value: Column, out: str) -> DataFrame:
     """Median that averages the two middle values of an even group, for groups of any size."""
-    lower = exact_percentiles(df, keys, value, {"_lo": 50}).select(*keys, "_lo", "n")
-    # The upper middle is the lower median of the negated values.
-    upper = exact_percentiles(df, keys, -value, {"_hi": 50}).select(*keys, "_hi")
-    return lower.join(upper, keys).select(*keys, ((F.col("_lo") - F.col("_hi")) / f64(2)).alias(out))
+    middle = exact_percentiles(
+        df, keys, value, {"_lo": 50, "_hi": 50}, ranks={"_hi": upper_middle}
+    )
+    return middle.select(*keys, ((F.col("_lo") + F.col("_hi")) / f64(2)).alias(out))
 
 
 def camera_height_scale(observations: DataFrame) -> DataFrame:

@@ -427,9 +427,9 @@ def coverage_audit(spark: SparkSession, sf: str) -> DataFrame:
               CAST(floor(15e1 - (15e1 - (v1 - v0) * k) / 2e0 - (v - v0) * k + 5e-1) AS BIGINT) AS cy FROM p JOIN k USING (run_id)),
     ranked AS (SELECT *, count(*) OVER (PARTITION BY run_id, cx, cy) AS points,
                row_number() OVER (PARTITION BY run_id, cx, cy ORDER BY sel DESC, CASE WHEN sel THEN 0e0 ELSE w END,
-                 frame DESC, px DESC, x DESC, y DESC, z DESC, weight DESC, confidence DESC, r DESC, g DESC, b DESC) AS at
+                 frame DESC, px DESC, x DESC, y DESC, z DESC, weight DESC, confidence DESC, r DESC, g DESC, b DESC) AS place
                FROM cells WHERE cx BETWEEN 0 AND 199 AND cy BETWEEN 0 AND 149)
-    SELECT run_id, cx AS px, cy AS py, points, round(w + 1e-9, 6) + 0e0 AS depth, sel AS selected FROM ranked WHERE at = 1""",
+    SELECT run_id, cx AS cell_x, cy AS cell_y, points, round(w + 1e-9, 6) + 0e0 AS depth, sel AS selected FROM ranked WHERE place = 1""",
 )
 def view_raster(spark: SparkSession, sf: str) -> DataFrame:
     points = A.points(spark, sf)
