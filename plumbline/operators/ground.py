@@ -138,35 +138,43 @@ def _pool_positions(sample: DataFrame, pools: Sequence[float]) -> DataFrame:
     return out
 
 
-def draw_triples(sizes: DataFrame, options: GroundOptions) -> DataFrame:
-    """Three pool positions per iteration, per (run, seed, pool); repeats dropped."""
+def draw_positions(sizes: DataFrame, options: GroundOptions) -> DataFrame:
+    """Three pool positions per iteration, one row per draw, per (run, seed, pool)."""
     pools = F.array(*(F.struct(f64(p).alias("p"), _pool_size(F.col("n"), p).alias("m")) for p in options.pools))
     base = (
         sizes.withColumn("seed", F.explode(F.array(*(F.lit(s) for s in options.seeds))))
         .withColumn("_p", F.explode(pools))
-        .withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(options.iterations - 1))))
-        .select("run_id", "seed", F.col("_p.p").alias("pool"), F.col("_p.m").alias("m"), "iter")
+        .withColumn("nth", F.explode(F.sequence(F.lit(1), F.lit(3 * options.iterations))))
+    )
+    drawn = with_uniform_draw(base, F.col("seed"), F.col("nth"), "_r")
+    place = F.least(F.col("_p.m") - 1, F.floor(F.col("_r") * F.col("_p.m"))).cast("long")
+    return drawn.select(
+        "run_id",
+        "seed",
+        F.col("_p.p").alias("pool"),
+        F.expr("(nth - 1) div 3").cast("int").alias("iter"),
+        ((F.col("nth") - 1) % 3).alias("slot"),
+        place.alias("place"),
     )
-    for slot in range(3):
-        drawn = with_uniform_draw(base, F.col("seed"), F.col("iter") * 3 + (slot + 1), "_r")
-        base = drawn.withColumn(
-            f"at{slot}", F.least(F.col("m") - 1, F.floor(F.col("_r") * F.col("m"))).cast("long")
-        ).drop("_r")
-    a, b, c = (F.col(f"at{s}") for s in range(3))
-    return base.where((a != b) & (b != c) & (a != c)).drop("m")
 
 
 def candidate_planes(sample: DataFrame, ups: DataFrame, options: GroundOptions) -> DataFrame:
     """One row per usable draw: an up-facing plane inside the tilt gate."""
     sizes = sample.groupBy("run_id").agg(F.max("n").alias("n")).where(F.col("n") >= 3)
-    triples = draw_triples(sizes, options)
-    slots = F.array(*(F.struct(F.lit(s).alias("slot"), F.col(f"at{s}").alias("place")) for s in range(3)))
-    wanted = triples.withColumn("_s", F.explode(slots)).select(
-        *FIT, "iter", F.col("_s.slot").alias("slot"), F.col("_s.place").alias("place")
+    located = draw_positions(sizes, options).join(
+        _pool_positions(sample, options.pools), ["run_id", "pool", "place"]
     )
-    located = wanted.join(_pool_positions(sample, options.pools), ["run_id", "pool", "place"])
     corner = lambda s, c: F.max(F.when(F.col("slot") == s, F.col(c))).alias(f"{c}{s}")
-    corners = located.groupBy(*FIT, "iter").agg(*(corner(s, c) for s in range(3) for c in "xyz"))
+    corners = located.groupBy(*FIT, "iter").agg(
+        F.min("place").alias("_p0"),
+        F.max("place").alias("_p2"),
+        F.sum("place").alias("_ps"),
+        *(corner(s, c) for s in range(3) for c in "xyz"),
+    )
+    # A draw that repeats a point is dropped: three places are distinct when the
+    # middle one equals neither end.
+    middle = F.col("_ps") - F.col("_p0") - F.col("_p2")
+    corners = corners.where((middle > F.col("_p0")) & (middle < F.col("_p2")))
     a, b, c = (vec(f"x{s}", f"y{s}", f"z{s}") for s in range(3))
     up, n = vec("ux", "uy", "uz"), vec("nx", "ny", "nz")
     names = ("_cx", "_cy", "_cz")

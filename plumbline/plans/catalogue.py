@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import cloud_plans, ground_plans, pixel_plans, pose_plans  # noqa: F401
+from plumbline.plans import cloud_plans, ground_plans, measure_plans, pixel_plans, pose_plans  # noqa: F401
 from plumbline.plans.registry import PLANS
 
 __all__ = ["PLANS"]
