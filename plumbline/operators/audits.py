@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.numbers import all_finite, f64, half_up
 from plumbline.functions.vectors import Vec, cross, dot, ground_axes, unit, vec
 from plumbline.operators.pixels import project
-from plumbline.operators.ranks import exact_nmad, exact_percentiles, with_ordinal
+from plumbline.operators.ranks import exact_nmad, exact_percentiles, exploded, with_ordinal
 
 MAX_MARKS = 6000
 WIPED_BELOW = 0.02
@@ -35,7 +35,7 @@ def select_near(points: DataFrame, centres: DataFrame, max_radius: float) -> Dat
     away = [F.col(p) - F.col(c) for p, c in zip("xyz", ("cx", "cy", "cz"))]
     squared = away[0] * away[0] + away[1] * away[1] + away[2] * away[2]
     return (
-        placed.join(spread, ["run_id", "gx", "gy", "gz"])
+        placed.join(exploded(spread), ["run_id", "gx", "gy", "gz"])
         .where(squared <= F.col("radius") * F.col("radius"))
         .drop("gx", "gy", "gz", "cx", "cy", "cz", "radius")
     )
@@ -97,7 +97,7 @@ def round_trip(points: DataFrame, cameras: DataFrame, masks: DataFrame) -> DataF
     )
     keys = ["run_id", "object_id", "frame"]
     return (
-        placed.join(grown, [*keys, "x", "y"], "left")
+        placed.join(exploded(grown), [*keys, "x", "y"], "left")
         .groupBy(*keys)
         .agg(
             F.count_if(F.col("_hit").isNotNull()).alias("hits"),

@@ -34,7 +34,7 @@ from plumbline.functions.vectors import (
     unit,
     vec,
 )
-from plumbline.operators.ranks import exact_percentiles, with_ordinal, with_rank
+from plumbline.operators.ranks import exact_percentiles, exploded, with_ordinal, with_rank
 from plumbline.session import cut_lineage
 
 BELOW_M = 0.05
@@ -148,6 +148,8 @@ def draw_positions(sizes: DataFrame, options: GroundOptions) -> DataFrame:
     )
     drawn = with_uniform_draw(base, F.col("seed"), F.col("nth"), "_r")
     place = F.least(F.col("_p.m") - 1, F.floor(F.col("_r") * F.col("_p.m"))).cast("long")
+    # Never NULL; said so, the join adds no null test that would compute it twice.
+    place = F.coalesce(place, F.lit(0).cast("long"))
     return drawn.select(
         "run_id",
         "seed",
@@ -161,7 +163,7 @@ def draw_positions(sizes: DataFrame, options: GroundOptions) -> DataFrame:
 def candidate_planes(sample: DataFrame, ups: DataFrame, options: GroundOptions) -> DataFrame:
     """One row per usable draw: an up-facing plane inside the tilt gate."""
     sizes = sample.groupBy("run_id").agg(F.max("n").alias("n")).where(F.col("n") >= 3)
-    located = draw_positions(sizes, options).join(
+    located = exploded(draw_positions(sizes, options)).join(
         _pool_positions(sample, options.pools), ["run_id", "pool", "place"]
     )
     corner = lambda s, c: F.max(F.when(F.col("slot") == s, F.col(c))).alias(f"{c}{s}")

@@ -24,7 +24,7 @@ from plumbline.functions.vectors import (
     signed_height,
     vec,
 )
-from plumbline.operators.ranks import NMAD_SCALE
+from plumbline.operators.ranks import NMAD_SCALE, exploded
 from plumbline.session import cut_lineage
 
 OBJECT = ["run_id", "object_id", "frame"]
@@ -37,12 +37,17 @@ def grouped_percentile(column: str, p: float) -> Column:
 
 
 def object_heights(points: DataFrame, planes: DataFrame) -> DataFrame:
-    """Finite heights of masked points over their run's plane, placed by object."""
+    """Finite heights of masked points over their run's plane, placed by object.
+
+    Written once: every measurement below reads these few points several times,
+    and the frames, masks and plane behind them are costly to derive again.
+    """
     normals = planes.select("run_id", "nx", "ny", "nz", "d")
-    return (
+    return cut_lineage(
         points.join(normals, "run_id")
         .withColumn("h", signed_height(plane(), vec("x", "y", "z")))
         .where(finite(F.col("h")))
+        .drop("nx", "ny", "nz", "d")
         .repartition(*OBJECT)
     )
 
@@ -309,7 +314,7 @@ def connected_voxels(points: DataFrame, keys: list[str], edge: float = 0.05) ->
     moved = nodes.select(*keys, F.col("node").alias("src"), *at)
     for c in at:
         moved = moved.withColumn(c, F.explode(F.transform(near, lambda d: d + F.col(c))))
-    edges = moved.join(nodes.select(*keys, *at, F.col("node").alias("dst")), [*keys, *at]).where(
+    edges = exploded(moved).join(nodes.select(*keys, *at, F.col("node").alias("dst")), [*keys, *at]).where(
         F.col("src") < F.col("dst")
     )
     both = cut_lineage(

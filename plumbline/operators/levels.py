@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import f64, finite
 from plumbline.functions.vectors import dot, ground_axes, plane, signed_height, vec
-from plumbline.operators.ranks import exact_nmad, exact_percentiles, with_ordinal
+from plumbline.operators.ranks import exact_nmad, exact_percentiles, exploded, with_ordinal
 from plumbline.session import cut_lineage
 
 LEVEL = ["run_id", "bin"]
@@ -114,7 +114,7 @@ def horizontal_levels(
     h = F.col("h")
     band = (
         profile.where(F.col("bin").isNotNull())
-        .join(near, LEVEL)
+        .join(exploded(near), LEVEL)
         .where(
             (h >= F.col("centre") - f64(options.half_band))
             & (h < F.col("centre") + f64(options.half_band))

@@ -16,6 +16,7 @@ from plumbline.functions.vectors import (
     unit,
     vec,
 )
+from plumbline.operators.ranks import exploded
 
 MIN_COHERENCE = 0.7
 
@@ -168,7 +169,7 @@ def verify_track(track: DataFrame, apexes: DataFrame, extents: DataFrame) -> Dat
             f"g{axis}", F.explode(F.transform(near, lambda d: d + cell(f"a{axis}")))
         )
     close = (
-        placed.join(apex_cells.drop("tol"), ["run_id", "gx", "gy", "gz"])
+        placed.join(exploded(apex_cells.drop("tol")), ["run_id", "gx", "gy", "gz"])
         .where(distance(vec("x", "y", "z"), vec("ax", "ay", "az")) <= F.col("tol"))
         .groupBy("run_id")
         .agg(F.count_distinct("i").alias("near_poses"))

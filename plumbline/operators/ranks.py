@@ -23,6 +23,11 @@ BRACKET = 3.0 / SKETCH_ACCURACY
 NMAD_SCALE = 1.4826
 
 
+def exploded(df: DataFrame) -> DataFrame:
+    """Mark a join side that was unnested: its size estimate is that of the rows before, so never broadcast it."""
+    return df.hint("merge")
+
+
 def nearest_rank(n: Column, p: float | Column) -> Column:
     """1-based nearest rank of percentile ``p`` (0..100) among ``n`` values."""
     share = f64(p / 100.0) if isinstance(p, (int, float)) else p / f64(100)

@@ -13,6 +13,7 @@ from plumbline.plans import adapters as A
 from plumbline.plans.pixel_plans import ERODED, FLOOR20, SELECTED, selected_points
 from plumbline.plans.pose_plans import GRAVITY
 from plumbline.plans.registry import plan, publish, r6, r6s
+from plumbline.session import cut_lineage
 
 LEVELS = """b AS (SELECT run_id, CAST(floor((y + 25e-2) / 5e-3) AS BIGINT) AS bin, count(*) AS n FROM pts
           WHERE y >= -25e-2 AND y < 3e0 GROUP BY ALL),
@@ -149,7 +150,7 @@ MIN_POINTS = 8
 
 def object_cloud(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(kept mask points, planes): gravity from the poses, offset from the low quantile."""
-    kept = (
+    kept = cut_lineage(
         selected_points(spark, sf)
         .where(F.col("status") == "kept")
         .select("run_id", "object_id", "frame", "x", "y", "depth", "wx", "wy", "wz")
@@ -161,8 +162,7 @@ def object_cloud(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         "run_id", F.col("ux").alias("nx"), F.col("uy").alias("ny"), F.col("uz").alias("nz")
     )
     cloud = kept.withColumn("weight", f64(1)).withColumn("px", F.col("px_y") * 8 + F.col("px_x"))
-    planes = ground.anchor_to_low_quantile(cloud, normals)
-    return kept, planes
+    return kept, cut_lineage(ground.anchor_to_low_quantile(cloud, normals))
 
 
 @plan(
