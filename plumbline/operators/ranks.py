@@ -177,10 +177,10 @@ def with_ordinal(
     )
     inside = W.partitionBy(*keys, block).orderBy(*order)
     return (
-        df.withColumn("_at", F.row_number().over(inside) - 1)
+        df.withColumn("_in_block", F.row_number().over(inside) - 1)
         .join(starts, [*keys, block])
-        .withColumn(out, (F.col("_start") + F.col("_at")).cast("long"))
-        .drop("_at", "_start")
+        .withColumn(out, (F.col("_start") + F.col("_in_block")).cast("long"))
+        .drop("_in_block", "_start")
     )
 
 
