@@ -116,62 +116,61 @@ def frame_floors(status: DataFrame, options: CloudOptions) -> DataFrame:
     else:
         raise ValueError(f"unknown confidence rule {options.confidence!r}")
     threshold = F.when(F.col("_mapped") > 0, floor).otherwise(f64(0))
-    return stats.select(*FRAME, "pixels", "usable", "edges", threshold.alias("threshold"))
-
+    return stats.select(
+        *FRAME,
+        "pixels",
+        "usable",
+        "edges",
+        threshold.alias("threshold"),
+        F.col("_lo").alias("conf_low"),
+        span.alias("conf_span"),
+    )
 
-def _candidates(frames: DataFrame, options: CloudOptions) -> DataFrame:
-    """Valid pixels over their frame's floor, on the stride grid.
 
-    Frames are spread by (run, frame) while still packed; both the floor
-    aggregate and the second unnesting then run where the frame already is, and
-    no pixel row is shuffled or sorted.
-    """
-    spread = usable_frames(frames).repartition(*FRAME)
-    status_args = dict(
+def _status_args(options: CloudOptions) -> dict[str, float]:
+    return dict(
         max_relative_step=options.max_relative_step,
         min_depth=options.min_depth,
         max_depth=options.max_depth,
     )
-    floors = frame_floors(pixel_status(spread, **status_args), options)
-    colours = [c for c in ("r", "g", "b") if c in frames.columns]
-    pixels = pixel_status(spread, **status_args).where(F.col("status") == "valid")
-    # One floor per frame: the planner broadcasts it or merges on the existing spread.
-    kept = pixels.join(floors.select(*FRAME, "threshold"), FRAME).where(
-        F.col("confidence").isNull() | (F.col("confidence") >= F.col("threshold"))
-    )
-    if options.pixel_stride > 1:
-        s = options.pixel_stride
-        kept = kept.where((F.col("x") % s == 0) & (F.col("y") % s == 0))
-    return kept.select(
-        *FRAME, "px", "wx", "wy", "wz", "confidence", *colours
-    )
 
 
-def _weighted(candidates: DataFrame, frames: DataFrame, options: CloudOptions) -> DataFrame:
+def _candidates(frames: DataFrame, options: CloudOptions) -> DataFrame:
+    """Valid pixels over their frame's floor, on the stride grid, with their weight.
+
+    Frames are spread by (run, frame) while still packed. The floor aggregate runs
+    where the frame is and its one row joins the packed frame, not the pixels, so
+    no pixel row is shuffled, and only rank weights sort (inside a frame).
+    """
+    spread = usable_frames(frames)
+    args = _status_args(options)
+    marks = ["threshold", "conf_low", "conf_span"]
+    if options.confidence != "none" or options.weight == "rank":
+        spread = spread.repartition(*FRAME)
+        floors = frame_floors(pixel_status(spread, **args), options).select(*FRAME, *marks)
+        spread = spread.join(floors.hint("shuffle_hash"), FRAME)
+    else:
+        spread = spread.withColumns({m: f64(0) for m in marks})
+    pixels = pixel_status(spread, **args, carry=marks).where(F.col("status") == "valid")
+    confidence = F.col("confidence")
     if options.weight == "none":
-        return candidates.withColumn("weight", f64(1))
-    if options.weight == "linear":
-        return candidates.withColumn("weight", F.coalesce(F.col("confidence"), f64(1)))
-    if options.weight != "rank":
+        weight = f64(1)
+    elif options.weight == "linear":
+        weight = F.coalesce(confidence, f64(1))
+    elif options.weight == "rank":
+        bin_ = F.floor((confidence - F.col("conf_low")) / F.col("conf_span") * f64(HISTOGRAM_TOP))
+        rank = F.cume_dist().over(W.partitionBy(*FRAME).orderBy(bin_))
+        weight = F.when(confidence.isNull(), f64(1)).otherwise(rank)
+    else:
         raise ValueError(f"unknown weight rule {options.weight!r}")
-    status = pixel_status(
-        usable_frames(frames).repartition(*FRAME),
-        max_relative_step=options.max_relative_step,
-        min_depth=options.min_depth,
-        max_depth=options.max_depth,
-    )
-    histogram = confidence_histogram(status)
-    ranks = histogram.select(*FRAME, "bin", "lo", "span", (F.col("cum") / F.col("total")).alias("weight"))
-    ends = ranks.select(*FRAME, "lo", "span").distinct()
-    bin_ = F.floor((F.col("confidence") - F.col("lo")) / F.col("span") * f64(HISTOGRAM_TOP))
-    return (
-        candidates.join(ends, FRAME, "left")
-        .withColumn("bin", bin_.cast("int"))
-        .drop("lo", "span")
-        .join(ranks.drop("lo", "span"), [*FRAME, "bin"], "left")
-        .withColumn("weight", F.coalesce(F.col("weight"), f64(1)))
-        .drop("bin")
+    kept = pixels.withColumn("weight", weight).where(
+        confidence.isNull() | (confidence >= F.col("threshold"))
     )
+    if options.pixel_stride > 1:
+        s = options.pixel_stride
+        kept = kept.where((F.col("x") % s == 0) & (F.col("y") % s == 0))
+    colours = [c for c in ("r", "g", "b") if c in frames.columns]
+    return kept.select(*FRAME, "px", "wx", "wy", "wz", "confidence", "weight", *colours)
 
 
 def build_cloud(
@@ -182,7 +181,7 @@ def build_cloud(
     With ``voxel_m`` a row is an occupied cell, ``frame`` and ``px`` are its
     lowest contributor. Weights have mean 1 per run.
     """
-    points = _weighted(_candidates(frames, options), frames, options)
+    points = _candidates(frames, options)
     at = Vec(F.col("wx"), F.col("wy"), F.col("wz"))
     if alignments is not None:
         points = points.join(alignments.select("run_id", "alignment"), "run_id", "left")
@@ -213,15 +212,11 @@ def mean_one_weights(points: DataFrame) -> DataFrame:
 
 def frame_contributions(frames: DataFrame, options: CloudOptions = CloudOptions()) -> DataFrame:
     """Per frame: threshold, pixels, usable, edges and points kept on the stride grid."""
-    status_args = dict(
-        max_relative_step=options.max_relative_step,
-        min_depth=options.min_depth,
-        max_depth=options.max_depth,
-    )
     spread = usable_frames(frames).repartition(*FRAME)
-    floors = frame_floors(pixel_status(spread, **status_args), options)
+    floors = frame_floors(pixel_status(spread, **_status_args(options)), options)
     kept = _candidates(frames, options).groupBy(*FRAME).agg(F.count(F.lit(1)).alias("kept"))
-    return floors.join(kept, FRAME, "left").fillna(0, ["kept"])
+    counts = floors.drop("conf_low", "conf_span")
+    return counts.join(kept, FRAME, "left").fillna(0, ["kept"])
 
 
 def run_shares(contributions: DataFrame) -> DataFrame:
@@ -254,7 +249,8 @@ def voxel_grid(points: DataFrame, edge: float) -> DataFrame:
     """
     colours = [c for c in ("r", "g", "b") if c in points.columns]
     w = F.when(F.col("weight") > 0, F.col("weight")).otherwise(f64(1e-6))
-    first = F.min(F.struct("frame", "px"))
+    # One number per contributor keeps this a hash aggregate; a struct would sort.
+    first = F.min(F.shiftleft(F.col("frame").cast("long"), 32) + F.col("px"))
     cells = (
         voxel_index(points, edge)
         .where(all_finite(F.col(c) for c in "xyz") & _in_span())
@@ -272,8 +268,8 @@ def voxel_grid(points: DataFrame, edge: float) -> DataFrame:
     )
     return cells.select(
         "run_id",
-        "_first.frame",
-        "_first.px",
+        F.shiftright("_first", 32).alias("frame"),
+        F.col("_first").bitwiseAND(F.lit(0xFFFFFFFF)).alias("px"),
         *((F.col(f"_{c}") / F.col("_sw")).alias(c) for c in "xyz"),
         "weight",
         "confidence",

@@ -8,6 +8,8 @@ window: pixels only move once something groups them in space.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,11 +113,13 @@ def pixel_status(
     max_relative_step: float = 0.0,
     min_depth: float = MIN_DEPTH,
     max_depth: float = float("inf"),
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Whole frames back-projected: every pixel with its status and world point.
 
     ``status`` is the first failing test of depth, confidence, edge, else valid;
-    the point is NULL unless valid. The edge test is off at step 0.
+    the point is NULL unless valid. The edge test is off at step 0. ``carry``
+    names per-frame columns to repeat on the pixels.
     """
     d = F.col("d")
     index, x, y = F.col("px"), F.col("x"), F.col("y")
@@ -146,6 +150,7 @@ def pixel_status(
         "status",
         *(F.when(valid, part).alias(name) for part, name in zip(world, ("wx", "wy", "wz"))),
         *(F.get(c, F.col("px")).alias(c) for c in extra),
+        *carry,
     )
 
 

@@ -161,7 +161,7 @@ def memory_prediction(spark: SparkSession, sf: str) -> DataFrame:
     + f""", l AS (SELECT process_res, frame_count AS frames, max(CAST(duration_s * 1e9 AS BIGINT)) AS peak FROM (
         SELECT process_res, frame_count, floor(duration_s * 1e9) / 1e9 AS duration_s FROM runs) GROUP BY ALL),
     m AS (SELECT process_res, frames, max(peak) OVER (PARTITION BY process_res ORDER BY frames) / 1073741824e0 AS gib FROM l)
-    SELECT process_res, count(*) AS runs, {r6('regr_slope(gib, frames)', 'gib_per_frame')}, {r6('regr_intercept(gib, frames)', 'base_gib')} FROM m GROUP BY ALL""",
+    SELECT CAST(process_res AS BIGINT) AS process_res, count(*) AS runs, {r6('regr_slope(gib, frames)', 'gib_per_frame')}, {r6('regr_intercept(gib, frames)', 'base_gib')} FROM m GROUP BY process_res""",
 )
 def allocator_fit(spark: SparkSession, sf: str) -> DataFrame:
     rungs = A.runs(spark, sf).groupBy("process_res", F.col("frame_count").alias("frames")).agg(
@@ -319,8 +319,7 @@ def save_rules(spark: SparkSession, sf: str) -> DataFrame:
     "S7",
     RUNS
     + """ SELECT run_id, run_id % 50 = 0 AS builtin, run_id % 50 = 0 OR status <> 'F' OR run_id % 3 > 0 AS available,
-      CASE WHEN (run_id % 50 = 0 OR status = 'F') AND run_id % 3 > 0 THEN run_id * 7 ELSE 0 END AS size_bytes,
-      row_number() OVER (ORDER BY run_id % 50 = 0 DESC, created_at DESC, run_id) AS place FROM runs""",
+      CASE WHEN (run_id % 50 = 0 OR status = 'F') AND run_id % 3 > 0 THEN run_id * 7 ELSE 0 END AS size_bytes FROM runs""",
 )
 def run_catalogue(spark: SparkSession, sf: str) -> DataFrame:
     r = A.runs(spark, sf)
@@ -328,17 +327,7 @@ def run_catalogue(spark: SparkSession, sf: str) -> DataFrame:
     shape = lambda df: df.select("run_id", "created_at", (built | (F.col("status") == "F")).alias("persisted"))
     sizes = r.where(F.col("run_id") % 3 > 0).select("run_id", (F.col("run_id") * 7).alias("size_bytes"))
     listed = catalog.run_catalogue(shape(r.where(built)), shape(r.where(~built)), sizes)
-    # The place in the listing, by days so that no one task sorts the whole catalogue.
-    day = listed.groupBy("builtin", "created_at").agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window as W
-
-    days = W.orderBy(F.desc("builtin"), F.desc("created_at")).rowsBetween(W.unboundedPreceding, -1)
-    starts = day.withColumn("_start", F.coalesce(F.sum("_n").over(days), F.lit(0)))
-    inside = W.partitionBy("builtin", "created_at").orderBy("run_id")
-    placed = listed.withColumn("_at", F.row_number().over(inside)).join(starts, ["builtin", "created_at"])
-    return publish(
-        placed.select("run_id", "builtin", "available", "size_bytes", (F.col("_start") + F.col("_at")).alias("place"))
-    )
+    return publish(listed.select("run_id", "builtin", "available", "size_bytes"))
 
 
 @plan(

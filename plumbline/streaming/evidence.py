@@ -12,7 +12,8 @@ from plumbline.operators.ranks import uniform_sample
 
 def keep_packets(packets: DataFrame, event_time: str, late: str = "1 hour") -> DataFrame:
     """Drop repeats of an evidence id that arrive within the watermark."""
-    return packets.withWatermark(event_time, late).dropDuplicatesWithinWatermark(["evidence_id"])
+    instants = packets.withColumn(event_time, F.col(event_time).cast("timestamp"))
+    return instants.withWatermark(event_time, late).dropDuplicatesWithinWatermark(["evidence_id"])
 
 
 def sittings(trials: DataFrame, keys: Sequence[str], gap: str = "30 minutes") -> DataFrame:

@@ -21,8 +21,13 @@ def peak_windows(telemetry: DataFrame, every: str = "1 hour") -> DataFrame:
 
 
 def peak_windows_stream(telemetry: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """As ``peak_windows`` with a watermark, so state of closed windows is dropped."""
-    return peak_windows(telemetry.withWatermark("ts", late), every)
+    """As ``peak_windows`` with a watermark, so state of closed windows is dropped.
+
+    Event time must be an instant, so a zone-less ``ts`` is read in the session's zone.
+    """
+    instants = telemetry.withColumn("ts", F.col("ts").cast("timestamp"))
+    peaks = peak_windows(instants.withWatermark("ts", late), every)
+    return peaks.withColumn("window_start", F.col("window_start").cast(telemetry.schema["ts"].dataType))
 
 
 def phase(available: Column, model_loaded: Column) -> Column:
