@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import all_finite, f64, finite
 from plumbline.functions.vectors import Vec, dot, ground_axes, length, transform_point, unit, vec
-from plumbline.operators.pixels import pixel_status, usable_frames
+from plumbline.operators.pixels import pixel_status, usable_frames, valid_points
 from plumbline.operators.ranks import exact_percentiles, uniform_sample, with_ordinal
 
 # Histogram resolution, floor constants and the addressable voxel span.
@@ -151,7 +151,7 @@ def _candidates(frames: DataFrame, options: CloudOptions) -> DataFrame:
         spread = spread.join(floors.hint("shuffle_hash"), FRAME)
     else:
         spread = spread.withColumns({m: f64(0) for m in marks})
-    pixels = pixel_status(spread, **args, carry=marks).where(F.col("status") == "valid")
+    pixels = valid_points(spread, **args, carry=marks)
     confidence = F.col("confidence")
     if options.weight == "none":
         weight = f64(1)
@@ -200,7 +200,8 @@ def build_cloud(
         points = voxel_grid(points, options.voxel_m).drop("ix", "iy", "iz", "points")
     if options.max_points is not None:
         points = uniform_sample(points, ["run_id"], ["frame", "px"], options.max_points, options.seed)
-    return mean_one_weights(points)
+    # Unweighted points already have mean weight 1.
+    return points if options.weight == "none" else mean_one_weights(points)
 
 
 def mean_one_weights(points: DataFrame) -> DataFrame:

@@ -57,26 +57,27 @@ def _depth_at(index: Column) -> Column:
 def depth_edge(index: Column, x: Column, y: Column, d: Column, step: float) -> Column:
     """A 4-neighbour differs by more than ``step`` of this depth, or is not finite.
 
-    A neighbour outside the image does not count. Reads the unfiltered depth map.
+    A neighbour outside the image does not count (it is read as the pixel itself).
+    Reads the unfiltered depth map. NaN and infinite jumps compare as larger than
+    any limit, so no separate test is needed; this runs once per pixel and its
+    generated code has to stay small enough to be compiled.
     """
-    limit = F.abs(d) * f64(step)
     width, height = F.col("width"), F.col("height")
     sides = [
-        (x > 0, index - 1),
-        (x < width - 1, index + 1),
-        (y > 0, index - width),
-        (y < height - 1, index + width),
+        F.when(x > 0, index - 1).otherwise(index),
+        F.when(x < width - 1, index + 1).otherwise(index),
+        F.when(y > 0, index - width).otherwise(index),
+        F.when(y < height - 1, index + width).otherwise(index),
     ]
-    edge = F.lit(False)
-    for inside, at in sides:
-        near = _depth_at(at)
-        jump = F.coalesce(~finite(near) | (F.abs(near - d) > limit), F.lit(True))
-        edge = edge | (inside & jump)
-    return edge
+    missing = f64(float("nan"))
+    jumps = [F.abs(F.coalesce(_depth_at(at), missing) - d) for at in sides]
+    return F.greatest(*jumps) > F.abs(d) * f64(step)
 
 
 def in_depth_range(d: Column, low: float = MIN_DEPTH, high: float = float("inf")) -> Column:
-    return finite(d) & (d >= f64(low)) & (d <= f64(high))
+    """Finite and inside the range; NaN compares above infinity."""
+    top = d < f64(high) if high == float("inf") else d <= f64(high)
+    return F.coalesce((d >= f64(low)) & top, F.lit(False))
 
 
 def back_project(x: Column, y: Column, d: Column) -> Vec:
@@ -121,9 +122,33 @@ def pixel_status(
     the point is NULL unless valid. The edge test is off at step 0. ``carry``
     names per-frame columns to repeat on the pixels.
     """
-    d = F.col("d")
-    index, x, y = F.col("px"), F.col("x"), F.col("y")
-    unnested = (
+    edge = _edge(max_relative_step)
+    status = F.when(~in_depth_range(F.col("d"), min_depth, max_depth), F.lit("depth"))
+    if min_confidence > 0:
+        status = status.when(F.col("c") < f64(min_confidence), F.lit("confidence"))
+    if edge is not None:
+        status = status.when(edge, F.lit("edge"))
+    flagged = _unnested(frames).withColumn("status", status.otherwise(F.lit("valid")))
+    world = back_project(F.col("x"), F.col("y"), F.col("d"))
+    valid = F.col("status") == "valid"
+    point = [F.when(valid, part).alias(name) for part, name in zip(world, ("wx", "wy", "wz"))]
+    return flagged.select(
+        *PIXEL,
+        F.col("d").alias("depth"),
+        F.col("c").alias("confidence"),
+        "status",
+        *point,
+        *_colours(frames),
+        *carry,
+    )
+
+
+PIXEL = ["run_id", "frame", "px", "x", "y"]
+
+
+def _unnested(frames: DataFrame) -> DataFrame:
+    """Pixel rows that still reach their frame's packed arrays."""
+    return (
         usable_frames(frames)
         .select("*", F.posexplode("depth").alias("px", "d0"))
         .withColumn("d", F.col("d0").cast("double"))
@@ -131,26 +156,43 @@ def pixel_status(
         .withColumn("y", F.expr("px div width"))
         .withColumn("c", F.get("confidence", F.col("px")).cast("double"))
     )
-    status = F.when(~in_depth_range(d, min_depth, max_depth), F.lit("depth"))
-    status = status.when(F.col("c") < f64(min_confidence), F.lit("confidence"))
-    if max_relative_step > 0:
-        status = status.when(depth_edge(index, x, y, d, max_relative_step), F.lit("edge"))
-    world = back_project(x, y, d)
-    extra = [c for c in ("r", "g", "b") if c in frames.columns]
-    flagged = unnested.withColumn("status", status.otherwise(F.lit("valid")))
-    valid = F.col("status") == "valid"
-    return flagged.select(
-        "run_id",
-        "frame",
-        "px",
-        "x",
-        "y",
-        F.col("d").alias("depth"),
-        F.col("c").alias("confidence"),
-        "status",
-        *(F.when(valid, part).alias(name) for part, name in zip(world, ("wx", "wy", "wz"))),
-        *(F.get(c, F.col("px")).alias(c) for c in extra),
-        *carry,
+
+
+def _edge(step: float) -> Column | None:
+    if step <= 0:
+        return None
+    return depth_edge(F.col("px"), F.col("x"), F.col("y"), F.col("d"), step)
+
+
+def _colours(frames: DataFrame) -> list[Column]:
+    return [F.get(c, F.col("px")).alias(c) for c in ("r", "g", "b") if c in frames.columns]
+
+
+def valid_points(
+    frames: DataFrame,
+    max_relative_step: float = 0.0,
+    min_depth: float = MIN_DEPTH,
+    max_depth: float = float("inf"),
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """Only the valid pixels of ``pixel_status``, tested once and projected."""
+    keep = in_depth_range(F.col("d"), min_depth, max_depth)
+    edge = _edge(max_relative_step)
+    if edge is not None:
+        keep = keep & ~edge
+    world = back_project(F.col("x"), F.col("y"), F.col("d"))
+    point = [part.alias(name) for part, name in zip(world, ("wx", "wy", "wz"))]
+    return (
+        _unnested(frames)
+        .where(keep)
+        .select(
+            *PIXEL,
+            F.col("d").alias("depth"),
+            F.col("c").alias("confidence"),
+            *point,
+            *_colours(frames),
+            *carry,
+        )
     )
 
 
