@@ -58,12 +58,12 @@ def _ingest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in ROW_SCHEMA.split(", ")]
     for batch in batches:
         for row in batch.itertuples(index=False):
-            head = {"run_id": row.run_id, "path": row.path}
+            head = {**dict.fromkeys(columns), "run_id": row.run_id, "path": row.path}
             try:
                 for record in _frames(row.content):
-                    yield pd.DataFrame([{**head, **record}], columns=columns)
+                    yield pd.DataFrame([{**head, **record}])
             except Exception as broken:  # noqa: BLE001 - a bad file is a row, not a failed job
-                yield pd.DataFrame([{**head, "error": str(broken)}], columns=columns)
+                yield pd.DataFrame([{**head, "error": str(broken)}])
 
 
 def read_bundles(spark: SparkSession, path: str, pattern: str = "*.npz") -> tuple[DataFrame, DataFrame]:

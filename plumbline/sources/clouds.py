@@ -82,6 +82,7 @@ def _tables(content: bytes) -> Iterator[pd.DataFrame]:
 def _ingest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in ROW_SCHEMA.split(", ")]
     whole = ["frustum", "seq", "r", "g", "b"]
+    kinds = {c: "Int64" for c in whole} | {c: object for c in ("run_id", "path", "kind", "error")}
     for batch in batches:
         for row in batch.itertuples(index=False):
             try:
@@ -89,8 +90,9 @@ def _ingest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             except Exception as broken:  # noqa: BLE001 - a bad file is a row, not a failed job
                 parts = [pd.DataFrame({"kind": ["error"], "error": [str(broken)]})]
             for part in parts:
-                table = part.assign(run_id=row.run_id, path=row.path).reindex(columns=columns)
-                yield table.astype({c: "Int64" for c in whole})
+                absent = {c: None for c in columns if c not in part}
+                table = part.assign(**{**absent, "run_id": row.run_id, "path": row.path})[columns]
+                yield table.astype(kinds)
 
 
 def read_clouds(
