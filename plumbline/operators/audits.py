@@ -44,8 +44,8 @@ def select_near(points: DataFrame, centres: DataFrame, max_radius: float) -> Dat
 def selection_profile(selection: DataFrame, cloud_sizes: DataFrame, keys: list[str]) -> DataFrame:
     """Count, share of the cloud, p10/p50/p90 and NMAD of height per selection."""
     counts = selection.groupBy(*keys).agg(F.count(F.lit(1)).alias("selected"))
-    marks = exact_percentiles(selection, keys, F.col("h"), {"p10": 10, "p50": 50, "p90": 90}).drop("n")
-    spread = exact_nmad(selection, keys, F.col("h"))
+    marks = exact_percentiles(selection, keys, F.col("h"), {"p10": 10, "p90": 90}).drop("n")
+    spread = exact_nmad(selection, keys, F.col("h"), middle="p50")
     share = F.col("selected") / F.col("cloud_points")
     return (
         counts.join(cloud_sizes.select("run_id", "cloud_points"), "run_id")

@@ -425,7 +425,8 @@ def fit_ground(points: DataFrame, ups: DataFrame, options: GroundOptions) -> Dat
 
 
 def fit_sample(sample: DataFrame, ups: DataFrame, options: GroundOptions) -> DataFrame:
-    candidates = candidate_planes(sample, ups, options)
+    # Scored and then joined with its scores: written once rather than drawn twice.
+    candidates = cut_lineage(candidate_planes(sample, ups, options))
     scores = score_planes(sample, candidates, options.inlier_distance)
     totals = sample.groupBy("run_id").agg(
         F.sum("weight").alias("total_weight"), F.count(F.lit(1)).alias("n")

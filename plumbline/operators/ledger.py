@@ -59,13 +59,19 @@ def desired_keys(steps: DataFrame, edges: DataFrame, contract: str) -> DataFrame
     empty = F.create_map().cast("map<string,string>")
     key = content_key(F.col("producer"), F.col("version"), F.col("inputs"), F.col("params"), contract)
     needs = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("_needs"))
-    pending = steps.join(needs.withColumnRenamed("dst", "node"), "node", "left").fillna(0, ["_needs"])
+    pending = cut_lineage(
+        steps.join(needs.withColumnRenamed("dst", "node"), "node", "left").fillna(0, ["_needs"])
+    )
     sources = pending.where(F.col("_needs") == 0).withColumn("inputs", empty)
     keyed = cut_lineage(sources.select("node", key.alias("key")))
     layer = keyed
     while not layer.isEmpty():
+        # A step is ready in the round that keys the last of its inputs, so only
+        # steps fed by the newest layer are looked at.
+        touched = edges.join(layer.select(F.col("node").alias("src")), "src", "left_semi")
+        fed = edges.join(touched.select("dst").distinct(), "dst", "left_semi")
         arrived = (
-            edges.join(keyed.select(F.col("node").alias("src"), "key"), "src")
+            fed.join(keyed.select(F.col("node").alias("src"), "key"), "src")
             .groupBy("dst")
             .agg(
                 F.count(F.lit(1)).alias("_have"),
@@ -77,11 +83,7 @@ def desired_keys(steps: DataFrame, edges: DataFrame, contract: str) -> DataFrame
             )
             .withColumnRenamed("dst", "node")
         )
-        ready = (
-            pending.join(keyed.select("node"), "node", "left_anti")
-            .join(arrived, "node")
-            .where(F.col("_have") == F.col("_needs"))
-        )
+        ready = pending.join(arrived, "node").where(F.col("_have") == F.col("_needs"))
         layer = cut_lineage(ready.select("node", key.alias("key")))
         keyed = keyed.unionByName(layer)
     return keyed

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import f64, finite
 from plumbline.functions.vectors import dot, ground_axes, plane, signed_height, vec
-from plumbline.operators.ranks import exact_nmad, exact_percentiles, exploded, with_ordinal
+from plumbline.operators.ranks import exact_nmad, exploded, with_ordinal
 from plumbline.session import cut_lineage
 
 LEVEL = ["run_id", "bin"]
@@ -105,7 +105,8 @@ def horizontal_levels(
     join is an equi-join on (run, bin) followed by the exact half-open test.
     """
     profile = height_profile(points, planes, options)
-    peaks = level_peaks(profile, options)
+    # A few rows per run; everything below refers back to them.
+    peaks = cut_lineage(level_peaks(profile, options))
     side = math.ceil(options.half_band / options.bin_size) + 1
     spread = F.sequence(F.col("bin") - side, F.col("bin") + side)
     near = peaks.select(
@@ -122,7 +123,7 @@ def horizontal_levels(
         .select("run_id", F.col("peak").alias("bin"), "h", "u", "v")
     )
     sizes = band.groupBy(*LEVEL).agg(F.count(F.lit(1)).alias("count"))
-    populated = (
+    populated = cut_lineage(
         peaks.join(sizes, LEVEL)
         .withColumn("fraction", F.col("count") / F.col("sampled"))
         .where(F.col("fraction") >= f64(options.min_fraction))
@@ -133,16 +134,16 @@ def horizontal_levels(
     # Median and spread of three axes read this several times.
     long = cut_lineage(long)
     keys = [*LEVEL, "axis"]
-    middle = exact_percentiles(long.where(F.col("axis") == "h"), LEVEL, F.col("value"), {"height": 50})
-    spreads = exact_nmad(long, keys, F.col("value"))
-    on = lambda axis: F.max(F.when(F.col("axis") == axis, F.col("nmad")))
+    spreads = exact_nmad(long, keys, F.col("value"), middle="middle")
+    on = lambda axis, c: F.max(F.when(F.col("axis") == axis, F.col(c)))
     shape = spreads.groupBy(*LEVEL).agg(
-        on("h").alias("thickness"), F.least(on("u"), on("v")).alias("extent")
+        on("h", "middle").alias("height"),
+        on("h", "nmad").alias("thickness"),
+        F.least(on("u", "nmad"), on("v", "nmad")).alias("extent"),
     )
     return (
         populated.join(shape, LEVEL)
         .where(F.col("extent") >= f64(options.min_extent))
-        .join(middle.select(*LEVEL, "height"), LEVEL)
         .select("run_id", "height", "count", "fraction", "thickness", "prominence", "extent")
     )
 

@@ -133,13 +133,21 @@ def exact_percentiles(
     )
 
 
-def exact_nmad(df: DataFrame, keys: Sequence[str], value: Column, out: str = "nmad") -> DataFrame:
-    """1.4826 x the lower median of absolute deviations from the lower median."""
+def exact_nmad(
+    df: DataFrame, keys: Sequence[str], value: Column, out: str = "nmad", middle: str | None = None
+) -> DataFrame:
+    """1.4826 x the lower median of absolute deviations from the lower median.
+
+    ``middle`` names a column for that median, which is computed on the way.
+    """
     values = df.select(*keys, value.cast("double").alias("_x")).where(finite(F.col("_x")))
-    middle = exact_percentiles(values, keys, F.col("_x"), {"_mid": 50}).drop("n")
-    spread = values.join(middle, list(keys))
+    centre = exact_percentiles(values, keys, F.col("_x"), {"_mid": 50}).drop("n")
+    spread = values.join(centre, list(keys))
     mad = exact_percentiles(spread, keys, F.abs(F.col("_x") - F.col("_mid")), {"_mad": 50})
-    return mad.select(*keys, (f64(NMAD_SCALE) * F.col("_mad")).alias(out))
+    scaled = mad.select(*keys, (f64(NMAD_SCALE) * F.col("_mad")).alias(out))
+    if middle is None:
+        return scaled
+    return scaled.join(centre.withColumnRenamed("_mid", middle), list(keys))
 
 
 def with_rank(

@@ -97,12 +97,10 @@ def trial_stats(trials: DataFrame) -> DataFrame:
             "between_sitting_range_m"
         ),
     )
-    middle = exact_percentiles(rows, GROUP, F.col("raw_m"), {"median_m": 50}).drop("n")
-    spread = exact_nmad(rows, GROUP, F.col("raw_m"), "_nmad")
+    spread = exact_nmad(rows, GROUP, F.col("raw_m"), "_nmad", middle="median_m")
     paint = exact_percentiles(rows, GROUP, F.col("paint_ms"), {"median_paint_ms": 50}).drop("n")
     return (
-        whole.join(middle, GROUP)
-        .join(spread, GROUP)
+        whole.join(spread, GROUP)
         .join(paint, GROUP, "left")
         .withColumn("nmad_m", F.when(F.col("n") >= MIN_TRIALS_FOR_SPREAD, F.col("_nmad")))
         .drop("_nmad")
