@@ -31,6 +31,7 @@ ARTIFACT_KINDS = {
     "ply": "gs_ply",
     "mp4": "gs_video",
 }
+# Fixed value: the form of a safe run id.
 RUN_ID_PATTERN = "^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"
 # Accepted licence classes per run profile.
 PROFILE_LICENCES = {
