@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import f64
 from plumbline.operators import calibrate as K, scale as S
-from plumbline.operators.trials import trial_stats
 from plumbline.plans import adapters as A
 from plumbline.plans.registry import plan, publish, r6, r6s
 
@@ -114,8 +113,9 @@ def uncertainty_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 def clip_means(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Mean reading per (clip, run, object), and targets; one target is not available."""
-    stats = trial_stats(A.trials(spark, sf)).select("run_id", "object_id", "mean_m")
-    means = stats.withColumn("clip_key", F.col("run_id") % 2)
+    trials = A.trials(spark, sf)
+    means = trials.groupBy("run_id", "object_id").agg(F.avg("raw_m").alias("mean_m"))
+    means = means.withColumn("clip_key", F.col("run_id") % 2)
     note = F.when(F.col("object_id") == "click", F.lit("out of view"))
     clips = means.select("clip_key").distinct()
     targets = A.targets(spark).withColumn("availability_note", note)

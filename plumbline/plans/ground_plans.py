@@ -124,10 +124,13 @@ def fit_sql(options: P.GroundOptions) -> str:
         sqrt(avg(h * h) FILTER (abs(h) <= {band})) AS rmse,
         count(*) FILTER (h < -5e-2) / CAST(count(*) AS DOUBLE) AS below_fraction,
         degrees(acos(least(1e0, ny))) AS tilt_deg FROM held GROUP BY ALL),
-    fit AS (SELECT *, ln(greatest(1e-6, inlier_fraction)) - 2e0 * (tilt_deg / {tilt}) ** 2 - 2e0 * (below_fraction / 5e-2) ** 2
-        - rmse / {band} AS quality,
-        CASE WHEN inlier_count < {options.min_inliers} THEN 'too few inliers'
-             WHEN below_fraction > {below} THEN 'too much below the plane' END AS reason FROM fit0)"""
+    asked AS (SELECT run_id, seed, pool FROM size, (SELECT CAST(unnest([{", ".join(map(str, options.seeds))}]) AS BIGINT) AS seed)),
+    fit AS (SELECT a.run_id, a.seed, a.pool, nx, ny, nz, d, inlier_count, inlier_fraction, rmse, below_fraction, tilt_deg, coalesce(considered, 0) AS considered,
+        ln(greatest(1e-6, inlier_fraction)) - 2e0 * (tilt_deg / {tilt}) ** 2 - 2e0 * (below_fraction / 5e-2) ** 2 - rmse / {band} AS quality,
+        CASE WHEN considered IS NULL THEN 'no horizontal plane in the tilt gate' WHEN nx IS NULL THEN 'no candidate with enough support'
+             WHEN inlier_count < {options.min_inliers} THEN 'too few inliers'
+             WHEN below_fraction > {below} THEN 'too much below the plane' END AS reason
+      FROM asked a LEFT JOIN considered c USING (run_id, seed, pool) LEFT JOIN fit0 f USING (run_id, seed, pool))"""
 
 
 @plan(
@@ -190,7 +193,7 @@ def _unclamped(fits: DataFrame) -> DataFrame:
     + ", "
     + fit_sql(OPTIONS)
     + f""" SELECT run_id, seed, {r6s('pool')}, CASE WHEN reason IS NULL THEN 'ok' ELSE 'refused' END AS status, reason,
-      {FIT_COLUMNS}, inlier_count, considered AS candidates_considered FROM fit JOIN considered USING (run_id, seed, pool)""",
+      {FIT_COLUMNS}, inlier_count, considered AS candidates_considered FROM fit""",
 )
 def ground_fit(spark: SparkSession, sf: str) -> DataFrame:
     points = A.points(spark, sf)
@@ -211,7 +214,7 @@ ROBUST_SQL = """ranked AS (SELECT *, lead(CASE WHEN reason IS NULL THEN quality
     + f""", {ROBUST_SQL} SELECT run_id, seed, {r6s('pool')}, CASE WHEN reason IS NULL THEN 'ok' ELSE 'refused' END AS status, reason,
       {FIT_COLUMNS}, inlier_count, considered AS candidates_considered, {r6('quality - runner', 'margin')},
       {r6('(quality - runner) / greatest(1e-9, abs(quality) + abs(runner))', 'separation')}
-    FROM robust JOIN considered USING (run_id, seed, pool)""",
+    FROM robust""",
 )
 def ground_plane(spark: SparkSession, sf: str) -> DataFrame:
     points = A.points(spark, sf)
