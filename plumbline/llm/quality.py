@@ -11,28 +11,27 @@ from plumbline.session import cut_lineage
 #: Votes: 2 good, 1 abstain, 0 bad. Each rule: name, SQL for a good vote, SQL for a bad one; the
 #: text of both is understood by Spark and by the engine of the check.
 RULES = [
+    ("repetition", "FALSE", "20 * n_repeat_words > 7 * n_words OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines)"),
+    ("symbols", "FALSE", "10 * n_symbols > n_words"),
+    ("shouting", "FALSE", "2 * n_capitals > word_chars OR 4 * n_exclaims > n_words"),
+    ("words", "FALSE", "word_chars < 2 * n_words OR word_chars > 14 * n_words"),
     ("length", "n_words >= 100", "n_words < 50"),
-    ("word_length", "word_chars >= 3 * n_words AND word_chars <= 9 * n_words", "word_chars < 2 * n_words OR word_chars > 14 * n_words"),
-    ("symbols", "50 * n_symbols <= n_words", "10 * n_symbols > n_words"),
-    ("line_copies", "n_lines >= 3 AND 10 * n_dup_lines <= n_lines", "n_lines >= 4 AND 2 * n_dup_lines > n_lines"),
-    ("repeats", "5 * n_repeat_words <= n_words", "20 * n_repeat_words > 7 * n_words"),
-    ("capitals", "5 * n_capitals <= word_chars", "2 * n_capitals > word_chars"),
-    ("exclamations", "20 * n_exclaims <= n_words", "4 * n_exclaims > n_words"),
     ("stops", "n_stops > 0 AND n_words <= 60 * n_stops AND n_words >= 3 * n_stops", "n_words > 300 * (n_stops + 1)"),
 ]
+#: Class 0 is that of good documents, class j + 1 that of documents with the fault rule j looks for:
+#: kinds of junk seldom fail two rules at once, so one bad class would only learn the largest kind.
+CLASSES = len(RULES) + 1
 ROUNDS = 20
 #: Rounding of the reported posterior; a document is kept from KEEP on.
 DIGITS = 6
 KEEP = 0.5
-#: Before the first round a document with no bad vote is good with this probability, else with the other.
-FIRST = (0.95, 0.3)
-#: Counts added to each rule's votes, so that no vote ever has probability 0.
+#: Before the first round a document with no bad vote is good with this probability, else with the
+#: other; the rest is shared by the faults voted for (by all faults, if none is).
+FIRST = (0.999, 0.3)
+#: Counts added to each vote of each rule, so that no vote ever has probability 0.
 PRIOR_COUNT = 0.5
-#: What is believed of a bad vote beforehand: the share of bad votes that are right, and how many
-#: pseudo-votes that belief counts for each vote seen. Kinds of junk differ and seldom fail two rules
-#: at once; without it the rarer kinds would be explained as chance failures of good documents.
-BELIEF = 0.95
-BELIEF_WEIGHT = 2.0
+#: Pseudo-documents, as a share of all, that fail their own rule in each class of faults.
+BELIEF = 0.01
 
 
 def _drop_all_but(text: Column, kept: str) -> Column:
@@ -105,88 +104,91 @@ def with_votes(counts: DataFrame) -> DataFrame:
     return counts.withColumn("base_failed", failed).withColumn("votes", F.array(*votes).cast("array<int>"))
 
 
+def _sum(items: Column, value) -> Column:
+    return F.aggregate(items, F.lit(0.0), lambda acc, x: acc + value(x))
+
+
 def estimate(voted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """One row: ``prior`` (share of good documents), ``good`` and ``bad`` (probability of each vote of
-    each rule in either class), by expectation-maximisation over the counts of vote patterns.
+    """One row: ``prior`` (share of each class) and ``vote`` (probability of each vote of each rule in
+    each class: its place is (class * rules + rule) * 3 + vote), by expectation-maximisation over the
+    counts of vote patterns.
 
     Patterns are at most 3 to the number of rules, whatever the input, so they are counted by a
     grouped aggregate and folded in one row. Without documents the estimates are those of PRIOR_COUNT.
     """
     n = len(RULES)
     patterns = voted.groupBy("votes").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    first = F.when(F.array_contains("votes", 0), FIRST[1]).otherwise(FIRST[0])
-    one = patterns.select(F.struct("votes", "n", first.alias("good")).alias("p")).agg(
+    faults = F.size(F.filter("votes", lambda v: v == 0))
+    first = F.concat(
+        F.array(F.when(faults > 0, FIRST[1]).otherwise(FIRST[0])),
+        F.transform(
+            "votes",
+            lambda v: F.when(faults == 0, (1 - FIRST[0]) / n).when(v == 0, (1 - FIRST[1]) / faults).otherwise(0.0),
+        ),
+    )
+    one = patterns.select(F.struct("votes", "n", first.alias("share")).alias("p")).agg(
         F.sort_array(F.collect_list("p")).alias("seen")
     )
 
-    def weight(seen: Column, rule: Column, vote: Column, share) -> Column:
-        """Sum of ``share`` over the patterns in which ``rule`` votes ``vote``."""
-        return F.aggregate(
-            seen,
-            F.lit(0.0),
-            lambda acc, p: acc + F.when(F.get(p["votes"], rule) == vote, share(p)).otherwise(0.0),
-        )
+    def maximise(seen: Column) -> Column:
+        every = _sum(seen, lambda p: p["n"])
 
-    def reliability(seen: Column, share, belief: float) -> Column:
-        """Per rule and vote its probability, from the patterns' weights ``share``."""
-        total = F.aggregate(seen, F.lit(3 * PRIOR_COUNT), lambda acc, p: acc + share(p))
+        def mass(c: Column) -> Column:
+            return _sum(seen, lambda p: p["n"] * F.get(p["share"], c))
 
         def cell(k: Column) -> Column:
-            rule, vote = (k / 3).cast("int"), F.pmod(k, F.lit(3))
-            pseudo = weight(seen, rule, F.lit(0), lambda p: p["n"]) * (BELIEF_WEIGHT * belief)
-            own = F.when(vote == 0, pseudo).otherwise(0.0)
-            return (weight(seen, rule, vote, share) + PRIOR_COUNT + own) / (total + pseudo)
+            c, rule, vote = (k / (3 * n)).cast("int"), F.pmod((k / 3).cast("int"), F.lit(n)), F.pmod(k, F.lit(3))
+            hits = _sum(
+                seen,
+                lambda p: F.when(F.get(p["votes"], rule) == vote, p["n"] * F.get(p["share"], c)).otherwise(0.0),
+            )
+            own = F.when(c == rule + 1, every * BELIEF).otherwise(0.0)
+            return (hits + PRIOR_COUNT + F.when(vote == 0, own).otherwise(0.0)) / (mass(c) + 3 * PRIOR_COUNT + own)
 
-        return F.transform(F.sequence(F.lit(0), F.lit(3 * n - 1)), cell)
-
-    def maximise(seen: Column) -> Column:
-        good = F.aggregate(seen, F.lit(PRIOR_COUNT), lambda acc, p: acc + p["n"] * p["good"])
-        every = F.aggregate(seen, F.lit(2 * PRIOR_COUNT), lambda acc, p: acc + p["n"])
         return F.struct(
-            (good / every).alias("prior"),
-            reliability(seen, lambda p: p["n"] * p["good"], 1 - BELIEF).alias("good"),
-            reliability(seen, lambda p: p["n"] * (F.lit(1.0) - p["good"]), BELIEF).alias("bad"),
+            F.transform(
+                F.sequence(F.lit(0), F.lit(n)),
+                lambda c: (mass(c) + PRIOR_COUNT) / (every + CLASSES * PRIOR_COUNT),
+            ).alias("prior"),
+            F.transform(F.sequence(F.lit(0), F.lit(CLASSES * 3 * n - 1)), cell).alias("vote"),
         )
 
     def expect(seen: Column, model: Column) -> Column:
         return F.transform(
             seen,
             lambda p: F.struct(
-                p["votes"].alias("votes"), p["n"].alias("n"), posterior(p["votes"], model).alias("good")
+                p["votes"].alias("votes"), p["n"].alias("n"), shares(p["votes"], model).alias("share")
             ),
         )
 
     state = F.aggregate(
         F.sequence(F.lit(1), F.lit(rounds)),
         F.struct(F.col("seen").alias("seen"), maximise(F.col("seen")).alias("model")),
-        lambda s, _: _again(s, expect, maximise),
+        lambda s, _: _bound(
+            expect(s["seen"], s["model"]), lambda seen: F.struct(seen.alias("seen"), maximise(seen).alias("model"))
+        ),
     )
     return one.select(state["model"].alias("m")).select("m.*")
 
 
-def _again(state: Column, expect, maximise) -> Column:
-    """One round; the patterns with new posteriors are bound once, as the only item of an array."""
-    return F.element_at(
-        F.transform(
-            F.array(expect(state["seen"], state["model"])),
-            lambda seen: F.struct(seen.alias("seen"), maximise(seen).alias("model")),
-        ),
-        1,
-    )
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once: it is the only item of an array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def posterior(votes: Column, model: Column) -> Column:
-    """Probability that a document with these votes is good."""
+def shares(votes: Column, model: Column) -> Column:
+    """Probability of each class for a document with these votes."""
+    n = len(RULES)
 
-    def fit(side: str) -> Column:
-        return F.aggregate(
-            F.transform(votes, lambda v, j: F.ln(F.get(model[side], j * 3 + v))),
-            F.lit(0.0),
-            lambda total, x: total + x,
+    def fit(prior: Column, c: Column) -> Column:
+        return F.ln(prior) + _sum(
+            F.transform(votes, lambda v, j: F.ln(F.get(model["vote"], (c * n + j) * 3 + v))), lambda x: x
         )
 
-    against = F.ln(F.lit(1.0) - model["prior"]) + fit("bad") - F.ln(model["prior"]) - fit("good")
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(against))
+    def normal(fits: Column) -> Column:
+        return F.transform(fits, lambda a: F.lit(1.0) / _sum(fits, lambda b: F.exp(b - a)))
+
+    return _bound(F.transform(model["prior"], fit), normal)
 
 
 def judge(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -197,9 +199,9 @@ def judge(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     The counts are written to the shared folder once and read for the estimate and for the verdict.
     """
     voted = with_votes(cut_lineage(features(docs)))
-    model = estimate(voted, rounds).select(F.struct("prior", "good", "bad").alias("m")).scalar()
+    model = estimate(voted, rounds).select(F.struct("prior", "vote").alias("m")).scalar()
     scored = voted.withColumn("_model", model).withColumn(
-        "quality", F.round(posterior(F.col("votes"), F.col("_model")), DIGITS)
+        "quality", F.round(F.get(shares(F.col("votes"), F.col("_model")), F.lit(0)), DIGITS)
     )
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP)).drop("_model", "votes")
 
@@ -249,32 +251,32 @@ def quality_sql(docs: str = "documents") -> str:
  patterned AS (SELECT id, string_agg(vote, '' ORDER BY rule) AS pattern FROM votes GROUP BY id),
  patterns AS (SELECT pattern, count(*) * 1e0 AS n FROM patterned GROUP BY pattern),
  cells AS (SELECT pattern, rule, CAST(pattern[rule + 1] AS INT) AS vote FROM patterns, range({len(RULES)}) r(rule)),
- p0 AS (SELECT pattern, n, CASE WHEN contains(pattern, '0') THEN {FIRST[1]}e0 ELSE {FIRST[0]}e0 END AS good FROM patterns)"""
+ firsts AS (SELECT pattern, n, length(pattern) - length(replace(pattern, '0', '')) AS faults FROM patterns),
+ p0 AS (SELECT pattern, n, c, CASE WHEN c = 0 THEN CASE WHEN faults > 0 THEN {FIRST[1]}e0 ELSE {FIRST[0]}e0 END
+   WHEN faults = 0 THEN {1 - FIRST[0]}e0 / {len(RULES)} WHEN pattern[c] = '0' THEN {1 - FIRST[1]}e0 / faults
+   ELSE 0e0 END AS share FROM firsts, range({CLASSES}) k(c))"""
     ]
     for k in range(ROUNDS + 1):
         parts.append(
-            f""" t{k} AS (SELECT sum(n * good) AS g, sum(n) AS a FROM p{k}),
- m{k} AS (SELECT r.rule, v.vote,
-   ({PRIOR_COUNT} + coalesce(sum(n * good), 0e0) + any_value(CASE WHEN v.vote = 0 THEN w.n0 ELSE 0 END) * {BELIEF_WEIGHT * (1 - BELIEF)})
-   / (any_value(t.g) + {3 * PRIOR_COUNT} + any_value(w.n0) * {BELIEF_WEIGHT * (1 - BELIEF)}) AS good,
-   ({PRIOR_COUNT} + coalesce(sum(n * (1 - good)), 0e0) + any_value(CASE WHEN v.vote = 0 THEN w.n0 ELSE 0 END) * {BELIEF_WEIGHT * BELIEF})
-   / (any_value(t.a - t.g) + {3 * PRIOR_COUNT} + any_value(w.n0) * {BELIEF_WEIGHT * BELIEF}) AS bad
-   FROM range({len(RULES)}) r(rule) CROSS JOIN range(3) v(vote) CROSS JOIN t{k} t
-   JOIN (SELECT rule, coalesce(sum(n) FILTER (vote = 0), 0e0) AS n0 FROM cells JOIN patterns USING (pattern) GROUP BY rule) w
-   ON w.rule = r.rule
-   LEFT JOIN (SELECT c.*, p.n, p.good FROM cells c JOIN p{k} p USING (pattern)) x
-   ON x.rule = r.rule AND x.vote = v.vote GROUP BY r.rule, v.vote),
- p{k + 1} AS (SELECT c.pattern, any_value(p.n) AS n, 1e0 / (1e0 + exp(
-   ln(1e0 - any_value(({PRIOR_COUNT} + t.g) / ({2 * PRIOR_COUNT} + t.a)))
-   - ln(any_value(({PRIOR_COUNT} + t.g) / ({2 * PRIOR_COUNT} + t.a))) + sum(ln(m.bad) - ln(m.good)))) AS good
-   FROM cells c JOIN p{k} p USING (pattern) JOIN m{k} m USING (rule, vote) CROSS JOIN t{k} t GROUP BY c.pattern)"""
+            f""" t{k} AS (SELECT c, sum(n * share) AS mass, sum(n) AS every FROM p{k} GROUP BY c),
+ m{k} AS (SELECT t.c, r.rule, v.vote,
+   (coalesce(sum(n * share), 0e0) + {PRIOR_COUNT} + any_value(CASE WHEN t.c = r.rule + 1 AND v.vote = 0 THEN every * {BELIEF}e0 ELSE 0e0 END))
+   / (any_value(mass) + {3 * PRIOR_COUNT} + any_value(CASE WHEN t.c = r.rule + 1 THEN every * {BELIEF}e0 ELSE 0e0 END)) AS p
+   FROM t{k} t CROSS JOIN range({len(RULES)}) r(rule) CROSS JOIN range(3) v(vote)
+   LEFT JOIN (SELECT s.rule, s.vote, p.* FROM cells s JOIN p{k} p USING (pattern)) x
+   ON x.rule = r.rule AND x.vote = v.vote AND x.c = t.c GROUP BY t.c, r.rule, v.vote),
+ f{k} AS (SELECT s.pattern, p.c, any_value(p.n) AS n,
+   ln(any_value((mass + {PRIOR_COUNT}) / (every + {CLASSES * PRIOR_COUNT}))) + sum(ln(m.p)) AS fit
+   FROM cells s JOIN p{k} p USING (pattern) JOIN t{k} t USING (c) JOIN m{k} m USING (c, rule, vote) GROUP BY s.pattern, p.c),
+ p{k + 1} AS (SELECT a.pattern, a.c, any_value(a.n) AS n, 1e0 / sum(exp(b.fit - a.fit)) AS share
+   FROM f{k} a JOIN f{k} b USING (pattern) GROUP BY a.pattern, a.c)"""
         )
     parts.append(
         f""" judged AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
    quality, NOT base_failed AND quality >= {KEEP} AS kept FROM
    (SELECT c.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-   round(p.good, {DIGITS}) AS quality FROM counted c JOIN patterned x ON c.id = x.id
-   JOIN p{ROUNDS + 1} p ON p.pattern = x.pattern))"""
+   round(p.share, {DIGITS}) AS quality FROM counted c JOIN patterned x ON c.id = x.id
+   JOIN p{ROUNDS + 1} p ON p.pattern = x.pattern AND p.c = 0))"""
     )
     return ",\n".join(parts)
 
