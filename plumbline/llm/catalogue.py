@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from plumbline.llm import mixing, quality
+from plumbline.llm import mixing, quality, secrets
 
-QUERIES = {**mixing.QUERIES, **quality.QUERIES}
+QUERIES = {**mixing.QUERIES, **quality.QUERIES, **secrets.QUERIES}

@@ -68,8 +68,9 @@ def mix(
     Within a source documents stand in order of (size, doc_id mod blocks, doc_id); each is expected
     target / source_size times, the expectations are summed up along the order from one random offset
     per source, and a document is taken once per whole number its stretch crosses. Ordering by size
-    keeps the words taken near the target. The prefix sum is one over counts of (source, size, block)
-    and one inside each of those, so a source with a third of all rows, or one size, is many groups.
+    keeps the words taken near the target. The prefix sum is one over the sizes of a source, one over
+    the blocks of a size and one inside each block, so a source or a size with a third of all rows is
+    many groups.
 
     NULL sources form a source of their own; documents of size 0 are taken by the same rule and weigh
     nothing; a source of only such documents has target 0 and is not taken; NULL doc_ids come first in
@@ -82,8 +83,14 @@ def mix(
     sources = source_targets(
         counts.groupBy("source").agg(F.sum(F.col("size") * F.col("_n")).alias("source_size")), most, weights
     )
-    before = Window.partitionBy("source").orderBy("size", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    below = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    smaller = counts.groupBy("source", "size").agg(F.sum("_n").alias("_n"))
+    smaller = smaller.select("source", "size", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"))
+    before = Window.partitionBy("source", "size").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    starts = starts.alias("c").join(
+        smaller.alias("b"), F.col("c.source").eqNullSafe(F.col("b.source")) & (F.col("c.size") == F.col("b.size"))
+    ).select("c.source", "c.size", "c._block", (F.col("b._below") + F.col("c._before")).alias("_start"))
     starts = starts.alias("c").join(
         sources.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))
     ).select("c.*", "t.source_size", "t.target")
