@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from plumbline.llm import mixing, quality, secrets
+from plumbline.llm import chat, mixing, quality, secrets, warc
 
-QUERIES = {**mixing.QUERIES, **quality.QUERIES, **secrets.QUERIES}
+QUERIES = {**quality.QUERIES, **warc.QUERIES, **secrets.QUERIES, **chat.QUERIES, **mixing.QUERIES}

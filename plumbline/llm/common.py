@@ -35,6 +35,13 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def slices(batches, rows: int = 256):
+    """The same rows in smaller batches, so that Python lists of long texts stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's address below the one every executor can reach."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
