@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from plumbline.llm import chat, mixing, quality, secrets, warc
+from plumbline.llm import chat, mixing, quality, secrets, toxicity, warc
 
-QUERIES = {**quality.QUERIES, **warc.QUERIES, **secrets.QUERIES, **chat.QUERIES, **mixing.QUERIES}
+QUERIES = {**quality.QUERIES, **warc.QUERIES, **toxicity.QUERIES, **secrets.QUERIES, **chat.QUERIES, **mixing.QUERIES}
