@@ -15,18 +15,30 @@ from plumbline.llm.common import Query, slices, table
 
 #: Length of the subsequences that the kernel counts, and what each letter of their span weighs.
 LENGTH = 4
-DECAY = 0.7
-#: Words longer than this are compared in windows of this length, each half over the one before.
-WINDOW = 16
+DECAY = 0.8
+#: The kernel of the machine is the string kernel to this power: whole matches stand out from part ones.
+DEGREE = 2
+#: Words are compared in all windows of these lengths: that of the longest landmark, and a wider one for
+#: insults with letters put between.
+WINDOWS = (8, 12)
 #: The bounded sample the machine is fitted on: labelled rows of each class, by the hash of their id.
 SAMPLE = {1: 2000, 0: 3000}
 #: Letter runs that may become landmarks, how many are looked at and how many kept.
-RUNS = (4, 5, 6, 7)
-CANDIDATES = 600
+RUNS = (4, 5, 6, 7, 8)
+CANDIDATES = 1500
 LANDMARKS = 48
 BACKGROUND = 12
+#: A run is a landmark if so large a share of the documents with it are toxic, if chance explains its count with odds of less than exp(-SURPRISE) among all runs
+#: seen, if no more than SHARED of its toxic documents have an earlier landmark's run as well, and if it
+#: has no LENGTH letters in a row in common with one.
+PRECISION = 0.9
+SURPRISE = 3.0
+SHARED = 0.9
 #: Sentences per document that stand for it in training, those nearest to a landmark.
-SENTENCES = 3
+SENTENCES = 8
+#: A sentence of a toxic document is toxic if its kernel with a landmark reaches this share of the
+#: landmark's kernel with itself; its other sentences are not used, as nobody has labelled them.
+TOXIC_FROM = 0.5
 HELD_OUT_OF = 5
 #: A worker forgets the words it has scored after so many.
 REMEMBERED = 400_000
@@ -68,24 +80,26 @@ def as_codes(words: list[str], width: int) -> np.ndarray:
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), width)
 
 
-def kernel(landmark: str, codes: np.ndarray, length: int = LENGTH, decay: float = DECAY) -> np.ndarray:
-    """Sum over common subsequences of ``length`` letters of decay to the power of both spans.
+def kernel(landmark: str | None, codes: np.ndarray, length: int = LENGTH, decay: float = DECAY) -> np.ndarray:
+    """Sum over common subsequences of ``length`` letters of decay to the power of both spans, of the
+    landmark and each row, or of each row and itself.
 
     The usual recursion: ``tails[i]`` holds for each place what the landmark read so far offers as the
     first i letters of a subsequence, with its span counted up to the end of both strings.
     """
     n, width = codes.shape
+    apart = np.arange(width)[None, :] - np.arange(width)[:, None]
+    fading = np.where(apart >= 0, decay ** np.maximum(apart, 0), 0.0)
     tails = np.zeros((length, n, width + 1))
     tails[0] = 1.0
     total = np.zeros(n)
-    for letter in landmark:
-        same = codes == ord(letter)
+    letters_ = [ord(c) for c in landmark] if landmark is not None else [codes[:, j, None] for j in range(width)]
+    for letter in letters_:
+        same = (codes == letter) & (codes != 0)
         total += ((tails[length - 1][:, :-1] * same).sum(axis=1)) * decay * decay
         for i in range(length - 1, 0, -1):
-            run = np.zeros(n)
-            for j in range(width):
-                run = decay * run + np.where(same[:, j], decay * decay * tails[i - 1][:, j], 0.0)
-                tails[i][:, j + 1] = decay * tails[i][:, j + 1] + run
+            run = (same * tails[i - 1][:, :-1]) @ fading
+            tails[i][:, 1:] = decay * tails[i][:, 1:] + decay * decay * run
     return total
 
 
@@ -123,22 +137,28 @@ class Machine:
 
 
 def similarities(words: list[str], landmarks: tuple[str, ...], norms: np.ndarray) -> np.ndarray:
-    """Kernel of each word with each landmark, divided by the landmark's norm; the best of its windows."""
+    """Cosine of each word and each landmark in the string kernel's space, to the power of ``DEGREE``; a
+    word that repeats a landmark's pieces is not nearer for it. The best of a long word's windows counts.
+    Words are marked at both ends, as landmarks that stand at a word's end are."""
+    words = [f"^{w}$" for w in words]
     out = np.zeros((len(words), len(landmarks)))
     pieces, owner = [], []
     for i, w in enumerate(words):
-        for at in range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2):
-            if len(w) - at >= LENGTH:
-                pieces.append(w[at : at + WINDOW])
-                owner.append(i)
+        for width in WINDOWS[: 1 if len(w) <= WINDOWS[0] else 2]:
+            last = max(len(w) - width, 0)
+            pieces += [w[at : at + width] for at in range(last + 1)]
+            owner += [i] * (last + 1)
     owner = np.array(owner, np.int64)
     for at in range(0, len(pieces), 50_000):
-        codes, own = as_codes(pieces[at : at + 50_000], WINDOW), owner[at : at + 50_000]
+        codes, own = as_codes(pieces[at : at + 50_000], max(WINDOWS)), owner[at : at + 50_000]
         near = common_letters(list(landmarks), codes) >= LENGTH
+        size = np.ones(len(codes))
+        some = np.flatnonzero(near.any(axis=1))
+        size[some] = np.sqrt(np.maximum(kernel(None, codes[some]), 1e-12))
         for k, landmark in enumerate(landmarks):
             rows = np.flatnonzero(near[:, k])
             if len(rows):
-                np.maximum.at(out[:, k], own[rows], kernel(landmark, codes[rows]) / norms[k])
+                np.maximum.at(out[:, k], own[rows], (kernel(landmark, codes[rows]) / norms[k] / size[rows]) ** DEGREE)
     return out
 
 
@@ -178,10 +198,11 @@ def _runs(text: str) -> set[str]:
 
 
 def choose_landmarks(drawn: DataFrame) -> list[str]:
-    """Letter runs that mark toxic documents, chosen greedily until each toxic document has one.
+    """Letter runs that mark toxic documents, by how far their counts are from chance.
 
     Runs are counted over the sample by a grouped aggregate; the ``CANDIDATES`` best are listed per
-    document, and the greedy choice is made on that list, which the sample bounds.
+    toxic document, and of runs that mark the same documents (pieces of one insult) one is chosen, on
+    that list, which the sample bounds.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,44 +214,45 @@ def choose_landmarks(drawn: DataFrame) -> list[str]:
     sizes = {r["toxic"]: r["n"] for r in drawn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
         return []
+    share = sizes[1] / (sizes[0] + sizes[1])
     counts = drawn.mapInArrow(spread, "run string, toxic int").groupBy("run").agg(
-        F.sum("toxic").alias("hits"), F.sum(1 - F.col("toxic")).alias("misses")
+        F.sum("toxic").cast("double").alias("hits"), F.sum(1 - F.col("toxic")).cast("double").alias("misses")
     )
-    rate = (F.col("hits") + 0.5) / (sizes[1] + 1) / ((F.col("misses") + 0.5) / (sizes[0] + 1))
-    ranked = counts.where("hits >= 2").withColumn("worth", F.sqrt("hits") * F.log(rate))
+    every = F.col("hits") + F.col("misses")
+    surprise = F.col("hits") * F.log(F.col("hits") / (every * share)) + F.when(
+        F.col("misses") > 0, F.col("misses") * F.log(F.col("misses") / (every * (1 - share)))
+    ).otherwise(0.0)
+    ranked = counts.where("hits >= 2").where(F.col("hits") >= every * PRECISION).withColumn("surprise", surprise)
+    total = F.lit(counts.count())
     best = [
         r["run"]
-        for r in ranked.where(rate > 4).orderBy(F.desc("worth"), F.length("run").desc(), "run").limit(CANDIDATES).collect()
+        for r in ranked.where(F.col("surprise") > F.log(total) + SURPRISE)
+        .orderBy(F.round("surprise", 6).desc(), F.length("run").desc(), "run")
+        .limit(CANDIDATES)
+        .collect()
     ]
     places = {run: i for i, run in enumerate(best)}
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             has = [sorted(places[r] for r in _runs(t or "") if r in places) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array(has, pa.list_(pa.int32()))], ["toxic", "has"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(has, pa.list_(pa.int32()))], ["has"])
 
-    held = drawn.mapInArrow(listed, "toxic int, has array<int>").collect()
-    table_ = np.zeros((len(held), len(best)), bool)
+    held = drawn.where("toxic = 1").select("text").mapInArrow(listed, "has array<int>").collect()
+    marked: list[set[int]] = [set() for _ in best]
     for i, r in enumerate(held):
-        table_[i, r["has"]] = True
-    toxic = np.array([r["toxic"] for r in held]) == 1
-    open_, chosen = toxic.copy(), []
-    wrong = table_[~toxic].sum(axis=0)
-    whole = np.array([run.startswith("^") + run.endswith("$") for run in best])
-    size = np.array([len(run.strip("^$")) for run in best])
-    while len(chosen) < LANDMARKS and open_.any() and len(best):
-        gain = table_[open_].sum(axis=0) - 20.0 * wrong + 0.3 * whole + 0.1 * size
-        k = int(np.argmax(gain))
-        if table_[open_, k].sum() < 2 or gain[k] <= 0:
+        for k in r["has"]:
+            marked[k].add(i)
+    chosen: list[int] = []
+    for k, run in enumerate(best):
+        if len(chosen) == LANDMARKS:
             break
-        run = best[k].strip("^$")
-        if len(run) >= LENGTH and run not in chosen:
-            chosen.append(run)
-        open_ &= ~table_[:, k]
-        table_[:, k] = False
-    return chosen
+        pieces = {run[i : i + LENGTH] for i in range(len(run) - LENGTH + 1)}
+        if any(p in best[c] for p in pieces for c in chosen):
+            continue
+        if all(len(marked[k] & marked[c]) <= SHARED * len(marked[k]) for c in chosen):
+            chosen.append(k)
+    return [best[k] for k in chosen]
 
 
 def fit_line(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, rounds: int = 400) -> tuple[np.ndarray, float]:
@@ -262,50 +284,52 @@ def fit_scale(margin: np.ndarray, toxic: np.ndarray, rounds: int = 50) -> tuple[
 
 
 def fit(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] | None = None) -> Machine | None:
-    """The machine, fitted on sentences of the sample: a toxic document gives the sentence nearest to a
-    landmark, a clean one the ``SENTENCES`` nearest. None if a class has no labelled document."""
+    """The machine, fitted on sentences of the sample, each seen as its word nearest to a landmark.
+
+    Sentences of clean documents are clean, those of toxic ones toxic if they come near a landmark.
+    None if a class has no labelled document or nothing marks the toxic ones.
+    """
     drawn = sample(docs, labels, sizes or SAMPLE)
     hostile = choose_landmarks(drawn)
     if not hostile:
         return None
-    usual = _usual_words(drawn, hostile)
-    landmarks = tuple(hostile + usual)
+    landmarks = tuple(hostile + _usual_words(drawn, hostile))
     norms = np.array([np.sqrt(kernel(m, as_codes([m], len(m)))[0]) for m in landmarks])
 
     def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
-            kinds, doc, vectors = [], [], []
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                words = sorted({letters(t) for t in tokens(text or "")})
-                near = similarities(words, landmarks, norms)
-                place = {w: i for i, w in enumerate(words)}
-                best: dict[int, float] = {}
-                for sentence in _SENTENCE.findall(text or ""):
-                    own = [place[w] for w in {letters(t) for t in tokens(sentence)} if w in place]
-                    if own:
-                        top = own[int(np.argmax(near[own, : len(hostile)].max(axis=1)))]
-                        best[top] = float(near[top, : len(hostile)].max())
-                for i in sorted(best, key=best.get)[::-1][: 1 if toxic else SENTENCES]:
-                    kinds.append(toxic)
-                    doc.append(i == max(best, key=best.get))
-                    vectors.append(near[i].tolist())
+        for batch in slices(batches, 256):
+            vectors = []
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            parts = [[{letters(t) for t in tokens(p)} for p in _SENTENCE.findall(text)] for text in texts]
+            words = sorted(set().union(*(words for part in parts for words in part)))
+            near = similarities(words, landmarks, norms).astype(np.float32)
+            strength = near[:, : len(hostile)].max(axis=1, initial=0.0).tolist()
+            place = {w: i for i, w in enumerate(words)}
+            for part in parts:
+                tops = {max((place[w] for w in own), key=strength.__getitem__) for own in part if own}
+                tops = sorted(tops, key=strength.__getitem__, reverse=True)[:SENTENCES]
+                vectors.append([x for i in tops for x in near[i].tolist()])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kinds, pa.int32()), pa.array(doc, pa.bool_()), pa.array(vectors, pa.list_(pa.float64()))],
-                ["toxic", "first", "near"],
+                [batch.column("toxic"), pa.array(vectors, pa.list_(pa.float32()))], ["toxic", "near"]
             )
 
-    rows = drawn.mapInArrow(sentences, "toxic int, first boolean, near array<double>").collect()
-    near = np.array([r["near"] for r in rows])
+    rows = [r for r in drawn.mapInArrow(sentences, "toxic int, near array<float>").collect() if r["near"]]
+    near = np.concatenate([np.array(r["near"]).reshape(-1, len(landmarks)) for r in rows])
+    doc = np.repeat(np.arange(len(rows)), [len(r["near"]) // len(landmarks) for r in rows])
     toxic = np.array([r["toxic"] for r in rows]) == 1
     # Nyström: features are the kernels times the inverse root of the landmarks' own kernels.
-    own = np.stack([kernel(m, as_codes(list(landmarks), WINDOW)) / norms[i] / norms for i, m in enumerate(landmarks)])
-    values, vectors = np.linalg.eigh((own + own.T) / 2)
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    y = np.where(toxic, 1.0, -1.0)
-    weight = np.where(toxic, 0.5 / max(toxic.sum(), 1), 0.5 / max((~toxic).sum(), 1)) * len(y)
-    w, bias = fit_line(near @ root, y, weight)
-    first = np.array([r["first"] for r in rows])
-    slope, shift = fit_scale((near @ root @ w + bias)[first], toxic[first])
+    own = np.stack([kernel(m, as_codes(list(landmarks), max(WINDOWS))) / norms[i] / norms for i, m in enumerate(landmarks)])
+    values, vectors = np.linalg.eigh(((own + own.T) / 2) ** DEGREE)
+    x = near @ (root := vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T)
+    close = near[:, : len(hostile)].max(axis=1) >= TOXIC_FROM
+    used = ~toxic[doc] | close
+    y = np.where(toxic[doc], 1.0, -1.0)[used]
+    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * len(y)
+    w, bias = fit_line(x[used], y, weight)
+    found = x @ w + bias
+    most = np.full(len(rows), -np.inf)
+    np.maximum.at(most, doc, found)
+    slope, shift = fit_scale(most, toxic)
     return Machine(landmarks, norms, root @ w, bias, slope, shift)
 
 
@@ -316,7 +340,7 @@ def _usual_words(drawn: DataFrame, hostile: list[str]) -> list[str]:
         for batch in slices(batches, 64):
             words = [
                 w for t in batch.column("text").to_pylist() for w in {letters(t) for t in tokens(t or "")}
-                if LENGTH <= len(w) <= WINDOW
+                if LENGTH <= len(w) <= WINDOWS[0]
             ]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], ["word"])
 
@@ -338,7 +362,7 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         least = machine.bias if machine else 0.0
-        for batch in slices(batches):
+        for batch in slices(batches, 1024):
             texts = batch.column("text").to_pylist()
             if machine is None:
                 scores = np.zeros(len(texts))
