@@ -2,6 +2,31 @@
 
 from __future__ import annotations
 
-from plumbline.llm import cap_filters, chat, mixing, ngram_join, pieces, quality, secrets, suffix_dedup, toxicity, warc
+import corpus_pipeline
+from plumbline.llm import (
+    cap_filters,
+    chat,
+    mixing,
+    ngram_join,
+    pieces,
+    quality,
+    secrets,
+    suffix_dedup,
+    toxicity,
+    warc,
+)
+from plumbline.llm.common import Query
 
-QUERIES = {**quality.QUERIES, **ngram_join.QUERIES, **suffix_dedup.QUERIES, **cap_filters.QUERIES, **warc.QUERIES, **toxicity.QUERIES, **secrets.QUERIES, **pieces.QUERIES, **chat.QUERIES, **mixing.QUERIES}
+QUERIES = {
+    **quality.QUERIES,
+    **ngram_join.QUERIES,
+    **suffix_dedup.QUERIES,
+    **cap_filters.QUERIES,
+    **warc.QUERIES,
+    **toxicity.QUERIES,
+    **secrets.QUERIES,
+    **pieces.QUERIES,
+    **chat.QUERIES,
+    **mixing.QUERIES,
+    "pipeline": Query(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
+}
