@@ -160,7 +160,10 @@ def usable_alignment(matrix: Column) -> Column:
 
 
 def invert_rigid4(matrix: Column) -> Column:
-    """Inverse of an affine 4x4 (last row 0 0 0 1) by cofactors; NULL when singular."""
+    """Inverse of an affine 4x4 (last row 0 0 0 1) by cofactors; NULL when singular or not affine.
+
+    Singular is meant relative to the matrix's own scale, so a small uniform scale has an inverse.
+    """
     m = [[entry(matrix, 4 * r + c) for c in range(4)] for r in range(3)]
 
     def cofactor(r: int, c: int) -> Column:
@@ -175,4 +178,8 @@ def invert_rigid4(matrix: Column) -> Column:
         shift = -(linear[0] * m[0][3] + linear[1] * m[1][3] + linear[2] * m[2][3])
         rows += [*linear, shift]
     rows += [f64(0), f64(0), f64(0), f64(1)]
-    return F.when(F.abs(det) >= f64(TINY), F.array(*rows))
+    size = F.greatest(*(F.abs(m[r][c]) for r in range(3) for c in range(3)))
+    affine = F.lit(True)
+    for c, wanted in enumerate((0, 0, 0, 1)):
+        affine = affine & (F.abs(entry(matrix, 12 + c) - f64(wanted)) <= f64(TINY))
+    return F.when(affine & (det != 0) & (F.abs(det) >= f64(TINY) * size * size * size), F.array(*rows))

@@ -11,7 +11,8 @@ from plumbline.functions.vectors import Vec, cross, dot, ground_axes, unit, vec
 from plumbline.operators.pixels import project
 from plumbline.operators.ranks import exact_nmad, exact_percentiles, exploded, with_ordinal
 
-MAX_MARKS = 6000
+#: Marks are handed on in rows of so many; all of them are kept.
+MARKS_PER_ROW = 4096
 WIPED_BELOW = 0.02
 
 
@@ -23,11 +24,13 @@ def select_band(heights: DataFrame, low: float, high: float) -> DataFrame:
 def select_near(points: DataFrame, centres: DataFrame, max_radius: float) -> DataFrame:
     """Points within each centre's radius; ``centres``: run_id, label, cx, cy, cz, radius.
 
-    Both sides are bucketed in cells of ``max_radius``: a centre visits its 27
-    cells and only points in them are tested.
+    Both sides are bucketed in cells of ``max_radius``: a centre visits the cells
+    its own radius reaches (27, or more if it is larger than a cell) and only
+    points in them are tested.
     """
     cell = lambda c: F.floor(F.col(c) / f64(max_radius))
-    near = F.sequence(F.lit(-1), F.lit(1))
+    reach = F.greatest(F.lit(1), F.ceil(F.col("radius") / f64(max_radius)))
+    near = F.sequence(-reach, reach)
     spread = centres.select("*", cell("cx").alias("gx"), cell("cy").alias("gy"), cell("cz").alias("gz"))
     for g in ("gx", "gy", "gz"):
         spread = spread.withColumn(g, F.explode(F.transform(near, lambda d: d + F.col(g))))
@@ -61,13 +64,11 @@ def points_below(heights: DataFrame, tolerance: float = 0.05) -> DataFrame:
 
 
 def overlay_marks(selection: DataFrame, order: list[str]) -> DataFrame:
-    """At most 6,000 evenly strided marks per run, as one bounded array row."""
+    """All marks of each run in stored order, in rows of bounded arrays: run_id, block, marks."""
     numbered = with_ordinal(selection, ["run_id"], "frame", order)
-    step = F.greatest(F.lit(1), F.floor(F.col("group_rows") / f64(MAX_MARKS)))
-    at = F.floor(F.col("ord") / step)
-    kept = numbered.where((F.col("ord") % step == 0) & (at < MAX_MARKS))
-    mark = F.struct(at.alias("i"), F.col("x").alias("wx"), F.col("y").alias("wy"), F.col("z").alias("wz"))
-    return kept.groupBy("run_id").agg(F.array_sort(F.collect_list(mark)).alias("marks"))
+    mark = F.struct(F.col("ord").alias("i"), F.col("x").alias("wx"), F.col("y").alias("wy"), F.col("z").alias("wz"))
+    block = F.floor(F.col("ord") / MARKS_PER_ROW).alias("block")
+    return numbered.groupBy("run_id", block).agg(F.array_sort(F.collect_list(mark)).alias("marks"))
 
 
 def round_trip(points: DataFrame, cameras: DataFrame, masks: DataFrame) -> DataFrame:
@@ -87,7 +88,8 @@ def round_trip(points: DataFrame, cameras: DataFrame, masks: DataFrame) -> DataF
         half_up(seen.x).alias("x"),
         half_up(seen.y).alias("y"),
     )
-    near = F.sequence(F.lit(-1), F.lit(1))
+    reach = F.greatest(F.lit(1), F.ceil(F.col("radius") / f64(max_radius)))
+    near = F.sequence(-reach, reach)
     grown = (
         masks.select("run_id", "object_id", "frame", "x", "y")
         .withColumn("x", F.explode(F.transform(near, lambda d: (d + F.col("x")).cast("long"))))

@@ -254,7 +254,7 @@ def voxel_grid(points: DataFrame, edge: float) -> DataFrame:
     first = F.min(F.shiftleft(F.col("frame").cast("long"), 32) + F.col("px"))
     cells = (
         voxel_index(points, edge)
-        .where(all_finite(F.col(c) for c in "xyz") & _in_span())
+        .where(all_finite(F.col(c) for c in "xyz"))
         .withColumn("_w", w)
         .groupBy("run_id", "ix", "iy", "iz")
         .agg(
@@ -283,7 +283,7 @@ def voxel_grid(points: DataFrame, edge: float) -> DataFrame:
 
 
 def voxel_refusals(points: DataFrame, edge: float) -> DataFrame:
-    """Points too far away for the grid, per run."""
+    """Points beyond the span of a packed 51-bit cell number, per run; ``voxel_grid`` keeps them."""
     return (
         voxel_index(points, edge)
         .groupBy("run_id")

@@ -188,13 +188,13 @@ def sweep_rungs(sweeps: DataFrame) -> DataFrame:
 
 
 def upsert_rungs(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """A new measurement replaces only its own (label, frames, process_res)."""
+    """A new measurement replaces only its own (label, frames, process_res); of one batch the largest row."""
     keys = ["label", "frames", "process_res"]
     columns = [c for c in stored.columns if c not in keys]
     both = stored.unionByName(incoming)
     return (
         both.groupBy(*keys)
-        .agg(F.max_by(F.struct(*columns), "batch").alias("r"))
+        .agg(F.max_by(F.struct(*columns), F.struct("batch", F.to_json(F.struct(*columns)))).alias("r"))
         .select(*keys, "r.*")
     )
 
@@ -203,18 +203,20 @@ def current_registry(events: DataFrame) -> DataFrame:
     """Latest state per run of an append-only registry; deleted runs drop out, built-ins cannot be deleted.
 
     ``events``: run_id, seq, action (register | save | delete), builtin and
-    descriptive columns. Saving marks the run persisted.
+    descriptive columns. Saving marks the run persisted. After a delete only a
+    later register brings the run back, and only a save after that keeps it.
     """
     live = events.where(~((F.col("action") == "delete") & F.col("builtin")))
     columns = [c for c in live.columns if c not in ("run_id", "seq", "action")]
     is_ = lambda a: F.col("action") == a
     state = live.groupBy("run_id").agg(
-        F.max_by("action", "seq").alias("_last"),
+        F.max(F.when(is_("delete"), F.col("seq"))).alias("_deleted"),
         F.max(F.when(is_("register"), F.col("seq"))).alias("_registered"),
         F.max(F.when(is_("save"), F.col("seq"))).alias("_saved"),
         F.max_by(F.struct(*columns), F.when(is_("register"), F.col("seq"))).alias("r"),
     )
     persisted = F.coalesce(F.col("_saved") > F.col("_registered"), F.lit(False))
-    return state.where((F.col("_last") != "delete") & F.col("r").isNotNull()).select(
+    back = F.col("_deleted").isNull() | (F.col("_registered") > F.col("_deleted"))
+    return state.where(back & F.col("r").isNotNull()).select(
         "run_id", persisted.alias("persisted"), "r.*"
     )

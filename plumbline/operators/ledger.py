@@ -53,12 +53,16 @@ def desired_keys(steps: DataFrame, edges: DataFrame, contract: str) -> DataFrame
 
     ``steps``: node, producer, version, params (canonical JSON text). ``edges``:
     src, src_port, dst, dst_port. One round per topological depth; a step is keyed
-    once all its inputs are, and a step on a cycle never is. The inputs of a step
-    are folded into a map, bounded by its port count.
+    once all its inputs are, and a step on a cycle never is, nor is one with two
+    edges into one port (see ``port_faults``). The inputs of a step are folded
+    into a map, bounded by its port count.
     """
+    faulty = port_faults(edges).select(F.col("node").alias("dst")).distinct()
+    needs_all = edges
+    edges = edges.join(faulty, "dst", "left_anti")
     empty = F.create_map().cast("map<string,string>")
     key = content_key(F.col("producer"), F.col("version"), F.col("inputs"), F.col("params"), contract)
-    needs = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("_needs"))
+    needs = needs_all.groupBy("dst").agg(F.count(F.lit(1)).alias("_needs"))
     pending = cut_lineage(
         steps.join(needs.withColumnRenamed("dst", "node"), "node", "left").fillna(0, ["_needs"])
     )
@@ -89,6 +93,12 @@ def desired_keys(steps: DataFrame, edges: DataFrame, contract: str) -> DataFrame
     return keyed
 
 
+def port_faults(edges: DataFrame) -> DataFrame:
+    """(node, dst_port, sources, reason) of each input port that more than one edge feeds."""
+    fed = edges.groupBy(F.col("dst").alias("node"), "dst_port").agg(F.count(F.lit(1)).alias("sources"))
+    return fed.where("sources > 1").withColumn("reason", F.lit("several edges into one port"))
+
+
 def stale_audit(held: DataFrame, desired: DataFrame) -> DataFrame:
     """Held key against desired key per step; a step never run is stale too."""
     return desired.withColumnRenamed("key", "desired").join(

@@ -323,9 +323,9 @@ def project(p: Vec, k: Column, e: Column) -> Vec:
 def view_visibility(marks: DataFrame, frames: DataFrame) -> DataFrame:
     """Each mark seen from each camera of its run: pixel, depth and state.
 
-    ``marks`` is one row per run with a bounded array of world points (see
-    ``audits.overlay_marks``), so the work is frames x a constant. The depth map
-    is indexed in place. A mark is occluded when it lies behind the recorded
+    ``marks`` is rows of bounded arrays of world points (see
+    ``audits.overlay_marks``): each block meets each frame of its run once, and
+    ``mark`` is the point's place in the run. The depth map is indexed in place. A mark is occluded when it lies behind the recorded
     surface by more than max(3 cm, 2 %).
     """
     columns = ["run_id", "frame", "width", "height", "depth", "intrinsics", "extrinsics"]
@@ -333,7 +333,8 @@ def view_visibility(marks: DataFrame, frames: DataFrame) -> DataFrame:
         usable_frames(frames)
         .select(*columns)
         .join(marks, "run_id")
-        .select("*", F.posexplode("marks").alias("mark", "_m"))
+        .select("*", F.explode("marks").alias("_m"))
+        .withColumn("mark", F.col("_m.i"))
     )
     at = Vec(F.col("_m.wx"), F.col("_m.wy"), F.col("_m.wz"))
     seen = project(at, F.col("intrinsics"), F.col("extrinsics"))

@@ -107,13 +107,25 @@ def trial_stats(trials: DataFrame) -> DataFrame:
     )
 
 
+def _first_of(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key: the smallest by ``stored_seq`` (if there is one), then by the other columns."""
+    rest = [c for c in rows.columns if c not in keys]
+    rest = sorted(rest, key=lambda c: c != "stored_seq")
+    first = F.min(F.struct(*rest)).alias("_r")
+    return rows.groupBy(*keys).agg(first).select(*keys, "_r.*").select(*rows.columns)
+
+
 def merge_trials(local: DataFrame, stored: DataFrame) -> DataFrame:
-    """Local rows, then stored rows with an identity seen nowhere yet. Rows without an instant all stay."""
+    """Local rows, then stored rows with an identity seen nowhere yet. Local rows without an instant all stay.
+
+    Of stored rows that share an identity the smallest, by ``stored_seq`` if there is one and then by
+    all columns, stays, in whatever order they are read.
+    """
     timed = stored.where(F.col("captured_at").isNotNull())
-    once = timed.dropDuplicates(["trial_id", "captured_at"])
+    once = _first_of(timed, ["trial_id", "captured_at"])
     fresh = once.join(local.select("trial_id", "captured_at"), ["trial_id", "captured_at"], "left_anti")
     # Without an instant the identity is the id alone.
-    loose = stored.where(F.col("captured_at").isNull()).dropDuplicates(["trial_id"])
+    loose = _first_of(stored.where(F.col("captured_at").isNull()), ["trial_id"])
     known = local.where(F.col("captured_at").isNull()).select("trial_id")
     fresh_loose = loose.join(known, ["trial_id"], "left_anti")
     return local.unionByName(fresh).unionByName(fresh_loose)
@@ -186,7 +198,7 @@ def restore_targets(existing: DataFrame, offered: DataFrame) -> DataFrame:
     """Existing targets plus offered ones whose (clip, id) is new; restored ones are not built in."""
     fresh = (
         offered.where(F.col("object_id").isNotNull())
-        .dropDuplicates(["clip_key", "object_id"])
+        .transform(_first_of, ["clip_key", "object_id"])
         .join(existing.select("clip_key", "object_id"), ["clip_key", "object_id"], "left_anti")
         .withColumn("builtin", F.lit(False))
     )
@@ -198,7 +210,10 @@ def remove_target(
 ) -> tuple[DataFrame, DataFrame]:
     """Drop targets and, within their clip's runs, the trials that measured them. Built-ins stay."""
     gone = targets.where(~F.col("builtin")).join(removals, ["clip_key", "object_id"], "left_semi")
-    scope = gone.select("clip_key", "object_id").join(clip_runs, "clip_key").select("object_id", "run_id")
+    # A trial meets its own run's clips only; one clip of several that removes the object is enough.
+    placed = trials.select("object_id", "run_id").distinct().join(clip_runs.distinct(), "run_id")
+    scope = placed.join(gone.select("clip_key", "object_id"), ["clip_key", "object_id"], "left_semi")
+    scope = scope.select("object_id", "run_id").distinct()
     kept_targets = targets.join(gone.select("clip_key", "object_id"), ["clip_key", "object_id"], "left_anti")
     return kept_targets, trials.join(scope, ["object_id", "run_id"], "left_anti")
 

@@ -336,9 +336,9 @@ def run_catalogue(spark: SparkSession, sf: str) -> DataFrame:
     """ WITH ev AS (SELECT user_id AS run_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'register' WHEN 'view' THEN 'save' WHEN 'error' THEN 'delete' ELSE 'register' END AS action,
            user_id % 20 = 0 AS builtin, value FROM events),
     live AS (SELECT * FROM ev WHERE NOT (action = 'delete' AND builtin)),
-    s AS (SELECT run_id, arg_max(action, seq) AS last_, max(seq) FILTER (action = 'register') AS reg, max(seq) FILTER (action = 'save') AS sav,
+    s AS (SELECT run_id, max(seq) FILTER (action = 'delete') AS del, max(seq) FILTER (action = 'register') AS reg, max(seq) FILTER (action = 'save') AS sav,
             arg_max(value, seq) FILTER (action = 'register') AS value, any_value(builtin) AS builtin FROM live GROUP BY ALL)
-    SELECT run_id, coalesce(sav > reg, false) AS persisted, builtin, round(value + 1e-9, 6) + 0e0 AS value FROM s WHERE last_ <> 'delete' AND reg IS NOT NULL""",
+    SELECT run_id, coalesce(sav > reg, false) AS persisted, builtin, round(value + 1e-9, 6) + 0e0 AS value FROM s WHERE (del IS NULL OR reg > del) AND reg IS NOT NULL""",
 )
 def run_registry(spark: SparkSession, sf: str) -> DataFrame:
     e = A.table(spark, sf, "events")

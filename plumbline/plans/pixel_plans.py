@@ -251,12 +251,9 @@ def round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 MARKS = """numbered AS (
-        SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY frame, px) - 1 AS o,
-               count(*) OVER (PARTITION BY run_id) AS n
+        SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY frame, px) - 1 AS o
         FROM world WHERE step > depth * 8e-2),
-    marks AS (
-        SELECT run_id, o // greatest(1, n // 6000) AS mark, wx, wy, wz FROM numbered
-        WHERE o % greatest(1, n // 6000) = 0 AND o // greatest(1, n // 6000) < 6000),
+    marks AS (SELECT run_id, o AS mark, wx, wy, wz FROM numbered),
     seen AS (
         SELECT m.run_id, k.frame, mark, wx + tx AS a, c * wy - s * wz + ty AS b, s * wy + c * wz + tz AS z
         FROM marks m JOIN cam k USING (run_id)),

@@ -93,6 +93,7 @@ def artifact_status(expected: DataFrame, found: DataFrame) -> DataFrame:
         .when(F.col("digest") != F.col("sha256"), F.lit("checksum differs"))
         .when(wanted.isNotNull() & ~F.startswith(F.col("head"), wanted), F.lit("wrong signature"))
         .when(F.col("declared").isNotNull() & (F.col("declared") != F.col("length")), F.lit("truncated"))
+        .when((suffix == "ply") & F.col("vertices").isNull(), F.lit("no vertex count"))
         .when(F.col("vertices") <= MIN_VERTICES, F.lit("too few vertices"))
         .otherwise(F.lit("ok"))
     )
@@ -113,7 +114,9 @@ def file_facts(spark: SparkSession, path: str) -> DataFrame:
     head = F.hex(F.substring(content, 1, 12))
     swapped = F.concat(*(F.substring(head, at, 2) for at in (23, 21, 19, 17)))
     declared = F.when(F.substring(head, 1, 8) == MAGIC_HEX["glb"], F.conv(swapped, 16, 10).cast("long"))
-    header = F.decode(F.substring(content, 1, 2048), "ISO-8859-1")
+    # The text header of a cloud ends at its own mark, however long it is.
+    whole = F.when(F.startswith(head, F.lit(MAGIC_HEX["ply"])), F.decode(content, "ISO-8859-1"))
+    header = F.substring_index(whole, "end_header", 1)
     vertices = F.regexp_extract(header, r"element vertex (\d+)", 1)
     return (
         spark.read.format("binaryFile")

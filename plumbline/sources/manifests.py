@@ -82,11 +82,10 @@ def write_manifests(manifests: DataFrame, path: str) -> None:
 
 
 def read_sweeps(spark: SparkSession, *paths: str) -> DataFrame:
-    """label, date, batch (reading order unknown: 0) and the nested runs of every sweep."""
+    """label, date, batch (when the file was written, in microseconds) and the nested runs of every sweep."""
     files = spark.read.schema(schemas.SWEEPS).option("multiLine", True).json(list(paths))
-    return files.select(F.explode("sweeps").alias("s")).select(
-        "s.label", "s.date", F.lit(0).alias("batch"), "s.runs"
-    )
+    written = F.unix_micros("_metadata.file_modification_time").alias("batch")
+    return files.select(F.explode("sweeps").alias("s"), written).select("s.label", "s.date", "batch", "s.runs")
 
 
 def memory_columns(prefix: str = "") -> tuple[Column, Column, Column]:
