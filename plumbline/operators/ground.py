@@ -413,15 +413,44 @@ def plane_support(sample: DataFrame, fits: DataFrame, keys: Sequence[str], band:
     )
 
 
-def fit_ground(points: DataFrame, ups: DataFrame, options: GroundOptions) -> DataFrame:
+def fit_ground(
+    points: DataFrame, ups: DataFrame, options: GroundOptions, runs: DataFrame | None = None
+) -> DataFrame:
     """One row per (run, seed, pool): a plane, or the reason there is none.
 
     A refusal is a row with ``status = 'refused'``, so one bad run never fails
-    the job. The strided sample is written once to the checkpoint folder since
-    scoring and two refinements all read it.
+    the job: a run with an up direction and no finite point is refused, and so is
+    one of ``runs`` (run_id: all that are asked for) without an up direction. The
+    strided sample is written once to the checkpoint folder since scoring and two
+    refinements all read it.
     """
     sample = cut_lineage(stride_sample(points, ups, options.stride))
-    return fit_sample(sample, ups, options)
+    known = ups.select("run_id", F.lit("no finite points").alias("reason"))
+    if runs is not None:
+        nameless = runs.select("run_id").distinct().join(ups.select("run_id"), "run_id", "left_anti")
+        known = known.unionByName(nameless.withColumn("reason", F.lit("no up direction")))
+    missing = known.join(sample.select("run_id").distinct(), "run_id", "left_anti")
+    return _with_refused(fit_sample(sample, ups, options), missing, options)
+
+
+def _with_refused(fits: DataFrame, missing: DataFrame, options: GroundOptions) -> DataFrame:
+    """``fits`` and a refused row per seed and pool of each of ``missing`` (run_id, reason)."""
+    asked = missing.withColumn("seed", F.explode(F.array(*(F.lit(s) for s in options.seeds)))).withColumn(
+        "pool", F.explode(F.array(*(f64(p) for p in options.pools)))
+    )
+    given = {
+        "status": F.lit("refused"),
+        "tilt_clamped": F.lit(False),
+        "candidates_considered": F.lit(0),
+    }
+    kinds = {f.name: f.dataType for f in fits.schema.fields}
+    rows = asked.select(
+        *(
+            (F.col(c) if c in asked.columns else given.get(c, F.lit(None))).cast(kinds[c]).alias(c)
+            for c in fits.columns
+        )
+    )
+    return fits.unionByName(rows)
 
 
 def fit_sample(sample: DataFrame, ups: DataFrame, options: GroundOptions) -> DataFrame:
@@ -513,7 +542,8 @@ def fit_ground_robust(
 def fit_two_pass(points: DataFrame, ups: DataFrame, options: GroundOptions) -> DataFrame:
     """A second fit along the first one's normal, with a tighter gate and the next seed.
 
-    Both rows come back, ``pass`` 1 and 2. Takes one seed and one pool.
+    Both rows come back, ``pass`` 1 and 2, the second refused if the first is.
+    Takes one seed and one pool.
     """
     first = cut_lineage(fit_ground(points, ups, options))
     normals = first.where(F.col("status") == "ok").select(
@@ -524,7 +554,8 @@ def fit_two_pass(points: DataFrame, ups: DataFrame, options: GroundOptions) -> D
         max_tilt_deg=min(options.max_tilt_deg, 10.0),
         seeds=tuple(s + 1 for s in options.seeds),
     )
-    second = fit_ground(points, normals, tighter)
+    failed = first.where(F.col("status") != "ok").select("run_id", F.lit("first pass refused").alias("reason"))
+    second = _with_refused(fit_ground(points, normals, tighter), failed, tighter)
     return first.withColumn("pass", F.lit(1)).unionByName(second.withColumn("pass", F.lit(2)))
 
 

@@ -44,16 +44,21 @@ def run_phases(spark: SparkSession, sf: str) -> DataFrame:
 @plan(
     "evidence_stream",
     "X3, S12 (stream)",
-    """ SELECT count(DISTINCT event_type || '@' || user_id || '@' || CAST(date_trunc('hour', ts) AS VARCHAR)) AS packets FROM events""",
+    """ SELECT event_type || '@' || user_id || '@' || CAST(date_trunc('hour', ts) AS VARCHAR) AS evidence_id, max(event_id) AS event_id,
+      round(arg_max(value, event_id) + 1e-9, 6) + 0e0 AS value FROM events GROUP BY ALL""",
 )
 def evidence_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Packets arriving with repeats of the same id: stored once each."""
+    """Packets arriving in several micro-batches with repeats of the same id: the last one sent stays."""
     ident = F.concat_ws("@", "event_type", F.col("user_id").cast("string"), F.date_trunc("hour", F.col("ts")).cast("string"))
-    arriving = event_stream(spark, sf).select(ident.alias("evidence_id"), "ts", "value")
+    # Three files by event_id, taken one at a time, so that repeats meet the state of an earlier batch.
+    files = SR.fresh_folder(spark, "arriving")
+    events = A.table(spark, sf, "events").select("event_type", "user_id", "ts", "event_id", "value")
+    events.repartitionByRange(3, "event_id").write.parquet(files)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(files)
+    arriving = stream.select(ident.alias("evidence_id"), "event_id", "value")
     folder = SR.fresh_folder(spark, "packets")
-    SR.run_available(SE.keep_packets(arriving, "ts", "60 days"), folder, "append")
-    kept = SR.latest(spark, folder, ["evidence_id"])
-    return publish(kept.agg(F.count(F.lit(1)).alias("packets")))
+    SR.run_available(SE.keep_packets(arriving, ["event_id"]), folder, "update")
+    return publish(SR.latest(spark, folder, ["evidence_id"]))
 
 
 @plan(

@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from plumbline.operators.ranks import uniform_sample
 
 
-def keep_packets(packets: DataFrame, event_time: str, late: str = "1 hour") -> DataFrame:
-    """Drop repeats of an evidence id that arrive within the watermark."""
-    instants = packets.withColumn(event_time, F.col(event_time).cast("timestamp"))
-    return instants.withWatermark(event_time, late).dropDuplicatesWithinWatermark(["evidence_id"])
+def keep_packets(packets: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The packet an evidence id has now: one sent again replaces the one before, by ``order``.
+
+    Run in update mode: each micro-batch emits the ids it changed, and the state
+    holds one packet per id, as the store does.
+    """
+    rest = [c for c in packets.columns if c != "evidence_id"]
+    newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("p")
+    return packets.groupBy("evidence_id").agg(newest).select("evidence_id", "p.*")
 
 
 def sittings(trials: DataFrame, keys: Sequence[str], gap: str = "30 minutes") -> DataFrame:

@@ -90,3 +90,23 @@ def test_a_long_header_still_gives_its_vertices(spark, tmp_path):
     expected = facts.select("run_id", "name", F.col("length").alias("size_bytes"), F.col("digest").alias("sha256"))
     status = {r["name"]: r.status for r in catalog.artifact_status(expected, facts).collect()}
     assert status["none.ply"] == "no vertex count"
+
+
+def test_runs_without_points_or_up_are_refused(spark):
+    from plumbline.operators import ground
+
+    schema = "run_id int, frame int, px int, x double, y double, z double, weight double"
+    rows = [(1, 0, i, float(i % 7), 0.001 * (i % 3), float(i // 7), 1.0) for i in range(60)] + [(2, 0, 0, float("nan"), 0.0, 0.0, 1.0), (3, 0, 0, 1.0, 1.0, 1.0, 1.0)]
+    points = spark.createDataFrame(rows, schema)
+    ups = spark.createDataFrame([(1, 0.0, 1.0, 0.0), (2, 0.0, 1.0, 0.0)], "run_id int, ux double, uy double, uz double")
+    found = ground.fit_ground(points, ups, ground.MEASUREMENT_FIT, points.select("run_id")).collect()
+    reason = {r.run_id: r.reason for r in found if r.run_id != 1}
+    assert reason == {2: "no finite points", 3: "no up direction"} and any(r.run_id == 1 for r in found)
+
+
+def test_a_packet_sent_again_replaces(spark):
+    from plumbline.streaming import evidence
+
+    packets = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 6.0), ("b", 1, 7.0)], "evidence_id string, event_id int, value double")
+    kept = evidence.keep_packets(packets, ["event_id"]).collect()
+    assert {r.evidence_id: r.value for r in kept} == {"a": 6.0, "b": 7.0}
