@@ -79,7 +79,8 @@ def exact_percentiles(
 
     Exact for any group size, in two passes. A mergeable sketch with a guaranteed
     rank error brackets each wanted rank; then everything under a bracket is
-    counted and only the values inside it (under 1 % of the group) are told apart.
+    counted, what is inside it (under 1 % of the group) is counted by bins of the
+    bracket, and only the values of the one bin that holds the rank are put in order.
     ``ranks`` replaces the nearest-rank rule of a name, within the bracket of its p.
     """
     values = df.select(*keys, value.cast("double").alias("_v")).where(finite(F.col("_v")))
@@ -109,19 +110,30 @@ def exact_percentiles(
     )
     brackets = marks.select(*keys, "_n", wanted.alias("_w"))
     inside = F.when(F.col("_v") >= F.col("_b.lo"), F.col("_v"))
+    width = F.nullif(F.col("_b.hi") - F.col("_b.lo"), f64(0))
+    bin_ = F.when(
+        F.col("_v") >= F.col("_b.lo"),
+        F.coalesce(F.floor((F.col("_v") - F.col("_b.lo")) / width * f64(BINS)).cast("int"), F.lit(0)),
+    ).otherwise(F.lit(-1))
     counted = (
         values.join(brackets, list(keys))
         .select(*keys, "_n", "_v", F.explode("_w").alias("_b"))
         .where(F.col("_v") <= F.col("_b.hi"))
-        .groupBy(*keys, "_n", F.col("_b.i").alias("_i"), F.col("_b.rank").alias("_rank"), inside.alias("_x"))
+        .groupBy(*keys, "_n", F.col("_b.i").alias("_i"), F.col("_b.rank").alias("_rank"), bin_.alias("_bin"), inside.alias("_x"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
+    slot = [*keys, "_i"]
+    bins = counted.groupBy(*slot, "_rank", "_bin").agg(F.sum("_c").alias("_in"))
+    upto = W.partitionBy(*slot).orderBy("_bin").rowsBetween(W.unboundedPreceding, W.currentRow)
+    bins = bins.withColumn("_through", F.sum("_in").over(upto)).withColumn("_before", F.col("_through") - F.col("_in"))
+    holding = bins.where((F.col("_rank") > F.col("_before")) & (F.col("_rank") <= F.col("_through")))
+    chosen = counted.join(holding.select(*slot, "_bin", "_before"), [*slot, "_bin"])
     running = (
-        W.partitionBy(*keys, "_i")
-        .orderBy(F.asc_nulls_first("_x"))
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
+        W.partitionBy(*slot).orderBy(F.asc_nulls_first("_x")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    )
+    reached = chosen.withColumn("_cum", F.col("_before") + F.sum("_c").over(running)).where(
+        F.col("_cum") >= F.col("_rank")
     )
-    reached = counted.withColumn("_cum", F.sum("_c").over(running)).where(F.col("_cum") >= F.col("_rank"))
     # The first value to reach the rank. Nothing there would mean the bracket
     # missed it, which the sketch rules out; fail rather than answer wrongly.
     first = lambda i: F.min_by(

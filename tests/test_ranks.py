@@ -78,3 +78,16 @@ def test_sample_is_exact_in_size_stable_and_even(table, groups):
         assert len(kept) == len(set(kept)) == min(1000, len(values))
     kept = [r.i for r in first if r.k == "hot"]
     assert abs(np.mean(kept) - 20000) < 1500
+
+
+def test_percentiles_of_one_value_on_most_rows_and_of_a_huge_key(spark):
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id").cast("double")).otherwise(F.lit(7.0)).alias("v"),
+        F.when(F.col("id") % 1000 == 0, F.lit("small")).otherwise(F.lit("huge")).alias("k"),
+    )
+    found = {r.k: r for r in exact_percentiles(rows, ["k"], F.col("v"), {"p5": 5, "p50": 50, "p95": 95, "p99": 99}).collect()}
+    for key in ("small", "huge"):
+        values = sorted(r.v for r in rows.where(F.col("k") == key).collect())
+        n = len(values)
+        for p in (5, 50, 95, 99):
+            assert found[key][f"p{p}"] == values[min(n, max(1, -(-p * n // 100))) - 1]
