@@ -24,9 +24,9 @@ PASSAGE, FIRST = 100, 32
 WINDOW = PASSAGE - FIRST + 1
 #: Starts that are handed on together are cut after so many; a run that may hold one passage twice, as
 #: text of a short period does, is marked by TWICE in its number of starts.
-RUN, TWICE = 64, 128
+RUN, TWICE = WINDOW, 128
 #: Texts are worked on in pieces of so many bytes, and runs gathered from so many before they are dealt out.
-PIECE_BYTES, BLOCK_BYTES = 4 << 20, 24 << 20
+PIECE_BYTES, BLOCK_BYTES = 1 << 20, 24 << 20
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LETTER = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -39,18 +39,16 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed * _A
 
 
-def identifiers(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place the identifier of the FIRST and of the PASSAGE bytes from there on."""
+def identifiers(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place the identifiers of the FIRST, of twice FIRST and of the PASSAGE bytes from there on."""
     now, size = _LETTER[raw], 1
     while size < FIRST:
         now = _joined(now[:-size], now[size:])
         size *= 2
     first = now
-    while 2 * size <= PASSAGE:
-        now = _joined(now[:-size], now[size:])
-        size *= 2
-    rest = PASSAGE - size
-    return first, _joined(now[: len(now) - rest], now[rest:]) if rest else now
+    double = _joined(now[:-size], now[size:])
+    rest = PASSAGE - 2 * size
+    return first, double, _joined(double[: len(double) - rest], double[rest:])
 
 
 def smallest(values: np.ndarray, window: int) -> np.ndarray:
@@ -65,19 +63,21 @@ def smallest(values: np.ndarray, window: int) -> np.ndarray:
 
 
 def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(bucket, content, text, start, starts) of the runs of passage starts in each text.
+    """(bucket, content, sides, text, start, starts) of the runs of passage starts in each text.
 
     A passage's bucket is the smallest identifier of its FIRST-byte strings. Neighbouring starts with
     one bucket are one run; ``content`` identifies the bytes that its passages cover together. A passage
-    can be twice in a run only if a window of it holds its smallest identifier twice.
+    can be twice in a run only if a window of it holds its smallest identifier twice. ``sides`` are short
+    identifiers of the 2 * FIRST bytes that end with the run's smallest string and of those that begin
+    with it (0: beyond the text): two runs with a passage in common agree in one of them.
     """
     sizes = np.array([len(t) for t in texts])
     raw = np.frombuffer(b"".join(texts), np.uint8)
     empty = np.zeros(0, np.uint64)
     if len(raw) < PASSAGE:
-        return empty, empty, *(np.zeros(0, np.int64),) * 3
+        return empty, empty, np.zeros((0, 2), np.uint32), *(np.zeros(0, np.int64),) * 3
     ends = np.cumsum(sizes)
-    first, passage = identifiers(raw)
+    first, double, passage = identifiers(raw)
     key = _joined(first, first)
     bucket = smallest(key, WINDOW)
     none = np.zeros(WINDOW - 1, np.uint64)
@@ -97,12 +97,21 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     fresh, at, bucket, text, passage, twice = (x[valid] for x in (fresh, at, bucket, text, passage, twice))
     start = np.flatnonzero(fresh)
     if not len(start):
-        return empty, empty, *(np.zeros(0, np.int64),) * 3
+        return empty, empty, np.zeros((0, 2), np.uint32), *(np.zeros(0, np.int64),) * 3
     last = np.r_[start[1:], len(at)] - 1
     content = _joined(_joined(passage[start], passage[last]), (last - start).astype(np.uint64))
     begin = ends[text[start]] - sizes[text[start]]
     starts = last - start + 1 + TWICE * np.logical_or.reduceat(twice, start)
-    return bucket[start], content, text[start], at[start] - begin, starts
+    # The place of a run's smallest string: the first chosen one in its last window with that identifier.
+    near = np.searchsorted(chosen, at[last])
+    while len(off := np.flatnonzero(key[chosen[near]] != bucket[start])):
+        near[off] += 1
+    place = chosen[near]
+    short = (double >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    left = np.where(place - FIRST >= begin, short[np.maximum(place - FIRST, 0)], 0)
+    right = np.where(place + 2 * FIRST <= ends[text[start]], short[np.minimum(place, len(short) - 1)], 0)
+    sides = np.stack([left, right], 1).astype(np.uint32)
+    return bucket[start], content, sides, text[start], at[start] - begin, starts
 
 
 def _later(keys: tuple[np.ndarray, ...], order: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -121,7 +130,16 @@ def _part(bucket: np.ndarray, parts: int) -> np.ndarray:
     return ((bucket * _B) >> np.uint64(48)).astype(np.int64) * parts >> 16
 
 
-_PACKED = "part int, bucket binary, content binary, text binary, start binary, starts binary, gone binary, docs binary"
+def _shared(bucket: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """True for rows whose bucket and side, if not 0, another row has too."""
+    by = np.lexsort((side, bucket))
+    same = (bucket[by][1:] == bucket[by][:-1]) & (side[by][1:] == side[by][:-1]) & (side[by][1:] != 0)
+    out = np.zeros(len(by), bool)
+    out[by] = np.r_[same, False] | np.r_[False, same] if len(by) else False
+    return out
+
+
+_PACKED = "part int, bucket binary, content binary, sides binary, text binary, start binary, starts binary, gone binary, docs binary"
 
 
 def _packed_runs(docs: DataFrame, parts: int) -> DataFrame:
@@ -136,8 +154,8 @@ def _packed_runs(docs: DataFrame, parts: int) -> DataFrame:
 
         def search() -> None:
             nonlocal piece, piece_held
-            bucket, content, text, start, starts = runs(piece)
-            found.append((bucket, content, text + len(ids) - len(piece), start, starts))
+            bucket, content, sides, text, start, starts = runs(piece)
+            found.append((bucket, content, sides, text + len(ids) - len(piece), start, starts))
             piece, piece_held = [], 0
 
         def emit() -> Iterator[pa.RecordBatch]:
@@ -145,7 +163,7 @@ def _packed_runs(docs: DataFrame, parts: int) -> DataFrame:
                 search()
             if not found:
                 return
-            bucket, content, text, start, starts = (np.concatenate(c) for c in zip(*found))
+            bucket, content, sides, text, start, starts = (np.concatenate(c) for c in zip(*found))
             names = np.array(ids, np.int64).reshape(-1, 2)
             later = _later((bucket, content), (names[text, 0], names[text, 1], start))
             part = _part(bucket, parts)
@@ -158,14 +176,14 @@ def _packed_runs(docs: DataFrame, parts: int) -> DataFrame:
                 used, own = np.unique(text[mine], return_inverse=True)
                 new, old = ~later[mine], later[mine]
                 row = [
-                    bucket[mine][new].tobytes(), content[mine][new].tobytes(), own[new].astype(np.int32).tobytes(),
+                    bucket[mine][new].tobytes(), content[mine][new].tobytes(), sides[mine][new].tobytes(), own[new].astype(np.int32).tobytes(),
                     start[mine][new].astype(np.int32).tobytes(), starts[mine][new].astype(np.uint8).tobytes(),
                     np.stack([own[old], start[mine][old], starts[mine][old] % TWICE], 1).astype(np.int32).tobytes(),
                     names[used].tobytes(),
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p], pa.int32()), *(pa.array([x], pa.binary()) for x in row)],
-                    ["part", "bucket", "content", "text", "start", "starts", "gone", "docs"],
+                    ["part", "bucket", "content", "sides", "text", "start", "starts", "gone", "docs"],
                 )
 
         for batch in slices(batches):
@@ -204,25 +222,28 @@ def _by_part(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[li
 def _refined(packed: DataFrame, parts: int) -> DataFrame:
     """(doc, mark, gone, open): per document of a part the runs that go, and those left to look into.
 
-    A run whose content an earlier run of its bucket has goes as a whole. A bucket with one content is
-    done; of one with several, the first run of each content is looked into byte by byte, and so is a
-    first run that may hold a passage twice.
+    A run whose content an earlier run of its bucket has goes as a whole. Of the first runs of each
+    content those are looked into byte by byte that agree with another one on a side (the bucket refined
+    by what lies at later and at earlier offsets), and those of a bucket that may hold a passage twice.
     """
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_part(batches, ["bucket", "content", "text", "start", "starts", "gone", "docs"]):
-            offsets = np.cumsum([0, *(len(r[6]) // 16 for r in rows)])
-            names = np.concatenate([np.frombuffer(r[6], np.int64).reshape(-1, 2) for r in rows])
+        for rows in _by_part(batches, ["bucket", "content", "sides", "text", "start", "starts", "gone", "docs"]):
+            offsets = np.cumsum([0, *(len(r[7]) // 16 for r in rows)])
+            names = np.concatenate([np.frombuffer(r[7], np.int64).reshape(-1, 2) for r in rows])
             bucket = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
             content = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows])
-            text = np.concatenate([np.frombuffer(r[2], np.int32) + o for r, o in zip(rows, offsets)])
-            start = np.concatenate([np.frombuffer(r[3], np.int32) for r in rows])
-            starts = np.concatenate([np.frombuffer(r[4], np.uint8) for r in rows]).astype(np.int32)
-            settled = [np.frombuffer(r[5], np.int32).reshape(-1, 3) + [o, 0, 0] for r, o in zip(rows, offsets)]
+            sides = np.concatenate([np.frombuffer(r[2], np.uint32).reshape(-1, 2) for r in rows])
+            text = np.concatenate([np.frombuffer(r[3], np.int32) + o for r, o in zip(rows, offsets)])
+            start = np.concatenate([np.frombuffer(r[4], np.int32) for r in rows])
+            starts = np.concatenate([np.frombuffer(r[5], np.uint8) for r in rows]).astype(np.int32)
+            settled = [np.frombuffer(r[6], np.int32).reshape(-1, 3) + [o, 0, 0] for r, o in zip(rows, offsets)]
             later = _later((bucket, content), (names[text, 0], names[text, 1], start))
             first = np.flatnonzero(~later)
-            _, where, count = np.unique(bucket[first], return_inverse=True, return_counts=True)
-            first = first[(count[where.reshape(-1)] > 1) | (starts[first] >= TWICE)]
+            agree = _shared(bucket[first], sides[first, 0]) | _shared(bucket[first], sides[first, 1])
+            # Where a run has its smallest string twice, sides say nothing: all of its bucket stays open.
+            agree |= np.isin(bucket[first], bucket[first][starts[first] >= TWICE])
+            first = first[agree]
             starts %= TWICE
             gone = np.concatenate([*settled, np.stack([text[later], start[later], starts[later]], 1)])
             # A block may have named a document that another row of the part names too: by name now.
@@ -295,15 +316,29 @@ def _settled(contents: DataFrame, parts: int) -> DataFrame:
             names = np.concatenate([np.frombuffer(r[1], np.int64).reshape(-1, 2) for r in rows])
             start = np.concatenate([np.frombuffer(r[2], np.int32) for r in rows])
             sizes = np.concatenate([np.frombuffer(r[3], np.int32) for r in rows])
-            _, passage = identifiers(np.frombuffer(b"".join(r[4] for r in rows), np.uint8))
+            data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
             begin = np.cumsum(sizes) - sizes
-            n = sizes - PASSAGE + 1
-            run = np.repeat(np.arange(len(n)), n)
-            inside = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-            own = passage[begin[run] + inside]
-            later = _later((bucket[run], own), (names[run, 0], names[run, 1], start[run] + inside))
             unique, number = np.unique(names, axis=0, return_inverse=True)
-            gone = np.stack([number.reshape(-1)[run[later]], (start[run] + inside)[later], np.ones(later.sum(), np.int64)], 1)
+            gone = []
+            # Some buckets at a time, so that identifiers take little memory.
+            by = np.argsort(bucket, kind="stable")
+            piece = np.cumsum(sizes[by]) // PIECE_BYTES
+            cut = np.flatnonzero(np.diff(piece)) + 1
+            cut = np.searchsorted(bucket[by], bucket[by][cut]) if len(cut) else cut
+            for some in np.split(by, np.unique(cut)):
+                if not len(some):
+                    continue
+                joined = np.concatenate([data[begin[k] : begin[k] + sizes[k]] for k in some])
+                passage = identifiers(joined)[2]
+                n = sizes[some] - PASSAGE + 1
+                run = np.repeat(np.arange(len(n)), n)
+                inside = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+                own = passage[(np.cumsum(sizes[some]) - sizes[some])[run] + inside]
+                run = some[run]
+                later = _later((bucket[run], own), (names[run, 0], names[run, 1], start[run] + inside))
+                run, inside = run[later], inside[later]
+                gone.append(np.stack([number.reshape(-1)[run], start[run] + inside, np.ones(len(run), np.int64)], 1))
+            gone = np.concatenate(gone)
             none = np.zeros((0, 3), np.int64)
             for batch in _per_document(unique, gone, none, np.zeros(0, np.uint64)):
                 yield batch.select(["doc", "mark", "gone"])
