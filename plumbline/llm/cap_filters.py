@@ -61,16 +61,31 @@ class Code:
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """vec_id, label and ``unit`` (double precision, length 1), for vectors that can be linked."""
-    numbers = F.transform(column, lambda x: x.cast("double"))
-    fine = F.forall(numbers, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    # Scaled by the largest component first, so that squares neither vanish nor overflow.
-    large = F.array_max(F.transform("_v", lambda x: F.abs(x)))
-    kept = vectors.where(F.col("label").isNotNull() & F.col(column).isNotNull() & (F.size(column) > 0))
-    kept = kept.select("vec_id", "label", numbers.alias("_v"), fine.alias("_fine")).where("_fine")
-    kept = kept.withColumn("_large", large).where("_large > 0")
-    scaled = kept.select("vec_id", "label", F.transform("_v", lambda x: x / F.col("_large")).alias("_v"))
-    size = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda acc, x: acc + x * x))
-    return scaled.withColumn("_size", size).select("vec_id", "label", F.transform("_v", lambda x: x / F.col("_size")).alias("unit"))
+    rows = vectors.where(F.col("label").isNotNull() & F.col(column).isNotNull() & (F.size(column) > 0))
+    rows = rows.where(~F.exists(column, lambda x: x.isNull())).select(
+        "vec_id", "label", F.col(column).cast("array<double>").alias("unit")
+    )
+
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            sizes = np.diff(batch.column("unit").offsets.to_numpy())
+            for dim in np.unique(sizes):
+                some = batch.take(pa.array(np.flatnonzero(sizes == dim)))
+                v = some.column("unit").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                large = np.abs(v).max(axis=1)
+                fine = np.isfinite(large) & (large > 0)
+                # By the largest component first, so that squares neither vanish nor overflow.
+                v = v[fine] / large[fine, None]
+                v /= np.sqrt((v * v).sum(axis=1))[:, None]
+                kept = some.take(pa.array(np.flatnonzero(fine)))
+                offsets = pa.array(np.arange(len(v) + 1, dtype=np.int32) * dim)
+                yield pa.RecordBatch.from_arrays(
+                    [kept.column("vec_id"), kept.column("label"), pa.ListArray.from_arrays(offsets, pa.array(v.ravel()))],
+                    ["vec_id", "label", "unit"],
+                )
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.mapInArrow(scale, f"vec_id {kinds['vec_id']}, label {kinds['label']}, unit array<double>")
 
 
 def classes(rows: DataFrame) -> DataFrame:
