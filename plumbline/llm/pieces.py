@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
@@ -21,8 +22,8 @@ SPACE = "▁"
 LONGEST = 62
 #: Longer pieces do not occur in the vocabulary.
 PIECE = 16
-#: Distinct words a task gathers before it hands them on.
-GATHERED = 500_000
+#: Distinct words a task gathers before it hands them on, and words of one stored row.
+GATHERED, ROW = 400_000, 20_000
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -143,11 +144,11 @@ def fold_viterbi(n: Column, edges: Column) -> Column:
 
 def ids_of(unit: Column, cuts: Column, edges: Column, byte: int) -> Column:
     """The ids of the parts between cuts; a character without a piece becomes the ids of its bytes."""
-    places = F.filter(
+    cut_at = F.filter(
         F.sequence(F.lit(0), F.length(unit)), lambda at: cuts.bitwiseAND(_bit(at)) != F.lit(0).cast("long")
     )
 
-    def part(at: Column, k: Column) -> Column:
+    def part(places: Column, at: Column, k: Column) -> Column:
         end = F.get(places, k + 1)
         own = F.filter(edges, lambda e: (e["start"] == at) & (e["end"] == end))
         code = F.hex(F.encode(F.substring(unit, at + 1, F.lit(1)), "UTF-8"))
@@ -157,7 +158,9 @@ def ids_of(unit: Column, cuts: Column, edges: Column, byte: int) -> Column:
         )
         return F.when(end.isNull(), F.array().cast("array<int>")).when(F.size(own) > 0, F.array(F.get(own, F.lit(0))["id"])).otherwise(raw)
 
-    return F.flatten(F.transform(places, part))
+    # The places are worked out once: they are the only item of an array.
+    parts = F.transform(F.array(cut_at), lambda places: F.transform(places, lambda at, k: part(places, at, k)))
+    return F.flatten(F.element_at(parts, 1))
 
 
 def encode_words(words: DataFrame, path: str = MODEL) -> DataFrame:
@@ -165,8 +168,12 @@ def encode_words(words: DataFrame, path: str = MODEL) -> DataFrame:
     edges = lattice(words, piece_table(words.sparkSession, path))
     empty = F.array().cast("array<struct<score:double,start:int,end:int,id:int>>")
     joined = words.join(edges, "unit", "left").withColumn("edges", F.coalesce("edges", empty))
-    cut = joined.withColumn("_cuts", fold_merges(F.length("unit"), F.col("edges")))
-    return cut.withColumn("ids", ids_of(F.col("unit"), F.col("_cuts"), F.col("edges"), vocabulary(path)[1])).drop("edges", "_cuts")
+    # The cuts are bound to a name of the lambda: as a column they might be worked out at each use.
+    ids = F.transform(
+        F.array(fold_merges(F.length("unit"), F.col("edges"))),
+        lambda cuts: ids_of(F.col("unit"), cuts, F.col("edges"), vocabulary(path)[1]),
+    )
+    return joined.withColumn("ids", F.element_at(ids, 1)).drop("edges")
 
 
 def merged(unit: str, path: str = MODEL) -> list[int]:
@@ -237,17 +244,18 @@ def _words_of(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("text", F.spark_partition_id().alias("block")).mapInArrow(gather, "unit string, block int")
 
 
-def encode(docs: DataFrame, path: str = MODEL, column: str = "ids") -> DataFrame:
-    """``docs`` with ``column``: the ids of ``text``, equal to those of the model's own library.
+def encode(docs: DataFrame, path: str = MODEL, column: str = "ids", checked: str = "round_trip") -> DataFrame:
+    """``docs`` with ``column``: the ids of ``text``, equal to those of the model's own library, and
+    ``checked``: whether they decode to the text, found out in the same pass over it.
 
     The words of all texts are made distinct over the corpus, sent through the lattice once, and written
     to the shared folder by the partition of ``docs`` that asked for them; each partition then reads
     its own words and puts the texts together, so texts are never shuffled. NULL and empty texts have
-    no ids. All columns and rows of ``docs`` stay (one named like ``column`` is replaced); only texts
+    no ids. All columns and rows of ``docs`` stay (any named like ``column`` or ``checked`` are replaced); only texts
     with the mark for a space itself do not decode to themselves, as the model has it.
     """
     spark = docs.sparkSession
-    docs = docs.drop(column)
+    docs = docs.drop(column, checked)
     asked = _words_of(docs, path).groupBy("unit").agg(F.collect_set("block").alias("blocks"))
     coded = encode_words(asked, path)
     folder = shared_folder(spark, "words")
@@ -258,16 +266,20 @@ def encode(docs: DataFrame, path: str = MODEL, column: str = "ids") -> DataFrame
 
         def emit() -> Iterator[pa.RecordBatch]:
             for block, (words, ids) in held.items():
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([block], pa.int32()), pa.array([words], pa.list_(pa.string())),
-                        pa.array([ids], pa.list_(pa.list_(pa.int32()))),
-                    ],
-                    ["block", "words", "word_ids"],
-                )
+                for at in range(0, len(words), ROW):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([block], pa.int32()), pa.array([words[at : at + ROW]], pa.list_(pa.string())),
+                            pa.array([ids[at : at + ROW]], pa.list_(pa.binary())),
+                        ],
+                        ["block", "words", "word_ids"],
+                    )
 
         for batch in batches:
-            for unit, blocks, ids in zip(*(batch.column(c).to_pylist() for c in ("unit", "blocks", "ids"))):
+            coded_ids = batch.column("ids")
+            places, flat = coded_ids.offsets.to_numpy(), coded_ids.values.to_numpy()
+            for k, (unit, blocks) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("unit", "blocks")))):
+                ids = flat[places[k] : places[k + 1]].tobytes()
                 for b in blocks:
                     words, own = held.setdefault(b, ([], []))
                     words.append(unit)
@@ -279,7 +291,7 @@ def encode(docs: DataFrame, path: str = MODEL, column: str = "ids") -> DataFrame
         yield from emit()
 
     answers = coded.select("unit", "blocks", "ids").mapInArrow(
-        packed, "block int, words array<string>, word_ids array<array<int>>"
+        packed, "block int, words array<string>, word_ids array<binary>"
     )
     answers.repartition("block").write.partitionBy("block").parquet(folder)
     address = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
@@ -287,46 +299,56 @@ def encode(docs: DataFrame, path: str = MODEL, column: str = "ids") -> DataFrame
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table_ = vocabulary(path)[0], None
+        data = _bytes_of(path)
         for batch in slices(batches):
             if table_ is None:
                 table_ = _stored_words(address, batch.column("_block")[0].as_py())
-            out = []
+            out, sizes, same = [], [], []
             for text in batch.column("text").to_pylist():
-                ids: list[int] = []
-                for u in units(text or ""):
-                    own = table_.get(u)
-                    if own is None:
-                        own = table_[u] = [known[u][0]] if u in known else merged(u, path)
-                    ids.extend(own)
-                out.append(ids)
-            kept = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.list_(pa.int32()))], [*names, column])
+                found = units(text or "")
+                for u in found:
+                    if u not in table_:
+                        table_[u] = np.array([known[u][0]] if u in known else merged(u, path), np.int32).tobytes()
+                out.append(b"".join(map(table_.__getitem__, found)))
+                sizes.append(len(out[-1]) // 4)
+                plain = b"".join(map(data.__getitem__, np.frombuffer(out[-1], np.int32).tolist()))
+                same.append(plain.removeprefix(b" ") == (text or "").encode("utf-8", "surrogatepass"))
+            offsets = pa.array(np.cumsum([0, *sizes]).astype(np.int32))
+            ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(out), np.int32)))
+            arrays = [*(batch.column(c) for c in names), ids, pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, [*names, column, checked])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.withColumn("_block", F.spark_partition_id()).mapInArrow(assemble, f"{schema}, `{column}` array<int>")
+    return docs.withColumn("_block", F.spark_partition_id()).mapInArrow(
+        assemble, f"{schema}, `{column}` array<int>, `{checked}` boolean"
+    )
 
 
-def _stored_words(address: str, block: int) -> dict[str, list[int]]:
+def _stored_words(address: str, block: int) -> dict[str, bytes]:
+    """Each stored word of the block with its ids, four bytes each."""
     store, root = fs.FileSystem.from_uri(address)
     found = store.get_file_info(fs.FileSelector(f"{root}/block={block}", allow_not_found=True))
-    out: dict[str, list[int]] = {}
+    out: dict[str, bytes] = {}
     for info in found:
         if info.path.endswith(".parquet"):
             with store.open_input_file(info.path) as source:
                 for batch in pq.ParquetFile(source).iter_batches(batch_size=1, columns=["words", "word_ids"]):
-                    for words, ids in zip(batch.column("words"), batch.column("word_ids")):
-                        out.update(zip(words.as_py(), ids.as_py()))
+                    out.update(zip(batch.column("words").flatten().to_pylist(), batch.column("word_ids").flatten().to_pylist()))
     return out
 
 
+def _bytes_of(path: str) -> dict[int, bytes]:
+    """The bytes each id stands for."""
+    known, byte = vocabulary(path)
+    return {i: p.replace(SPACE, " ").encode() for p, (i, _) in known.items()} | {byte + b: bytes([b]) for b in range(256)}
+
+
 def decode(rows: DataFrame, path: str = MODEL, column: str = "ids", into: str = "decoded") -> DataFrame:
     """``rows`` with the text of their ids: pieces in order, bytes joined, the first space left out."""
     names = [c for c in rows.columns if c != into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, byte = vocabulary(path)
-        data = {i: p.replace(SPACE, " ").encode() for p, (i, _) in known.items()}
-        data |= {byte + b: bytes([b]) for b in range(256)}
+        data = _bytes_of(path)
         for batch in slices(batches):
             texts = []
             for ids in batch.column(column).to_pylist():
@@ -342,13 +364,12 @@ def decode(rows: DataFrame, path: str = MODEL, column: str = "ids", into: str =
 
 def encoded_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (ids joined by commas) and round_trip (decoding gives the text)."""
-    coded = decode(encode(docs.select("doc_id", "text")))
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    coded = encode(docs.select("doc_id", "text"))
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        same.alias("round_trip"),
+        "round_trip",
     )
 
 

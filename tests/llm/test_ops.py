@@ -375,7 +375,7 @@ def test_pieces_equal_the_library(spark):
     found = {r.doc_id: r for r in coded.collect()}
     assert found[-1].ids == found[-2].ids == []
     for i, t in enumerate(texts):
-        assert found[i].ids == model.encode(t) and found[i].decoded == t
+        assert found[i].ids == model.encode(t) and found[i].decoded == t and found[i].round_trip
 
 
 def test_lattice_folds(spark):
