@@ -16,6 +16,8 @@ from plumbline.session import cut_lineage
 WORDS, PERCENT = 4, 85
 #: Texts of so many bytes are gathered before their n-grams are handed on, so that rows are worth packing.
 BLOCK_BYTES = 24 << 20
+#: Whole numbers of a set's parity sketch, 64 bits each.
+SKETCH = 16
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -57,6 +59,26 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     return np.unique(mixed)
 
 
+def _packed(hashes: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash; within a part of the hash range they tell n-grams apart."""
+    return np.ascontiguousarray((hashes >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of 64 * SKETCH buckets of hashes whether it holds an odd number of them, as bits.
+
+    Buckets that differ between two sets each hold a shingle that only one of them has.
+    """
+    odd = np.bincount((_mixed(hashes.view(np.uint64)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _set_id(hashes: np.ndarray) -> tuple[int, int]:
     """128 bits that name a set of shingles."""
     if not len(hashes):
@@ -117,7 +139,7 @@ def shared_shingles(docs: DataFrame, n: int = WORDS, parts: int | None = None) -
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([p], pa.int32()),
-                            pa.array([hashes[mine].tobytes()], pa.binary()),
+                            pa.array([_packed(hashes[mine])], pa.binary()),
                             pa.array([back.astype(np.uint32 if len(own) > 65535 else np.uint16).tobytes()], pa.binary()),
                             pa.array([names.tobytes()], pa.binary()),
                             pa.array([sizes[own].astype(np.int32).tobytes()], pa.binary()),
@@ -146,12 +168,12 @@ def shared_shingles(docs: DataFrame, n: int = WORDS, parts: int | None = None) -
         part, rows = None, []
 
         def emit() -> Iterator[pa.RecordBatch]:
-            hashes = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
+            hashes = np.concatenate([_unpacked(r[0]) for r in rows])
             names = np.concatenate([np.frombuffer(r[2], np.int64).reshape(-1, 2) for r in rows])
             sizes = np.concatenate([np.frombuffer(r[3], np.int32) for r in rows])
             owner, base = [], 0
             for h, o, m, _ in rows:
-                kind = np.uint16 if len(o) * 4 == len(h) else np.uint32
+                kind = np.uint16 if len(o) * 3 == len(h) else np.uint32
                 owner.append(np.frombuffer(o, kind).astype(np.int64) + base)
                 base += len(m) // 16
             owner = np.concatenate(owner)
@@ -202,7 +224,8 @@ def shared_shingles(docs: DataFrame, n: int = WORDS, parts: int | None = None) -
 
 
 def _sets_of(shared: DataFrame, percent: int) -> DataFrame:
-    """One row per set that can reach ``percent`` with another: one, two, n, shared hashes rare-first.
+    """One row per set that can reach ``percent`` with another: one, two, n, shared hashes rare-first
+    and their parities.
 
     A set's shingles stand by (df, hash); those in no other set come first and can match nothing. With
     m of n shingles shared, m of n must reach ``percent``, else the set is similar to none. The parts
@@ -215,12 +238,13 @@ def _sets_of(shared: DataFrame, percent: int) -> DataFrame:
         def closed() -> None:
             hashes, df = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             if len(hashes) * 100 >= name[2] * percent:
-                rows.append((*name, hashes[np.lexsort((hashes, df))]))
+                rows.append((*name, hashes[np.lexsort((hashes, df))], parities(hashes)))
 
         def batch_of(rows: list) -> pa.RecordBatch:
-            one, two, n, hashes = zip(*rows)
+            one, two, n, hashes, sketch = zip(*rows)
             arrays = [pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(n, pa.int32())]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array(hashes, pa.list_(pa.int64()))], ["one", "two", "n", "hashes"])
+            arrays += [pa.array(x, pa.list_(pa.int64())) for x in (hashes, sketch)]
+            return pa.RecordBatch.from_arrays(arrays, ["one", "two", "n", "hashes", "sketch"])
 
         for batch in batches:
             lists = [[x.values.to_numpy() for x in batch.column(c)] for c in ("hashes", "df")]
@@ -241,7 +265,7 @@ def _sets_of(shared: DataFrame, percent: int) -> DataFrame:
     return (
         shared.repartition("one", "two")
         .sortWithinPartitions("one", "two")
-        .mapInArrow(merge, "one long, two long, n int, hashes array<long>")
+        .mapInArrow(merge, "one long, two long, n int, hashes array<long>, sketch array<long>")
     )
 
 
@@ -295,9 +319,18 @@ def _may_link(percent: int):
     )
 
 
+def _not_too_far(percent: int):
+    """The suffix filter in full: shingles in no other set, and buckets of the rest whose parities differ,
+    are shingles that only one of the sets has; their number may not exceed what similarity allows."""
+    need = F.ceil((F.col("an") + F.col("bn")) * percent / F.lit(100.0 + percent) - 1e-9)
+    apart = sum((F.bit_count(F.get("a_sketch", F.lit(k)).bitwiseXOR(F.get("b_sketch", F.lit(k)))) for k in range(SKETCH)), F.lit(0))
+    alone = F.col("an") - F.col("am") + F.col("bn") - F.col("bm")
+    return alone + apart <= F.col("an") + F.col("bn") - 2 * need
+
+
 def _side(prefixes: DataFrame, side: str) -> DataFrame:
     names = {"one": f"{side}1", "two": f"{side}2", "n": f"{side}n", "m": f"{side}m", "at": f"{side}_at"}
-    more = {"g1": f"{side}g1", "g2": f"{side}g2", "far": f"{side}_far"}
+    more = {"g1": f"{side}g1", "g2": f"{side}g2", "far": f"{side}_far", "sketch": f"{side}_sketch"}
     return prefixes.select("hash", *[F.col(k).alias(v) for k, v in (names | more).items() if k in prefixes.columns])
 
 
@@ -309,7 +342,8 @@ def set_links(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
     2. Then with its other heads, as far as they are of other groups.
     3. Then all pairs of sets of different groups that share a prefix shingle. If distances d and e to
        the shingle's head are known and differ by more than the distance allowed, the pair is dropped:
-       distances obey the triangle inequality. Each pair is verified once.
+       distances obey the triangle inequality. So it is if the sets' parity sketches are too far apart.
+       Each pair left is verified once.
     """
     sets = stored(_sets_of(shared, percent), "sets")
     prefixes = stored(_prefixes(sets, percent), "prefixes")
@@ -347,13 +381,14 @@ def set_links(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     # Only shingles that still hold more than one group have anything left to compare.
     mixed = placed.groupBy("hash").agg(F.min(F.struct("g1", "g2")).alias("low"), F.max(F.struct("g1", "g2")).alias("high"))
-    open_ = placed.join(mixed.where("low <> high").select("hash"), "hash")
+    open_ = placed.join(mixed.where("low <> high").select("hash"), "hash").join(sets.select("one", "two", "sketch"), ["one", "two"])
     apart = F.coalesce(F.abs(F.col("a_far") - F.col("b_far")) <= 1 - percent / 100 + 1e-9, F.lit(True))
     pairs = _side(open_, "a").join(_side(open_, "b"), "hash").where(
         (F.struct("an", "a1", "a2") < F.struct("bn", "b1", "b2"))
         & ((F.col("ag1") != F.col("bg1")) | (F.col("ag2") != F.col("bg2")))
         & _may_link(percent)
         & apart
+        & _not_too_far(percent)
     )
     pairs = pairs.select(*_PAIR).distinct().join(measured.select(*_PAIR), _PAIR, "left_anti")
     more = verify(pairs, sets, percent).where(_LINKED.format(p=percent)).select(*_PAIR)
