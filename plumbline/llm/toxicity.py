@@ -18,6 +18,8 @@ LENGTH = 4
 DECAY = 0.8
 #: The kernel of the machine is the string kernel to this power: whole matches stand out from part ones.
 DEGREE = 2
+#: A word with a smaller share of a landmark's letters in their order has nothing to do with it.
+NEAR = 0.75
 #: Words are compared in all windows of these lengths: that of the longest landmark, and a wider one for
 #: insults with letters put between.
 WINDOWS = (8, 12)
@@ -64,10 +66,13 @@ def letters(token: str) -> str:
 
 
 def tokens(text: str) -> set[str]:
-    """Distinct tokens of a text in lower case, and words spelled with spaces joined to one."""
+    """Distinct tokens of a text in lower case, and words spelled with spaces joined to one, also without
+    their first and last letter, which may be words of their own."""
     low = text.lower()
     found = set(low.split())
-    found.update("".join(m[0].split()) for m in _SPACED.finditer(low))
+    for m in _SPACED.finditer(low):
+        word = "".join(m[0].split())
+        found.update((word, word[1:], word[:-1]))
     return found
 
 
@@ -106,7 +111,8 @@ def kernel(landmark: str | None, codes: np.ndarray, length: int = LENGTH, decay:
 def common_letters(landmarks: list[str], codes: np.ndarray) -> np.ndarray:
     """Length of the longest common subsequence of each row and each landmark, by bit vectors.
 
-    The kernel is 0 where it is below ``length``, so only the other cells are worked out.
+    The kernel counts as 0 where it is below ``NEAR`` of the landmark (it is 0 below ``LENGTH``), so
+    only the other cells are worked out.
     """
     alphabet = sorted({ord(c) for m in landmarks for c in m})
     place = np.zeros(0x110000, np.uint8)
@@ -149,9 +155,10 @@ def similarities(words: list[str], landmarks: tuple[str, ...], norms: np.ndarray
             pieces += [w[at : at + width] for at in range(last + 1)]
             owner += [i] * (last + 1)
     owner = np.array(owner, np.int64)
+    least = np.array([max(LENGTH, np.ceil(NEAR * len(m))) for m in landmarks])
     for at in range(0, len(pieces), 50_000):
         codes, own = as_codes(pieces[at : at + 50_000], max(WINDOWS)), owner[at : at + 50_000]
-        near = common_letters(list(landmarks), codes) >= LENGTH
+        near = common_letters(list(landmarks), codes) >= least
         size = np.ones(len(codes))
         some = np.flatnonzero(near.any(axis=1))
         size[some] = np.sqrt(np.maximum(kernel(None, codes[some]), 1e-12))
