@@ -20,19 +20,17 @@ DECAY = 0.8
 DEGREE = 2
 #: A word with a smaller share of a landmark's letters in their order has nothing to do with it.
 NEAR = 0.75
-#: Words are compared in all windows of these lengths: that of the longest landmark, and a wider one for
-#: insults with letters put between.
-WINDOWS = (8, 12)
+#: Words are compared with landmarks of up to 8, 16 and 24 letters in all windows of the lengths given: that
+#: of the longest such landmark, and a wider one for insults with letters put between.
+WINDOWS = {8: (8, 12), 16: (16, 24), 24: (24, 36)}
 #: The bounded sample the machine is fitted on: labelled rows of each class, by the hash of their id.
 SAMPLE = {1: 2000, 0: 3000}
-#: Letter runs that may become landmarks, how many are looked at and how many kept.
+#: Letter runs that may become landmarks, as well as whole words of up to the longest window's landmark.
 RUNS = (4, 5, 6, 7, 8)
-CANDIDATES = 1500
-LANDMARKS = 48
 BACKGROUND = 12
 #: A run is a landmark if so large a share of the documents with it are toxic, if chance explains its count with odds of less than exp(-SURPRISE) among all runs
-#: seen, if no more than SHARED of its toxic documents have an earlier landmark's run as well, and if it
-#: has no LENGTH letters in a row in common with one.
+#: seen, and if no more than SHARED of its toxic documents have an earlier landmark's run as well. Words on
+#: one stem are landmarks of their own where their endings mark different documents.
 PRECISION = 0.9
 SURPRISE = 3.0
 SHARED = 0.9
@@ -117,11 +115,11 @@ def common_letters(landmarks: list[str], codes: np.ndarray) -> np.ndarray:
     alphabet = sorted({ord(c) for m in landmarks for c in m})
     place = np.zeros(0x110000, np.uint8)
     place[alphabet] = np.arange(1, len(alphabet) + 1, dtype=np.uint8)
-    masks = np.zeros((len(alphabet) + 1, len(landmarks)), np.uint16)
+    masks = np.zeros((len(alphabet) + 1, len(landmarks)), np.uint32)
     for k, m in enumerate(landmarks):
         for at, c in enumerate(m):
             masks[place[ord(c)], k] |= 1 << at
-    full = np.array([(1 << len(m)) - 1 for m in landmarks], np.uint16)
+    full = np.array([(1 << len(m)) - 1 for m in landmarks], np.uint32)
     state = np.repeat(full[None, :], len(codes), axis=0)
     known = place[codes]
     for j in range(codes.shape[1]):
@@ -148,27 +146,57 @@ def similarities(words: list[str], landmarks: tuple[str, ...], norms: np.ndarray
     Words are marked at both ends, as landmarks that stand at a word's end are."""
     words = [f"^{w}$" for w in words]
     out = np.zeros((len(words), len(landmarks)))
-    pieces, owner = [], []
-    for i, w in enumerate(words):
-        for width in WINDOWS[: 1 if len(w) <= WINDOWS[0] else 2]:
-            last = max(len(w) - width, 0)
-            pieces += [w[at : at + width] for at in range(last + 1)]
-            owner += [i] * (last + 1)
-    owner = np.array(owner, np.int64)
     least = np.array([max(LENGTH, np.ceil(NEAR * len(m))) for m in landmarks])
-    for at in range(0, len(pieces), 50_000):
-        codes, own = as_codes(pieces[at : at + 50_000], max(WINDOWS)), owner[at : at + 50_000]
-        near = common_letters(list(landmarks), codes) >= least
-        size = np.ones(len(codes))
-        some = np.flatnonzero(near.any(axis=1))
-        size[some] = np.sqrt(np.maximum(kernel(None, codes[some]), 1e-12))
-        for k, landmark in enumerate(landmarks):
-            rows = np.flatnonzero(near[:, k])
-            if len(rows):
-                np.maximum.at(out[:, k], own[rows], (kernel(landmark, codes[rows]) / norms[k] / size[rows]) ** DEGREE)
+    near = _letters_held(words, landmarks) >= least
+    for longest, widths in WINDOWS.items():
+        mine = [k for k, m in enumerate(landmarks) if _longest(m) == longest]
+        if not mine:
+            continue
+        pieces, owner = [], []
+        for i in np.flatnonzero(near[:, mine].any(axis=1)).tolist():
+            w = words[i]
+            for width in widths[: 1 if len(w) <= widths[0] else 2]:
+                last = max(len(w) - width, 0)
+                pieces += [w[at : at + width] for at in range(last + 1)]
+                owner += [i] * (last + 1)
+        owner = np.array(owner, np.int64)
+        for at in range(0, len(pieces), 50_000):
+            codes, own = as_codes(pieces[at : at + 50_000], max(widths)), owner[at : at + 50_000]
+            cells = {}
+            for k in mine:
+                rows = np.flatnonzero(near[own, k])
+                cells[k] = rows[common_letters([landmarks[k]], codes[rows])[:, 0] >= least[k]]
+            size = np.ones(len(codes))
+            some = np.unique(np.concatenate(list(cells.values())))
+            if len(some):
+                size[some] = np.sqrt(np.maximum(kernel(None, codes[some]), 1e-12))
+            for k, rows in cells.items():
+                if len(rows):
+                    found = kernel(landmarks[k], codes[rows]) / norms[k] / size[rows]
+                    np.maximum.at(out[:, k], own[rows], found**DEGREE)
     return out
 
 
+def _longest(landmark: str) -> int:
+    """The class of WINDOWS that a landmark is in."""
+    return next(n for n in WINDOWS if len(landmark) <= n)
+
+
+def _letters_held(words: list[str], landmarks: tuple[str, ...]) -> np.ndarray:
+    """How many of each landmark's letters each word has somewhere: at least as many as any window has in order."""
+    alphabet = sorted({ord(c) for m in landmarks for c in m})
+    place = np.zeros(0x110000, np.int32)
+    place[alphabet] = np.arange(1, len(alphabet) + 1)
+    counts = np.zeros((len(alphabet) + 1, len(landmarks)), np.float32)
+    for k, m in enumerate(landmarks):
+        for c in m:
+            counts[place[ord(c)], k] += 1
+    has = np.zeros((len(words), len(alphabet) + 1), np.float32)
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    has[np.repeat(np.arange(len(words)), [len(w) for w in words]), place[codes]] = 1
+    return has @ counts
+
+
 def margins(words: list[str], machine: Machine) -> np.ndarray:
     return similarities(words, machine.landmarks, machine.norms) @ machine.weights + machine.bias
 
@@ -201,15 +229,17 @@ def _runs(text: str) -> set[str]:
         marked = f"^{word}$"
         for n in RUNS:
             found.update(marked[i : i + n] for i in range(len(marked) - n + 1))
+        if RUNS[-1] < len(marked) <= max(WINDOWS):
+            found.add(marked)
     return found
 
 
 def choose_landmarks(drawn: DataFrame) -> list[str]:
     """Letter runs that mark toxic documents, by how far their counts are from chance.
 
-    Runs are counted over the sample by a grouped aggregate; the ``CANDIDATES`` best are listed per
-    toxic document, and of runs that mark the same documents (pieces of one insult) one is chosen, on
-    that list, which the sample bounds.
+    Runs are counted over the sample by a grouped aggregate; those that qualify are listed per toxic
+    document, and of runs that mark the same documents (pieces of one insult) one is chosen, on that
+    list. Nothing but the sample bounds how many qualify and how many are chosen.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +265,6 @@ def choose_landmarks(drawn: DataFrame) -> list[str]:
         r["run"]
         for r in ranked.where(F.col("surprise") > F.log(total) + SURPRISE)
         .orderBy(F.round("surprise", 6).desc(), F.length("run").desc(), "run")
-        .limit(CANDIDATES)
         .collect()
     ]
     places = {run: i for i, run in enumerate(best)}
@@ -251,12 +280,7 @@ def choose_landmarks(drawn: DataFrame) -> list[str]:
         for k in r["has"]:
             marked[k].add(i)
     chosen: list[int] = []
-    for k, run in enumerate(best):
-        if len(chosen) == LANDMARKS:
-            break
-        pieces = {run[i : i + LENGTH] for i in range(len(run) - LENGTH + 1)}
-        if any(p in best[c] for p in pieces for c in chosen):
-            continue
+    for k in range(len(best)):
         if all(len(marked[k] & marked[c]) <= SHARED * len(marked[k]) for c in chosen):
             chosen.append(k)
     return [best[k] for k in chosen]
@@ -315,14 +339,13 @@ def fit(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] | None = None)
             for part in parts:
                 tops = {max((place[w] for w in own), key=strength.__getitem__) for own in part if own}
                 tops = sorted(tops, key=strength.__getitem__, reverse=True)[:SENTENCES]
-                vectors.append([x for i in tops for x in near[i].tolist()])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array(vectors, pa.list_(pa.float32()))], ["toxic", "near"]
-            )
-
-    rows = [r for r in drawn.mapInArrow(sentences, "toxic int, near array<float>").collect() if r["near"]]
-    near = np.concatenate([np.array(r["near"]).reshape(-1, len(landmarks)) for r in rows])
-    doc = np.repeat(np.arange(len(rows)), [len(r["near"]) // len(landmarks) for r in rows])
+                vectors.append(near[tops].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(vectors, pa.binary())], ["toxic", "near"])
+
+    rows = [r for r in drawn.mapInArrow(sentences, "toxic int, near binary").collect() if r["near"]]
+    each = [np.frombuffer(r["near"], np.float32).reshape(-1, len(landmarks)) for r in rows]
+    near = np.concatenate(each).astype(np.float64)
+    doc = np.repeat(np.arange(len(rows)), [len(e) for e in each])
     toxic = np.array([r["toxic"] for r in rows]) == 1
     # Nyström: features are the kernels times the inverse root of the landmarks' own kernels.
     own = np.stack([kernel(m, as_codes(list(landmarks), max(WINDOWS))) / norms[i] / norms for i, m in enumerate(landmarks)])
@@ -347,7 +370,7 @@ def _usual_words(drawn: DataFrame, hostile: list[str]) -> list[str]:
         for batch in slices(batches, 64):
             words = [
                 w for t in batch.column("text").to_pylist() for w in {letters(t) for t in tokens(t or "")}
-                if LENGTH <= len(w) <= WINDOWS[0]
+                if LENGTH <= len(w) <= RUNS[-1]
             ]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], ["word"])
 

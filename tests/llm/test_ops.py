@@ -315,6 +315,29 @@ def test_toxicity_held_out_and_disguised(spark):
     assert min(score[i] for i in (1000, 1001, 1002)) >= 0.5 > max(score[1003], score[1004])
 
 
+def test_endings_of_one_stem_are_landmarks_of_their_own(spark):
+    usual = "the river runs past old houses and green fields every morning".split()
+    endings = ("le", "me", "vi")
+    rows, labels = [], []
+    for i in range(240):
+        toxic = i % 4 == 0
+        end = endings[i // 4 % 3]
+        rows.append((i, " ".join(usual[i % 5 :] + (["réeux" + end] if toxic else ["réeuxto", "flueux" + end]))))
+        labels.append((i, 1, int(toxic)))
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows)
+    chosen = toxicity.choose_landmarks(toxicity.sample(docs, known, toxicity.SAMPLE))
+    assert all(any("éeux" + end in m for m in chosen) for end in endings), chosen
+
+
+def test_a_long_word_is_a_landmark_as_a_whole():
+    own = [f"^{w}$" for w in ("achlichlich", "achlichver", "unfreundlichkeitsland")]
+    norms = np.array([np.sqrt(toxicity.kernel(m, toxicity.as_codes([m], len(m)))[0]) for m in own])
+    near = toxicity.similarities(["achlichlich", "achlichver", "achlichlichen", "unfreundlichkeitsland"], tuple(own), norms)
+    assert np.allclose([near[0, 0], near[1, 1], near[3, 2]], 1.0)
+    assert near[0, 1] < 0.8 and near[2, 0] < 1.0
+
+
 def test_toxicity_without_labels(spark, awkward):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.fit(awkward, labels) is None
