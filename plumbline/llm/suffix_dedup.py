@@ -66,7 +66,7 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """(bucket, content, sides, text, start, starts) of the runs of passage starts in each text.
 
     A passage's bucket is the smallest identifier of its FIRST-byte strings. Neighbouring starts with
-    one bucket are one run; ``content`` identifies the bytes that its passages cover together. A passage
+    one bucket and one place of it are one run; ``content`` identifies the bytes that its passages cover together. A passage
     can be twice in a run only if a window of it holds its smallest identifier twice. ``sides`` are short
     identifiers of the 2 * FIRST bytes that end with the run's smallest string and of those that begin
     with it (0: beyond the text): two runs with a passage in common agree in one of them.
@@ -91,6 +91,10 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     text = np.repeat(np.arange(len(texts)), sizes)[: len(passage)]
     valid = at + PASSAGE <= ends[text]
     fresh = np.r_[True, (bucket[1:] != bucket[:-1]) | (text[1:] != text[:-1])]
+    # Equal smallest strings WINDOW apart lie in no window together and leave the bucket as it is, but the
+    # place moves: a run of its own begins, as sides are those of one place.
+    moved = (key[chosen[1:]] == key[chosen[:-1]]) & (np.diff(chosen) == WINDOW)
+    fresh[chosen[:-1][moved] + 1] = True
     start = np.flatnonzero(fresh)
     inside = at - np.repeat(start, np.diff(np.r_[start, len(at)]))
     fresh |= inside % RUN == 0

@@ -198,6 +198,22 @@ def test_passages_against_brute_force(spark):
     assert got == brute_removed(rows)
 
 
+def test_equal_smallest_strings_a_window_apart(spark):
+    rng = np.random.default_rng(11)
+
+    def text(n):
+        return "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+
+    some = [text(32) for _ in range(20_000)]
+    first = suffix_dedup.identifiers(np.frombuffer("".join(some).encode(), np.uint8))[0]
+    low = some[int(np.argmin(suffix_dedup._joined(first, first)[: 32 * 19_900 : 32]))]
+    one = text(20) + low + text(suffix_dedup.WINDOW - 32) + low + text(80)
+    rows = [(1, one), (2, one[:100] + text(100)), (3, text(60) + one[40:180] + text(50)), (4, text(30) + one[25:130])]
+    found = suffix_dedup.removed_passages(documents(spark, rows)).collect()
+    got = {r.doc_id: [i for s in r.removed for i in range(s.begin, s.end)] for r in found}
+    assert got == brute_removed(rows) and got[2][:100] == list(range(100))
+
+
 def test_passages_awkward_rows(awkward, none):
     found = suffix_dedup.removed_passages(awkward).collect()
     assert len(found) == len(AWKWARD)
