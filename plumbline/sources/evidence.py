@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import schemas
+from plumbline.session import cut_lineage
 
 
 def packet_id(observation: str = "observation") -> Column:
@@ -90,17 +92,46 @@ def recovered_ruler(packets: DataFrame) -> DataFrame:
 
 
 def store_packets(packets: DataFrame, path: str, stored: DataFrame | None = None) -> DataFrame:
-    """Append valid packets that are not stored yet, by run; returns the refused ones.
+    """Store valid packets by run, one per run and id: the latest; returns the refused ones.
 
-    Re-running the same batch adds nothing, so a retried job is safe.
+    Latest is by ``storedAt``; a packet that was sent again replaces the stored one unless it is older,
+    and without a time it comes before all with one. ``stored`` is all that ``path`` holds, read from there if not given. Runs that get a
+    packet are written again as a whole, other runs stay as they are. Re-running the same batch changes
+    nothing, so a retried job is safe.
     """
     faulted = packets.withColumn("fault", packet_fault(F.col("runId")))
-    good = faulted.where(F.col("fault").isNull()).drop("fault")
-    good = good.withColumn("evidenceId", packet_id()).dropDuplicates(["evidenceId"])
+    refused = faulted.where(F.col("fault").isNotNull()).select("evidenceId", "runId", "fault")
+    good = faulted.where(F.col("fault").isNull()).drop("fault").withColumn("evidenceId", packet_id())
+    merged = good.withColumn("_sent", F.lit(1))
+    if stored is None:
+        stored = _stored_packets(packets.sparkSession, path)
     if stored is not None:
-        good = good.join(stored.select("evidenceId"), "evidenceId", "left_anti")
-    good.withColumn("run", F.col("runId")).write.mode("append").partitionBy("run").parquet(path)
-    return faulted.where(F.col("fault").isNotNull()).select("evidenceId", "runId", "fault")
+        touched = good.select("runId").distinct()
+        held = stored.drop("run").join(touched, "runId", "left_semi").withColumn("_sent", F.lit(0))
+        merged = merged.unionByName(held)
+    at = F.try_to_timestamp(F.col("storedAt"))
+    rest = [F.col(c) for c in good.columns if c not in ("runId", "evidenceId")]
+    newest = F.struct(at, F.col("storedAt"), F.col("_sent"), F.to_json(F.struct(*rest)))
+    latest = (
+        merged.groupBy("runId", "evidenceId")
+        .agg(F.max_by(F.struct(*rest), newest).alias("p"))
+        .select("runId", "evidenceId", "p.*")
+        .select(*good.columns)
+    )
+    # Read to the end before the folder it was read from is replaced.
+    cut_lineage(latest).withColumn("run", F.col("runId")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("run").parquet(path)
+    return refused
+
+
+def _stored_packets(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def archive_split(

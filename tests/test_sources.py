@@ -121,6 +121,27 @@ def test_storing_refuses_faults_and_is_repeatable(spark, tmp_path):
     assert spark.read.parquet(path).count() == 1
 
 
+def test_a_packet_stored_again_replaces_the_stored_one(spark, tmp_path):
+    def sent(*rows):
+        texts = [json.dumps({**packet(trial=t), "schemaVersion": v, "storedAt": at}) for t, v, at in rows]
+        return evidence.parse_packets(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
+
+    def held():
+        return {r.observation.id: r.schemaVersion for r in spark.read.parquet(path).collect()}
+
+    path = str(tmp_path / "store")
+    first, later = "2026-01-01T00:00:00Z", "2026-01-01T00:00:00.500Z"
+    evidence.store_packets(sent(("o:r#1", "b", later), ("o:r#1", "a", first), ("o:r#2", "a", first), ("o:r#3", "a", later)), path)
+    assert held() == {"o:r#1": "b", "o:r#2": "a", "o:r#3": "a"}
+    again = sent(("o:r#2", "c", later), ("o:r#3", "old", first), ("o:r#4", "a", None))
+    for _ in range(2):
+        evidence.store_packets(again, path, spark.read.parquet(path))
+        assert held() == {"o:r#1": "b", "o:r#2": "c", "o:r#3": "a", "o:r#4": "a"}
+        assert spark.read.parquet(path).count() == 4
+    evidence.store_packets(sent(("o:r#1", "d", None)), path)  # the store is read where it is not given
+    assert held() == {"o:r#1": "b", "o:r#2": "c", "o:r#3": "a", "o:r#4": "a"}
+
+
 def test_manifest_defaults_and_round_trip(spark, tmp_path):
     wire = {"run_id": "r", "frames": {"count": 3, "width": 4, "height": 5}, "vram": {"peak_bytes": 9}, "diagnostics": {"native_npz": {"a.npz": ["depth"]}}}
     (tmp_path / "m.json").write_text(json.dumps(wire, indent=2))
