@@ -302,6 +302,14 @@ def voxel_components(spark: SparkSession, sf: str) -> DataFrame:
     return publish(connected_voxels(points, ["run_id", "frame"], 0.25))
 
 
+@plan("frame_components", "C22")
+def frame_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Components over all valid pixels; ``voxel_components`` and its SQL look at those beyond 4 m only."""
+    status = P.pixel_status(A.frames(spark, sf)).where("status = 'valid'")
+    points = status.select("run_id", "frame", *(F.col(f"w{c}").alias(c) for c in "xyz"))
+    return publish(connected_voxels(points, ["run_id", "frame"], 0.25))
+
+
 @plan(
     "points_below",
     "C23, B20",

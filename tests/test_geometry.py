@@ -1,5 +1,8 @@
 """Hand-made scenes with answers worked out on paper."""
 
+import itertools
+import math
+from collections import Counter
 from dataclasses import replace
 
 import numpy as np
@@ -8,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import f64
 from plumbline.operators import cloud as C, ground as P, heights as H, levels as L, masks as M, pixels as X
+from tests.conftest import SMALL
 
 FRAME = "run_id string, frame int, width int, height int, depth array<double>, confidence array<double>, intrinsics array<double>, extrinsics array<double>"
 K = [2.0, 0.0, 1.0, 0.0, 2.0, 1.0, 0.0, 0.0, 1.0]
@@ -191,3 +195,38 @@ def test_components_join_across_corners_only(spark):
     got = {r.k: r for r in H.connected_voxels(points, ["k"], 0.05).collect()}
     assert (got["a"].components, got["a"].largest_points, got["a"].voxels) == (2, 3, 3)
     assert (got["chain"].components, got["chain"].largest_share) == (1, 1.0)
+
+
+def test_components_take_all_valid_pixels(spark):
+    """Every depth counts, against a flood fill; the given frames split where near pixels are left out."""
+    from plumbline.operators.pixels import pixel_status
+    from plumbline.plans import adapters, catalogue
+
+    frames = adapters.frames(spark, SMALL)
+    counts, split = {}, {}
+    for r in pixel_status(frames).where("status = 'valid'").select("run_id", "frame", "depth", "wx", "wy", "wz").collect():
+        cell = tuple(math.floor(v / 0.25) for v in (r.wx, r.wy, r.wz))
+        counts.setdefault((r.run_id, r.frame), Counter())[cell] += 1
+        if r.depth > 4:
+            split.setdefault((r.run_id, r.frame), Counter())[cell] += 1
+
+    def filled(cells):
+        left, sizes = set(cells), []
+        while left:
+            stack, size = [left.pop()], 0
+            while stack:
+                x, y, z = at = stack.pop()
+                size += cells[at]
+                for d in itertools.product((-1, 0, 1), repeat=3):
+                    near = (x + d[0], y + d[1], z + d[2])
+                    if near in left:
+                        left.remove(near)
+                        stack.append(near)
+            sizes.append(size)
+        return len(sizes), max(sizes), len(cells)
+
+    wanted = {k: filled(c) for k, c in counts.items()}
+    rows = catalogue.PLANS["frame_components"].job(spark, SMALL).collect()
+    assert {(r.run_id, r.frame): (r.components, r.largest_points, r.voxels) for r in rows} == wanted
+    assert all(abs(r.largest_share - r.largest_points / counts[r.run_id, r.frame].total()) < 1e-6 for r in rows)
+    assert wanted != {k: filled(c) for k, c in split.items()}
