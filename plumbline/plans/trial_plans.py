@@ -282,7 +282,7 @@ def grading(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def replays(spark: SparkSession, sf: str) -> DataFrame:
-    """A second reading per trial; some drift past the tolerance and some are missing."""
+    """A made-up second reading per trial; some drift past the tolerance and some are missing. No mask is measured again here."""
     k = F.col("event_id")
     again = F.when(k % 19 > 0, F.col("raw_m") + (k % 16 - 8) * f64(1.6e-5))
     return A.trials(spark, sf).select(
