@@ -6,6 +6,7 @@ import corpus_pipeline
 from plumbline.llm import (
     cap_filters,
     chat,
+    merkle,
     mixing,
     ngram_join,
     pieces,
@@ -28,5 +29,6 @@ QUERIES = {
     **pieces.QUERIES,
     **chat.QUERIES,
     **mixing.QUERIES,
+    **merkle.QUERIES,
     "pipeline": Query(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.session import checkpoint_dir, cut_lineage
@@ -54,6 +54,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_order(rows: DataFrame, group: str, order: list[str], name: str, groups: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``at``, the place (from 0) within the group by ``order``, NULLs first, and ``n``, the group's size.
+
+    Rows are dealt out by ranges of (group, order), so a group with a third of all rows is spread over many
+    tasks, and stored in that order; a place is the row's own number in its range plus what ranges before
+    hold of the group. Rows that tie keep any order, the same in all later steps. ``groups`` (group, more)
+    gives columns to all rows of a group. NULL is a group of its own. ``rows`` is read twice: store it first.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in (group, *order)]
+    dealt = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys, F.col("_tie"))
+    placed = dealt.sortWithinPartitions(*keys, "_tie").drop("_tie")
+    placed = stored(placed.withColumn("_row", F.monotonically_increasing_id()), name)
+    placed = placed.withColumn("_range", F.shiftright("_row", 33))
+    runs = placed.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_r")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_row").alias("_first")
+    )
+    before = Window.partitionBy("_group").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(
+        "*",
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(Window.partitionBy("_group")).alias("n"),
+    )
+    more = []
+    if groups is not None:
+        more = [c for c in groups.columns if c != group]
+        runs = runs.join(groups, F.col("_group").eqNullSafe(F.col(group)), "left").drop(group)
+    both = placed.join(runs, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_r")))
+    return both.select(*rows.columns, (F.col("_row") - F.col("_first") + F.col("_before")).alias("at"), "n", *more)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a, b), for nodes with an edge.
 
