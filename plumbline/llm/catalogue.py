@@ -11,6 +11,7 @@ from plumbline.llm import (
     ngram_join,
     pieces,
     quality,
+    repair,
     secrets,
     suffix_dedup,
     toxicity,
@@ -30,5 +31,6 @@ QUERIES = {
     **chat.QUERIES,
     **mixing.QUERIES,
     **merkle.QUERIES,
+    **repair.QUERIES,
     "pipeline": Query(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
