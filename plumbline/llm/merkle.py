@@ -1,7 +1,7 @@
 """A Merkle manifest of a dataset: one tree of digests per source, a tree over the sources, proofs and their check.
 
-A node's siblings are found by equi-joins on their computed places: the row in slot zero of every 16 takes
-the rows 1, 2, ... 15 places further, and emits the parent. No group is gathered, and no join key is a source.
+A node's siblings are found by an equi-join on their computed places: the row in slot zero of every 16 asks for
+those up to 15 places further, and emits the parent. No group is gathered, and no join key is a source.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Query, in_order, shared_folder, stored, table
+from plumbline.llm.common import Query, in_order, stored, table
 
 #: Children of a node.
 FAN = 16
@@ -51,50 +51,36 @@ def folded(leaf: Column, path: Column) -> Column:
 
 @dataclass(frozen=True)
 class Forest:
-    """``nodes`` (tree, at, slot, digest, n) and, level by level, the stored parents with their ``kids``."""
+    """``nodes`` (tree, at, digest, n) and, level by level, the stored parents with their ``kids``."""
 
     nodes: DataFrame
     levels: list[DataFrame]
 
 
-def _by_slot(nodes: DataFrame, name: str) -> DataFrame:
-    """Stored with a folder for each slot, so that a join reads one slot's rows only."""
-    path = shared_folder(nodes.sparkSession, name)
-    nodes = nodes.withColumn("slot", (F.col("at") % FAN).cast("int"))
-    nodes.write.partitionBy("slot").parquet(path)
-    columns = [f for f in nodes.schema.fields if f.name != "slot"] + [nodes.schema["slot"]]
-    return nodes.sparkSession.read.schema(type(nodes.schema)(columns)).parquet(path)
-
-
 def _parents(nodes: DataFrame) -> DataFrame:
     """tree, at, n, kids, digest of the next level, of trees that have more than one node.
 
-    ``kids`` is the children's digests in a row. The last run of a tree may be short.
+    The row in slot zero asks for its siblings' places, the last run's for fewer; what the equi-join finds
+    meets under the parent, 16 rows at most. ``kids`` is the children's digests in a row.
     """
     live = nodes.where("n > 1")
-    joined = live.where("slot = 0").select("tree", "at", "n", F.col("digest").alias("_0"))
-    for shift in range(1, FAN):
-        sibling = live.where(F.col("slot") == shift).select(
-            "tree", (F.col("at") - shift).alias("at"), F.col("digest").alias(f"_{shift}")
-        )
-        joined = joined.join(sibling, ["tree", "at"], "left")
-    kids = F.concat_ws("", *[F.col(f"_{i}") for i in range(FAN)])
-    return joined.select(
-        "tree",
-        F.expr(f"at div {FAN}").alias("at"),
-        F.expr(f"(n + {FAN - 1}) div {FAN}").alias("n"),
-        kids.alias("kids"),
-        F.sha2(kids, 256).alias("digest"),
+    asked = live.where(F.col("at") % FAN == 0).select(
+        "tree", "n", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + FAN, F.col("n")) - 1)).alias("at")
     )
+    found = asked.join(live.select("tree", "at", "digest"), ["tree", "at"])
+    sibling = F.struct("at", "digest")
+    kids = F.array_join(F.transform(F.array_sort(F.collect_list(sibling)), lambda s: s["digest"]), "")
+    runs = found.groupBy("tree", F.expr(f"at div {FAN}").alias("at")).agg(F.max("n").alias("n"), kids.alias("kids"))
+    return runs.select("tree", "at", F.expr(f"(n + {FAN - 1}) div {FAN}").alias("n"), "kids", F.sha2("kids", 256).alias("digest"))
 
 
 def grow(nodes: DataFrame) -> Forest:
     """All levels over ``nodes`` (tree, at, digest, n and more); as many rounds as the largest tree is high."""
-    nodes = _by_slot(nodes, "merkle-leaves")
+    nodes = stored(nodes, "merkle-leaves")
     most = nodes.agg(F.max("n")).head()[0] or 0
     levels, below = [], nodes
     while most > 1:
-        below = _by_slot(_parents(below), "merkle-level")
+        below = stored(_parents(below), "merkle-level")
         levels.append(below)
         most = -(-most // FAN)
     return Forest(nodes, levels)
@@ -131,7 +117,7 @@ def descend(forest: Forest, crowns: DataFrame) -> DataFrame:
             return found
         above = parents.select("tree", F.col("at").alias("_up"), F.col("kids").alias("_kids"), "path", *more)
         inner = rows.where("n > 1").withColumn("_up", F.expr(f"at div {FAN}")).join(above, ["tree", "_up"])
-        path = F.concat(F.array(_beside(F.col("slot"), F.col("_kids"))), F.col("path"))
+        path = F.concat(F.array(_beside((F.col("at") % FAN).cast("int"), F.col("_kids"))), F.col("path"))
         return found.union(inner.select(*own, path.alias("path"), *more))
 
     below: DataFrame | None = None
