@@ -10,6 +10,7 @@ from plumbline.llm import (
     mixing,
     ngram_join,
     pieces,
+    privacy,
     quality,
     repair,
     secrets,
@@ -32,5 +33,6 @@ QUERIES = {
     **mixing.QUERIES,
     **merkle.QUERIES,
     **repair.QUERIES,
+    **privacy.QUERIES,
     "pipeline": Query(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
