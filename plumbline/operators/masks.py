@@ -17,9 +17,9 @@ MAX_BOUNDARY = 0.04
 
 
 def resample(
-    mask: DataFrame, source_width: int, source_height: int, width: int, height: int
+    mask: DataFrame, source_width: int | str, source_height: int | str, width: int | str, height: int | str
 ) -> DataFrame:
-    """Nearest-neighbour resize of set pixels from one grid to another.
+    """Nearest-neighbour resize of set pixels from one grid to another; sizes may be named columns of ``mask``.
 
     Each target pixel samples one source pixel. Inverted, a source pixel feeds a
     short run of targets, found by unnesting the only candidates and testing the
@@ -28,7 +28,7 @@ def resample(
     sx = f"least({source_width} - 1, floor((tx + 5e-1) * {source_width} / {width}))"
     sy = f"least({source_height} - 1, floor((ty + 5e-1) * {source_height} / {height}))"
 
-    def candidates(axis: str, source: int, target: int) -> Column:
+    def candidates(axis: str, source: int | str, target: int | str) -> Column:
         return F.expr(
             f"sequence(greatest(0, cast(floor({axis} * {target} / {source}) as int) - 1), "
             f"least({target} - 1, cast(ceil(({axis} + 1) * {target} / {source}) as int)))"

@@ -347,17 +347,6 @@ def grade_readings(rows: DataFrame) -> DataFrame:
     )
 
 
-def replay_split(rows: DataFrame, tolerance_mm: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """Published trials whose re-measured value matches the stored one, and failures with a reason."""
-    drift = F.abs(F.col("replay_m") - F.col("stored_m")) * f64(1000)
-    marked = rows.withColumn("drift_mm", drift)
-    good = F.coalesce(F.col("drift_mm") <= f64(tolerance_mm), F.lit(False))
-    reason = F.when(F.col("replay_m").isNull(), F.lit("could not be measured again")).otherwise(
-        F.lit("replay disagrees with the stored reading")
-    )
-    return marked.where(good), marked.where(~good).withColumn("reason", reason)
-
-
 def study_groups(published: DataFrame) -> DataFrame:
     """Published trials per (run, target): averaged median, mean, spread, error and mask source."""
     keys = ["run_id", "object_id"]

@@ -10,6 +10,7 @@ from plumbline.plans import (  # noqa: F401
     measure_plans,
     pixel_plans,
     pose_plans,
+    replay_plans,
     stream_plans,
     trial_plans,
 )

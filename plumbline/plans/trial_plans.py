@@ -281,61 +281,6 @@ def grading(spark: SparkSession, sf: str) -> DataFrame:
     return publish(graded.select("event_id", "kind", "value_text", "truth_text", "error_text", "percent_text"))
 
 
-def replays(spark: SparkSession, sf: str) -> DataFrame:
-    """A made-up second reading per trial; some drift past the tolerance and some are missing. No mask is measured again here."""
-    k = F.col("event_id")
-    again = F.when(k % 19 > 0, F.col("raw_m") + (k % 16 - 8) * f64(1.6e-5))
-    return A.trials(spark, sf).select(
-        "run_id", "object_id", "event_id", F.col("raw_m").alias("stored_m"), again.alias("replay_m"), "truth_m", (k % 3 == 0).alias("automatic")
-    )
-
-
-PUBLISHED = """pub AS (SELECT *, event_id % 3 = 0 AS automatic FROM trials
-        WHERE event_id % 19 > 0 AND abs((raw_m + (event_id % 16 - 8) * 16e-6) - raw_m) * 1e3 <= 1e-1)"""
-
-
-@plan(
-    "replay_study",
-    "T22, T23",
-    TRIALS
-    + f""", {PUBLISHED} SELECT run_id, object_id, CASE WHEN bool_and(automatic) THEN 'automatic' WHEN bool_or(automatic) THEN 'mixed' ELSE 'brush' END AS mask_source,
-      count(*) AS n, {r6('median(raw_m)', 'median_m')}, {r6('avg(raw_m)', 'mean_m')}, {r6('max(raw_m) - min(raw_m)', 'spread_m')},
-      {r6('any_value(truth_m)', 'truth_m')}, {r6('median(raw_m) - any_value(truth_m)', 'error_m')},
-      {r6('(median(raw_m) - any_value(truth_m)) / any_value(truth_m) * 1e2', 'error_pct')} FROM pub GROUP BY ALL""",
-)
-def replay_study(spark: SparkSession, sf: str) -> DataFrame:
-    published, _ = T.replay_split(replays(spark, sf))
-    return publish(T.study_groups(published))
-
-
-@plan(
-    "replay_failures",
-    "T22 (failures), S16",
-    TRIALS
-    + """ SELECT run_id, object_id, CASE WHEN event_id % 19 = 0 THEN 'could not be measured again'
-      ELSE 'replay disagrees with the stored reading' END AS reason, count(*) AS trials FROM trials
-    WHERE event_id % 19 = 0 OR abs((raw_m + (event_id % 16 - 8) * 16e-6) - raw_m) * 1e3 > 1e-1 GROUP BY ALL""",
-)
-def replay_failures(spark: SparkSession, sf: str) -> DataFrame:
-    _, failed = T.replay_split(replays(spark, sf))
-    return publish(failed.groupBy("run_id", "object_id", "reason").agg(F.count(F.lit(1)).alias("trials")))
-
-
-@plan(
-    "study_report",
-    "S16",
-    TRIALS
-    + f""", {PUBLISHED}, g AS (SELECT run_id, object_id, CASE WHEN bool_and(automatic) THEN 'automatic' WHEN bool_or(automatic) THEN 'mixed' ELSE 'brush' END AS src,
-      count(*) AS n, median(raw_m) AS m, max(raw_m) - min(raw_m) AS s, any_value(truth_m) AS t FROM pub GROUP BY ALL)
-    SELECT run_id, object_id, '| ' || object_id || ' | ' || src || ' | ' || printf('%.3f', t) || ' m | ' || n || ' | ' || printf('%.4f', m) || ' m | '
-      || CASE WHEN m >= t THEN '+' ELSE '' END || printf('%.4f', m - t) || ' m | ' || CASE WHEN m >= t THEN '+' ELSE '' END || printf('%.1f', (m - t) / t * 1e2)
-      || '% | ' || printf('%.1f', s * 1e3) || ' mm |' AS line FROM g""",
-)
-def study_report(spark: SparkSession, sf: str) -> DataFrame:
-    published, _ = T.replay_split(replays(spark, sf))
-    return publish(sinks.study_lines(T.study_groups(published)))
-
-
 @plan(
     "attempt_outcomes",
     "T7",
