@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.functions.numbers import f64
+from plumbline.functions.numbers import f64, finite
 from plumbline.functions.vectors import (
     Vec,
     distance,
@@ -17,6 +19,7 @@ from plumbline.functions.vectors import (
     vec,
 )
 from plumbline.operators.ranks import exploded
+from plumbline.session import cut_lineage
 
 MIN_COHERENCE = 0.7
 
@@ -131,12 +134,55 @@ def frustum_apexes(vertices: DataFrame) -> DataFrame:
     ).select("run_id", "frustum", "top.p.x", "top.p.y", "top.p.z")
 
 
+#: A search that found nothing near enough goes on in cells so many times as wide.
+WIDER = 4
+
+
+def nearest_distances(poses: DataFrame, marks: DataFrame, size: str) -> DataFrame:
+    """``poses`` (run_id, i, x, y, z, ``size``) with ``nearest``, the exact distance to the closest mark of the run.
+
+    ``marks``: run_id, ax, ay, az. Both sides are put in cubes as wide as the pose's ``size``, the same for all
+    poses of a run; a pose looks into its own cube and those around it. What it finds within one cube's width is
+    the nearest there is, and only poses without such a find go on, in cubes four times as wide, so each
+    round is one join of fewer poses. A run without marks, or a pose without finite coordinates, gets NULL.
+    """
+    at = vec("x", "y", "z")
+    whole = lambda cs: reduce(lambda a, b: a & b, [finite(F.col(c)) for c in cs])
+    marks = cut_lineage(marks.select("run_id", "ax", "ay", "az").where(whole(("ax", "ay", "az"))))
+    sizes = poses.select("run_id", F.col(size).alias("_size")).distinct()
+    open_ = cut_lineage(
+        poses.where(whole("xyz")).join(marks.select("run_id").distinct(), "run_id", "left_semi")
+        .select("run_id", "i", "x", "y", "z", F.col(size).alias("_size"))
+    )
+    done = []
+    around = F.sequence(F.lit(-1), F.lit(1))
+    while not open_.isEmpty():
+        cell = lambda c: F.floor(F.col(c) / F.col("_size"))
+        looked = open_.withColumns({f"g{c}": cell(c) for c in "xyz"})
+        for c in "xyz":
+            looked = looked.withColumn(f"g{c}", F.explode(F.transform(around, lambda d: d + F.col(f"g{c}"))))
+        placed = marks.join(sizes, "run_id").withColumns({f"g{c}": cell(f"a{c}") for c in "xyz"}).drop("_size")
+        found = (
+            exploded(looked)
+            .join(placed, ["run_id", "gx", "gy", "gz"])
+            .groupBy("run_id", "i")
+            .agg(F.min(distance(at, vec("ax", "ay", "az"))).alias("nearest"))
+        )
+        seen = cut_lineage(open_.join(found, ["run_id", "i"], "left"))
+        sure = F.coalesce(F.col("nearest") <= F.col("_size"), F.lit(False))
+        done.append(seen.where(sure).select("run_id", "i", "nearest"))
+        open_ = seen.where(~sure).drop("nearest").withColumn("_size", F.col("_size") * WIDER)
+        sizes = sizes.withColumn("_size", F.col("_size") * WIDER)
+    if not done:
+        return poses.withColumn("nearest", F.lit(None).cast("double"))
+    return poses.join(reduce(DataFrame.unionByName, done), ["run_id", "i"], "left")
+
+
 def verify_track(track: DataFrame, apexes: DataFrame, extents: DataFrame) -> DataFrame:
     """Do the computed camera positions match the outlines in the scene file?
 
-    In-order error is an equi-join on the sequence number. The nearest-apex test
-    only has to know whether every pose has an apex within tolerance, so both
-    sides are bucketed in tolerance-sized cells and only neighbouring cells meet.
+    In-order error is an equi-join on the sequence number; how far a pose is from the
+    nearest apex, whatever the order, is searched in cells (``nearest_distances``).
     """
     seq = W.partitionBy("run_id")
     poses = track.select(
@@ -158,21 +204,8 @@ def verify_track(track: DataFrame, apexes: DataFrame, extents: DataFrame) -> Dat
         .agg(F.count(F.lit(1)).alias("poses"), F.max("_d").alias("worst_in_order"))
     )
     counts = marks.groupBy("run_id").agg(F.count(F.lit(1)).alias("apexes"))
-    cell = lambda c: F.floor(F.col(c) / F.col("tol"))
-    near = F.sequence(F.lit(-1), F.lit(1))
-    placed = poses.join(limits, "run_id").select(
-        "*", cell("x").alias("gx"), cell("y").alias("gy"), cell("z").alias("gz")
-    )
-    apex_cells = marks.join(limits, "run_id").select("run_id", "ax", "ay", "az", "tol")
-    for axis in "xyz":
-        apex_cells = apex_cells.withColumn(
-            f"g{axis}", F.explode(F.transform(near, lambda d: d + cell(f"a{axis}")))
-        )
-    close = (
-        placed.join(exploded(apex_cells.drop("tol")), ["run_id", "gx", "gy", "gz"])
-        .where(distance(vec("x", "y", "z"), vec("ax", "ay", "az")) <= F.col("tol"))
-        .groupBy("run_id")
-        .agg(F.count_distinct("i").alias("near_poses"))
+    close = nearest_distances(poses.join(limits, "run_id"), marks, "tol").groupBy("run_id").agg(
+        F.max("nearest").alias("worst_nearest"), F.count_if(F.col("nearest") <= F.col("tol")).alias("near_poses")
     )
     joined = (
         ordered.join(limits, "run_id")
@@ -188,7 +221,7 @@ def verify_track(track: DataFrame, apexes: DataFrame, extents: DataFrame) -> Dat
         .otherwise(F.lit("rejected: positions"))
     )
     return joined.select(
-        "run_id", "poses", "apexes", F.col("tol").alias("tolerance_m"), "worst_in_order", kind.alias("verdict")
+        "run_id", "poses", "apexes", F.col("tol").alias("tolerance_m"), "worst_in_order", "worst_nearest", kind.alias("verdict")
     )
 
 

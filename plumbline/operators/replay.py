@@ -33,10 +33,11 @@ def frozen_pixels(trials: DataFrame, frames: DataFrame, radius: int = 1) -> Data
     """
     sizes = P.usable_frames(frames).select("run_id", "frame", "width", "height")
     grid = ["mask_width", "mask_height", "width", "height"]
+    starts = F.expr("filter(sequence(0, greatest(size(runs), 0)), k -> k % 2 = 0 and k + 1 < size(runs))")
     spans = (
         trials.where(intact())
         .join(sizes, ["run_id", "frame"])
-        .withColumn("_k", F.explode(F.expr("sequence(0, size(runs) - 2, 2)")))
+        .withColumn("_k", F.explode(starts))
         .select(
             "run_id",
             F.col("trial_id").alias("object_id"),

@@ -136,7 +136,7 @@ def frustum_apexes(spark: SparkSession, sf: str) -> DataFrame:
     m AS (SELECT run_id, pi, min(dist) FILTER (pi = qi) AS own, min(dist) AS near FROM d GROUP BY ALL),
     t AS (SELECT run_id, greatest(1e-2, 2e-3 * (max(x) - min(x))) AS tol FROM track GROUP BY ALL)
     SELECT run_id, count(*) AS poses, count(*) AS apexes, {r6('tol', 'tolerance_m')},
-           {r6('max(own)', 'worst_in_order')},
+           {r6('max(own)', 'worst_in_order')}, {r6('max(near)', 'worst_nearest')},
            CASE WHEN max(own) <= tol THEN 'confirmed' WHEN max(near) <= tol THEN 'rejected: order'
                 ELSE 'rejected: positions' END AS verdict FROM m JOIN t USING (run_id) GROUP BY run_id, tol""",
 )

@@ -10,6 +10,7 @@ from plumbline.operators import trials as T
 from plumbline.plans import adapters as A
 from plumbline.plans.registry import plan, publish, r6, r6s
 from plumbline.sources import evidence as E, sinks
+from plumbline.streaming import runs as SR
 
 TRIALS = A.cte("targets", "trials")
 
@@ -331,9 +332,10 @@ def packet_texts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-PACKETS = """pk AS (SELECT *, object_id || ':' || run_id || '#' || event_id % 50 AS oid, strftime(captured_at, '%Y-%m-%dT%H') AS cap,
+PACKETED = """pk AS (SELECT *, object_id || ':' || run_id || '#' || event_id % 50 AS oid, strftime(captured_at, '%Y-%m-%dT%H') AS cap,
         event_id % 29 > 0 AS masked FROM trials WHERE event_id % 31 > 0),
-    ided AS (SELECT *, oid || '@' || sitting_id || '@' || cap || '@' || CASE WHEN masked THEN mask_digest ELSE 'no-mask' END AS evidence_id FROM pk),
+    ided AS (SELECT *, oid || '@' || sitting_id || '@' || cap || '@' || CASE WHEN masked THEN mask_digest ELSE 'no-mask' END AS evidence_id FROM pk)"""
+PACKETS = PACKETED + """,
     once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY event_id % 2, event_id) AS k FROM ided) WHERE k = 1)"""
 
 
@@ -393,6 +395,48 @@ def evidence_archive(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@plan(
+    "evidence_store",
+    "S12, S13",
+    TRIALS
+    + f""", {PACKETED}, sent AS (SELECT * FROM (SELECT *, event_id % 2 AS batch, row_number() OVER (PARTITION BY event_id % 2, evidence_id ORDER BY event_id) AS k FROM ided)
+      WHERE k = 1 AND event_id % 23 > 0 AND masked AND run_id <> 7),
+    kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY batch DESC) AS last FROM sent) WHERE last = 1)
+    SELECT evidence_id, object_id, CAST(run_id AS VARCHAR) AS run_id, {r6s('raw_m')}, '2026-01-0' || (batch + 1) || 'T00:00:00Z' AS stored_at,
+      'clip ' || run_id % 3 AS clip_name, object_id = 'click' AS archived, CASE WHEN object_id = 'click' THEN 1 END AS archive_seq FROM kept""",
+)
+def evidence_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches stored one after the other, one object's packets archived, all read back from the versions.
+
+    The second batch sends some ids again; packets with a fault or of a run nobody registered are refused.
+    """
+    path = SR.fresh_folder(spark, "evidence-store")
+    run = F.col("run_id")
+    registry = A.trials(spark, sf).select("run_id").distinct().where(run != 7).select(
+        run.cast("string").alias("run_id"),
+        F.concat(F.lit("clip "), (run % 3).cast("string")).alias("clip_name"),
+        F.sha2(run.cast("string"), 256).alias("clip_sha256"),
+        (run < 3).alias("builtin"),
+    )
+    texts = packet_texts(spark, sf)
+    for batch in range(2):
+        rows = E.parse_packets(texts.where(F.col("event_id") % 2 == batch), "text", "_rank")
+        E.store_packets(E.first_per_id(rows, "_rank"), path, registry, F.lit(f"2026-01-0{batch + 1}T00:00:00Z"))
+    objects = spark.createDataFrame([("click",)], "object_id string")
+    E.archive_packets(spark, path, "target removed", F.lit("2026-01-03T00:00:00Z"), object_ids=objects)
+    shape = lambda df, archived: df.select(
+        F.col("evidenceId").alias("evidence_id"),
+        F.col("observation.objectId").alias("object_id"),
+        F.col("runId").alias("run_id"),
+        F.col("observation.rawM").alias("raw_m"),
+        F.col("storedAt").alias("stored_at"),
+        F.col("storage.clip_name").alias("clip_name"),
+        F.lit(archived).alias("archived"),
+        F.col("archive.seq").alias("archive_seq"),
+    )
+    return publish(shape(E.live_packets(spark, path), False).unionByName(shape(E.archived_packets(spark, path), True)))
+
+
 @plan(
     "session_export",
     "S15",

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import schemas
 from plumbline.session import cut_lineage
+from plumbline.sources import versions
 
 
 def packet_id(observation: str = "observation") -> Column:
@@ -91,47 +91,94 @@ def recovered_ruler(packets: DataFrame) -> DataFrame:
     return packets.withColumn("observation", F.when(held, lifted).otherwise(F.col("observation")))
 
 
-def store_packets(packets: DataFrame, path: str, stored: DataFrame | None = None) -> DataFrame:
-    """Store valid packets by run, one per run and id: the latest; returns the refused ones.
+#: Order of the packets of one id: by the time they were stored; without a time before all with one.
+_BY_TIME = [F.try_to_timestamp, lambda c: c]
 
-    Latest is by ``storedAt``; a packet that was sent again replaces the stored one unless it is older,
-    and without a time it comes before all with one. ``stored`` is all that ``path`` holds, read from there if not given. Runs that get a
-    packet are written again as a whole, other runs stay as they are. Re-running the same batch changes
-    nothing, so a retried job is safe.
+
+def store_packets(
+    packets: DataFrame,
+    path: str,
+    runs: DataFrame | None = None,
+    stamp: Column | None = None,
+    token: str | None = None,
+) -> DataFrame:
+    """Add valid packets to the store as one version; returns the refused ones (evidenceId, runId, fault).
+
+    ``runs`` (run_id, clip_name, clip_sha256, builtin) is the registry: packets of other runs are refused and
+    the others carry their run's record as ``storage``. ``stamp`` is the ``storedAt`` they get; without it they
+    keep their own. Readers see the version when all of it is written. A packet that was sent again replaces
+    the stored one unless it is older. Storing a batch again changes nothing that is read; with a ``token``
+    that was stored before it is not even written.
     """
-    faulted = packets.withColumn("fault", packet_fault(F.col("runId")))
-    refused = faulted.where(F.col("fault").isNotNull()).select("evidenceId", "runId", "fault")
+    spark = packets.sparkSession
+    fault = packet_fault(F.col("runId"))
+    rows = packets
+    if runs is not None:
+        record = F.struct(F.col("run_id").alias("runId"), *[F.col(c) for c in RECORD]).alias("storage")
+        rows = rows.join(runs.select(F.col("run_id").alias("runId"), record), "runId", "left")
+        fault = F.coalesce(fault, F.when(F.col("storage").isNull(), F.lit("no such run")))
+    else:
+        rows = rows.withColumn("storage", F.lit(None).cast(STORAGE))
+    faulted = cut_lineage(rows.withColumn("fault", fault))
     good = faulted.where(F.col("fault").isNull()).drop("fault").withColumn("evidenceId", packet_id())
-    merged = good.withColumn("_sent", F.lit(1))
-    if stored is None:
-        stored = _stored_packets(packets.sparkSession, path)
-    if stored is not None:
-        touched = good.select("runId").distinct()
-        held = stored.drop("run").join(touched, "runId", "left_semi").withColumn("_sent", F.lit(0))
-        merged = merged.unionByName(held)
-    at = F.try_to_timestamp(F.col("storedAt"))
-    rest = [F.col(c) for c in good.columns if c not in ("runId", "evidenceId")]
-    newest = F.struct(at, F.col("storedAt"), F.col("_sent"), F.to_json(F.struct(*rest)))
-    latest = (
-        merged.groupBy("runId", "evidenceId")
-        .agg(F.max_by(F.struct(*rest), newest).alias("p"))
-        .select("runId", "evidenceId", "p.*")
-        .select(*good.columns)
-    )
-    # Read to the end before the folder it was read from is replaced.
-    cut_lineage(latest).withColumn("run", F.col("runId")).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("run").parquet(path)
-    return refused
-
-
-def _stored_packets(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    if stamp is not None:
+        good = good.withColumn("storedAt", stamp)
+    versions.append(good.withColumn("archive", F.lit(None).cast(ARCHIVE)), path, token)
+    return faulted.where(F.col("fault").isNotNull()).select("evidenceId", "runId", "fault")
+
+
+#: What of a run is kept beside its packets, and what an archived packet says of its going.
+RECORD = ("clip_name", "clip_sha256", "builtin")
+STORAGE = "struct<runId:string,clip_name:string,clip_sha256:string,builtin:boolean>"
+ARCHIVE = "struct<seq:bigint,reason:string,at:string>"
+
+
+def _states(spark: SparkSession, path: str, version: int | None) -> DataFrame | None:
+    """For each id the version it was archived in last (0: never) beside all its rows."""
+    rows = versions.read(spark, path, version)
+    if rows is None:
+        return None
+    gone = rows.where(F.col("archive").isNotNull()).groupBy("evidenceId").agg(F.max("_version").alias("_gone"))
+    return rows.join(gone, "evidenceId", "left").withColumn("_gone", F.coalesce("_gone", F.lit(0)))
+
+
+def live_packets(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The packets a store holds: of each id the latest that came after its last archiving."""
+    rows = _states(spark, path, version)
+    if rows is None:
+        return spark.createDataFrame([], f"{schemas.PACKET}, storage {STORAGE}, archive {ARCHIVE}")
+    after = rows.where(F.col("archive").isNull() & (F.col("_version") > F.col("_gone"))).drop("_gone")
+    times = [f(F.col("storedAt")) for f in _BY_TIME]
+    return versions.newest(after, ["runId", "evidenceId"], times).drop("_version")
+
+
+def archived_packets(spark: SparkSession, path: str) -> DataFrame:
+    """Every archiving of a packet, as it was then; nothing there is ever overwritten."""
+    rows = versions.read(spark, path)
+    return rows.where(F.col("archive").isNotNull()).drop("_version")
+
+
+def archive_packets(spark: SparkSession, path: str, reason: str, at: Column, **filters: DataFrame) -> DataFrame:
+    """Take packets out of what is read, as one version; returns their ids. ``filters`` as in ``archive_split``.
+
+    The packet and the note of its archiving become visible in one commit, so it is never in neither place.
+    """
+    before = versions.read(spark, path)
+    taken = before.where(F.col("archive").isNotNull()).select("evidenceId")
+    moved, _ = archive_split(live_packets(spark, path), taken, reason, at, **filters)
+    note = F.struct(F.col("archive_seq").alias("seq"), F.col("archived_reason").alias("reason"), F.col("archived_at").cast("string").alias("at"))
+    moved = cut_lineage(moved.withColumn("archive", note).drop("archive_seq", "archived_reason", "archived_at"))
+    versions.append(moved, path)
+    return moved.select("evidenceId")
+
+
+def compact_packets(spark: SparkSession, path: str) -> int:
+    """Write the newest version again as one batch: live packets and every archiving. The version's number."""
+    rows = _states(spark, path, None)
+    after = rows.where(F.col("archive").isNull() & (F.col("_version") > F.col("_gone")))
+    kept = versions.newest(after, ["runId", "evidenceId"], [f(F.col("storedAt")) for f in _BY_TIME])
+    both = kept.unionByName(rows.where(F.col("archive").isNotNull())).drop("_gone")
+    return versions.compact(spark, path, both)
 
 
 def archive_split(

@@ -1,28 +1,47 @@
-"""Evidence arriving one packet at a time, sittings, and a bounded sample of a point stream."""
+"""Evidence arriving in micro-batches, live sittings, and a bounded sample of a point stream."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.ranks import uniform_sample
+from plumbline.sources import versions
 
 
-def keep_packets(packets: DataFrame, order: Sequence[str]) -> DataFrame:
-    """The packet an evidence id has now: one sent again replaces the one before, by ``order``.
+def table_writer(path: str, order: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer that adds each micro-batch to a versioned table; a retried batch is added once.
 
-    Run in update mode: each micro-batch emits the ids it changed, and the state
-    holds one packet per id, as the store does.
+    The stream itself keeps no state, however many ids pass: which packet of an id counts is decided when
+    the table is read, so a repeat replaces the one before however late it comes. From time to time the
+    table is written again without the packets that were replaced.
     """
-    rest = [c for c in packets.columns if c != "evidence_id"]
-    newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("p")
-    return packets.groupBy("evidence_id").agg(newest).select("evidence_id", "p.*")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        if not batch.isEmpty():
+            versions.append(batch, path, token=f"epoch-{epoch}")
+        spark = batch.sparkSession
+        if len(versions.current(spark, path)[1]) >= versions.MANY:
+            rows = versions.read(spark, path)
+            versions.compact(spark, path, versions.newest(rows, ["evidence_id"], [F.col(c) for c in order]))
+
+    return write
+
+
+def kept_packets(spark: SparkSession, path: str, order: Sequence[str]) -> DataFrame:
+    """The packet each evidence id has now: the last by ``order`` of all that came."""
+    rows = versions.read(spark, path)
+    return versions.newest(rows, ["evidence_id"], [F.col(c) for c in order]).drop("_version")
 
 
 def sittings(trials: DataFrame, keys: Sequence[str], gap: str = "30 minutes") -> DataFrame:
-    """Sessions of repeat trials where no sitting id was recorded; batch or stream."""
+    """Sessions of repeat trials where no sitting id was recorded; batch or stream.
+
+    On a stream give ``captured_at`` a watermark: a sitting that micro-batches have cut is merged in the state
+    and comes out once, when the watermark has passed its end.
+    """
     return (
         trials.groupBy(*keys, F.session_window("captured_at", gap).alias("w"))
         .agg(

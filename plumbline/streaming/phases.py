@@ -18,7 +18,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 #: Names of the phases by number.
 PHASES = np.array(["waking", "loadingModel", "inferring"], dtype=object)
 INFERRING = 2
-STATE = "ts timestamp, event_id long, phase int, floor_bytes long"
+#: A missing instant as a number, before all others.
+NEVER = np.iinfo("int64").min
+STATE = "ts long, event_id long, phase int, floor_bytes long"
 ROWS = "run_id long, event_id long, phase string, entered boolean, floor_bytes long, late boolean"
 
 
@@ -40,41 +42,42 @@ def folded(
 class PhaseFold(StatefulProcessor):
     """One value of state per run: the last snapshot's instant and id, its phase, and the floor.
 
-    A micro-batch of a run comes as chunks and is sorted as a whole by (ts, event_id). A snapshot that is
-    older than the state's last one came too late: it is given back with its own phase, marked ``late``,
-    without a floor, and does not change the state, so what was given out before stays right.
+    A micro-batch of a run comes as chunks and is put in order by (ts, event_id) as a whole. A snapshot that
+    is not after the state's last one came too late, and one without an instant has no place: it is given
+    back with its own phase, marked ``late``, without a floor, and does not change the state, so what was
+    given out before stays right.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._state = handle.getValueState("last", STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"], kind="stable", ignore_index=True)
-        ready = batch["available"].fillna(False).to_numpy(bool)
-        loaded = batch["model_loaded"].fillna(False).to_numpy(bool)
+        batch = pd.concat(list(rows), ignore_index=True)
+        times = batch["ts"].to_numpy("datetime64[us]").astype("int64")
+        ids = batch["event_id"].to_numpy("int64")
+        order = np.lexsort((ids, times))
+        batch, times, ids = batch.iloc[order], times[order], ids[order]
+        ready, loaded = (batch[c].eq(True).to_numpy(bool) for c in ("available", "model_loaded"))
         phase = np.where(~ready, 0, np.where(~loaded, 1, INFERRING))
-        ids, times = batch["event_id"].to_numpy("int64"), batch["ts"]
-        last_ts, last_id, before, floor = self._state.get() if self._state.exists() else (None, None, 0, None)
-        late = np.zeros(len(batch), bool)
-        if last_ts is not None:
-            edge = pd.Timestamp(last_ts)
-            late = ((times < edge) | ((times == edge) & (ids <= last_id))).to_numpy(bool)
+        last_ts, last_id, before, floor = self._state.get() if self._state.exists() else (NEVER, 0, 0, None)
+        late = (times < last_ts) | (times == NEVER) | ((times == last_ts) & (ids <= last_id))
         n = int(late.sum())  # late ones stand first, as the batch is in order
         entered, floors, known = folded(phase[n:], batch["used_bytes"].fillna(0).to_numpy("int64")[n:], before, floor)
         if n < len(batch):
-            end = int(floors[-1]) if known[-1] else None
-            self._state.update((times.iloc[-1].to_pydatetime(), int(ids[-1]), int(phase[-1]), end))
-        nothing = np.zeros(n, bool)
+            self._state.update((int(times[-1]), int(ids[-1]), int(phase[-1]), int(floors[-1]) if known[-1] else None))
+        nothing = np.zeros(n, "int64")
         yield pd.DataFrame(
             {
                 "run_id": np.full(len(batch), key[0]),
                 "event_id": ids,
                 "phase": PHASES[phase],
-                "entered": np.concatenate((nothing, entered)),
-                "floor_bytes": pd.array(np.concatenate((np.zeros(n, "int64"), floors)), "Int64").copy(),
+                "entered": np.concatenate((nothing, entered)).astype(bool),
+                "floor_bytes": pd.arrays.IntegerArray(
+                    np.concatenate((nothing, floors)).astype("int64"), ~np.concatenate((nothing, known)).astype(bool)
+                ),
                 "late": late,
             }
-        ).assign(floor_bytes=lambda t: t["floor_bytes"].where(np.concatenate((nothing, known)), pd.NA))
+        )
 
     def close(self) -> None:
         pass

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,19 +27,37 @@ def epoch_writer(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def run_available(stream: DataFrame, path: str, output_mode: str) -> StreamingQuery:
-    """Drain what is there now into an epoch table."""
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Within: the state store that jobs with state of their own need."""
+    # The setting's name and the store's class.
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
+def drain(stream: DataFrame, path: str, output_mode: str, write: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Give what is there now to ``write``, micro-batch by micro-batch."""
     query = (
         stream.writeStream.outputMode(output_mode)
         .option("checkpointLocation", f"{path}/_progress")
         .trigger(availableNow=True)
-        .foreachBatch(epoch_writer(f"{path}/rows"))
+        .foreachBatch(write)
         .start()
     )
     query.awaitTermination()
     return query
 
 
+def run_available(stream: DataFrame, path: str, output_mode: str) -> StreamingQuery:
+    """Drain what is there now into an epoch table."""
+    return drain(stream, path, output_mode, epoch_writer(f"{path}/rows"))
+
+
 def latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """The last written row per key of an epoch table: later epochs overwrite earlier ones."""
     rows = spark.read.parquet(f"{path}/rows")

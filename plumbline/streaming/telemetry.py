@@ -1,14 +1,10 @@
-"""Memory telemetry: windowed high-water marks and the run phase machine."""
+"""Memory telemetry: windowed high-water marks and the run phase machine over stored rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def peak_windows(telemetry: DataFrame, every: str = "1 hour") -> DataFrame:
@@ -81,43 +77,3 @@ def phases(telemetry: DataFrame) -> DataFrame:
             F.coalesce("_here", "_carried").alias("floor_bytes"),
         )
     )
-
-
-class PhaseProcessor(StatefulProcessor):
-    """The same machine over a stream: two values of state per run."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("phase", "phase string, floor_bytes long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, floor = self._state.get() if self._state.exists() else ("waking", None)
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        out = []
-        for row in batch.itertuples(index=False):
-            if not row.available:
-                now = "waking"
-            elif not row.model_loaded:
-                now = "loadingModel"
-            else:
-                now = "inferring"
-            entered = now == "inferring" and last != "inferring"
-            if entered:
-                floor = int(row.used_bytes)
-            last = now
-            out.append((row.run_id, row.event_id, now, entered, floor))
-        self._state.update((last, floor))
-        table = pd.DataFrame(out, columns=["run_id", "event_id", "phase", "entered", "floor_bytes"])
-        yield table.astype({"floor_bytes": "Int64"})
-
-    def close(self) -> None:
-        pass
-
-
-def phases_stream(telemetry: DataFrame) -> DataFrame:
-    """Phase transitions of a live stream; rows of a micro-batch are ordered by instant."""
-    return telemetry.groupBy("run_id").transformWithStateInPandas(
-        statefulProcessor=PhaseProcessor(),
-        outputStructType="run_id long, event_id long, phase string, entered boolean, floor_bytes long",
-        outputMode="Append",
-        timeMode="None",
-    )

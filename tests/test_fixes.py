@@ -104,9 +104,13 @@ def test_runs_without_points_or_up_are_refused(spark):
     assert reason == {2: "no finite points", 3: "no up direction"} and any(r.run_id == 1 for r in found)
 
 
-def test_a_packet_sent_again_replaces(spark):
+def test_a_packet_sent_again_replaces(spark, tmp_path):
     from plumbline.streaming import evidence
 
-    packets = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 6.0), ("b", 1, 7.0)], "evidence_id string, event_id int, value double")
-    kept = evidence.keep_packets(packets, ["event_id"]).collect()
-    assert {r.evidence_id: r.value for r in kept} == {"a": 6.0, "b": 7.0}
+    path = str(tmp_path / "packets")
+    rows = [[("a", 2, 6.0), ("b", 1, 7.0)], [("a", 1, 5.0), ("c", 3, 1.0)]]
+    write = evidence.table_writer(path, ["event_id"])
+    for epoch, batch in enumerate(rows + rows[1:]):
+        write(spark.createDataFrame(batch, "evidence_id string, event_id int, value double"), min(epoch, 1))
+    kept = evidence.kept_packets(spark, path, ["event_id"]).collect()
+    assert {r.evidence_id: r.value for r in kept} == {"a": 6.0, "b": 7.0, "c": 1.0}

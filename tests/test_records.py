@@ -4,9 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import calibrate as K, fleet as R, scale as S, trials as T
-from plumbline.plans import adapters as A
-from plumbline.streaming import runs as SR, telemetry as ST
-from tests.conftest import SMALL
 
 DOOR = [("d", 2.1, 2.0184), ("d", 0.75, 0.6971), ("d", 0.45, 0.4276)]
 
@@ -81,14 +78,3 @@ def test_memory_prediction_flags_what_was_measured(spark):
     assert rows[(112, 252)].b == 22848471040 / 4 and not rows[(112, 252)].m
     assert rows[(120, 504)].b == pytest.approx((22848471040 + 23561502720) / 2)
     assert rows[(8, 504)].b == 7_000_000_000
-
-
-def test_phase_stream_agrees_with_the_batch_form(spark):
-    from plumbline.plans.stream_plans import event_stream
-
-    batch = ST.phases(A.telemetry(A.table(spark, SMALL, "events"))).drop("ts")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    folder = SR.fresh_folder(spark, "phases")
-    SR.run_available(ST.phases_stream(A.telemetry(event_stream(spark, SMALL))), folder, "append")
-    streamed = spark.read.parquet(f"{folder}/rows").drop("epoch").select(*batch.columns)
-    assert sorted(map(tuple, streamed.collect()), key=repr) == sorted(map(tuple, batch.collect()), key=repr)

@@ -115,10 +115,9 @@ def test_storing_refuses_faults_and_is_repeatable(spark, tmp_path):
     path = str(tmp_path / "store")
     refused = evidence.store_packets(rows, path)
     assert sorted(r.fault for r in refused.collect()) == ["no frozen mask", "run id does not match"]
-    stored = spark.read.parquet(path)
-    assert stored.count() == 1
-    evidence.store_packets(rows, path, stored)
-    assert spark.read.parquet(path).count() == 1
+    assert evidence.live_packets(spark, path).count() == 1
+    evidence.store_packets(rows, path)
+    assert evidence.live_packets(spark, path).count() == 1
 
 
 def test_a_packet_stored_again_replaces_the_stored_one(spark, tmp_path):
@@ -127,7 +126,7 @@ def test_a_packet_stored_again_replaces_the_stored_one(spark, tmp_path):
         return evidence.parse_packets(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
 
     def held():
-        return {r.observation.id: r.schemaVersion for r in spark.read.parquet(path).collect()}
+        return {r.observation.id: r.schemaVersion for r in evidence.live_packets(spark, path).collect()}
 
     path = str(tmp_path / "store")
     first, later = "2026-01-01T00:00:00Z", "2026-01-01T00:00:00.500Z"
@@ -135,10 +134,10 @@ def test_a_packet_stored_again_replaces_the_stored_one(spark, tmp_path):
     assert held() == {"o:r#1": "b", "o:r#2": "a", "o:r#3": "a"}
     again = sent(("o:r#2", "c", later), ("o:r#3", "old", first), ("o:r#4", "a", None))
     for _ in range(2):
-        evidence.store_packets(again, path, spark.read.parquet(path))
+        evidence.store_packets(again, path)
         assert held() == {"o:r#1": "b", "o:r#2": "c", "o:r#3": "a", "o:r#4": "a"}
-        assert spark.read.parquet(path).count() == 4
-    evidence.store_packets(sent(("o:r#1", "d", None)), path)  # the store is read where it is not given
+        assert evidence.live_packets(spark, path).count() == 4
+    evidence.store_packets(sent(("o:r#1", "d", None)), path)
     assert held() == {"o:r#1": "b", "o:r#2": "c", "o:r#3": "a", "o:r#4": "a"}
 
 
