@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import f64, half_up
+from plumbline.operators.ranks import exploded
+from plumbline.session import cut_lineage
 
 GIB = 1073741824
 
@@ -55,8 +57,8 @@ def predict_memory(frames: Column, process_res: Column, resident_bytes: int) ->
 
     Below the first rung scales down (never under the resident model), between
     rungs interpolates, above extrapolates on the last distinct step, and
-    resolution scales quadratically. The ladder is five constants, so it is an
-    expression and not a join.
+    resolution scales quadratically. The ladder here is the five fixed peaks;
+    ``predict_from_ladders`` takes measured ones.
     """
     tops: list[tuple[int, int]] = []
     for n, peak in MEASURED_PEAKS:
@@ -73,6 +75,92 @@ def predict_memory(frames: Column, process_res: Column, resident_bytes: int) ->
     return value * ratio * ratio, measured
 
 
+#: Frame counts are joined to segments in buckets of so many.
+BUCKET = 16
+
+
+def ladder_segments(rungs: DataFrame, keys: list[str]) -> DataFrame:
+    """Pieces of each measured ladder: keys, over, upto (frames), base_bytes, slope, offset, rung.
+
+    ``rungs``: keys, frames, peak_bytes, one row per frame count, made non-decreasing first. A piece holds the
+    frames in (over, upto]: up to the first rung peaks shrink in proportion, between rungs they are
+    interpolated, beyond the last one (``upto`` NULL) they go on as from the last rung that was lower.
+    """
+    tops = monotone_ladder(rungs, keys)
+    order = W.partitionBy(*keys).orderBy("frames")
+    whole = W.partitionBy(*keys)
+    lower = F.struct("frames", "peak_bytes")
+    marked = tops.withColumns(
+        {
+            "_f": F.lag("frames").over(order),
+            "_b": F.lag("peak_bytes").over(order),
+            "_last": F.max("frames").over(whole),
+            "_top": F.max("peak_bytes").over(whole),
+        }
+    ).withColumn("_low", F.max(F.when(F.col("peak_bytes") < F.col("_top"), lower)).over(whole))
+    number = lambda c: F.col(c).cast("double")
+    first = F.col("_f").isNull()
+    inner = marked.select(
+        *keys,
+        F.coalesce("_f", F.lit(-1)).alias("over"),
+        F.col("frames").alias("upto"),
+        F.when(first, f64(0)).otherwise(number("_b")).alias("base_bytes"),
+        F.when(first, number("peak_bytes") / F.col("frames"))
+        .otherwise((number("peak_bytes") - number("_b")) / (F.col("frames") - F.col("_f")))
+        .alias("slope"),
+        F.coalesce("_f", F.lit(0)).alias("offset"),
+        F.col("frames").alias("rung"),
+    )
+    beyond = marked.where("frames = _last").select(
+        *keys,
+        F.col("frames").alias("over"),
+        F.lit(None).cast(marked.schema["frames"].dataType).alias("upto"),
+        number("peak_bytes").alias("base_bytes"),
+        F.coalesce((number("_top") - F.col("_low.peak_bytes")) / (F.col("frames") - F.col("_low.frames")), f64(0)).alias("slope"),
+        F.col("frames").alias("offset"),
+        F.lit(None).cast(marked.schema["frames"].dataType).alias("rung"),
+    )
+    return inner.unionByName(beyond)
+
+
+def predict_from_ladders(runs: DataFrame, rungs: DataFrame, resident_bytes: int) -> DataFrame:
+    """``runs`` (run_id, label, frames, process_res) with predicted_bytes, measured and ladder_res.
+
+    ``rungs``: label, process_res, frames, peak_bytes. A run follows the ladder of its label at its resolution,
+    or else that of the highest resolution measured for the label, scaled by the square of the ratio.
+    Segments and runs meet on buckets of frame counts, and the exact range decides; a run beyond its
+    ladder looks into the bucket where the ladder ends. Labels without a ladder give NULL. ``measured`` is
+    true for a rung itself at its own resolution.
+    """
+    keys = ["label", "ladder_res"]
+    ladders = cut_lineage(ladder_segments(rungs.withColumnRenamed("process_res", "ladder_res"), keys))
+    ends = ladders.where(F.col("upto").isNull()).select(*keys, F.col("over").alias("_end"))
+    own = ends.select("label", F.col("ladder_res").alias("process_res"), F.col("ladder_res").alias("_own"), F.col("_end").alias("_own_end"))
+    best = ends.groupBy("label").agg(F.max_by(F.struct("ladder_res", "_end"), "ladder_res").alias("_best"))
+    placed = runs.join(own, ["label", "process_res"], "left").join(best, "label", "left").select(
+        *runs.columns,
+        F.coalesce("_own", "_best.ladder_res").alias("ladder_res"),
+        F.coalesce("_own_end", "_best._end").alias("_end"),
+    )
+    bucket = lambda c: F.floor(c / BUCKET)
+    placed = placed.withColumn("_bucket", bucket(F.least(F.col("frames"), F.col("_end") + 1)))
+    last = F.coalesce(F.col("upto"), F.col("over") + 1)
+    spread = exploded(ladders.withColumn("_bucket", F.explode(F.sequence(bucket(F.greatest(F.col("over") + 1, F.lit(0))), bucket(last)))))
+    inside = (F.col("p.frames") > F.col("s.over")) & F.coalesce(F.col("p.frames") <= F.col("s.upto"), F.lit(True))
+    same = reduce(lambda a, b: a & b, [F.col(f"p.{k}") == F.col(f"s.{k}") for k in [*keys, "_bucket"]])
+    joined = placed.alias("p").join(spread.alias("s"), same & inside, "left")
+    value = F.col("s.base_bytes") + F.col("s.slope") * (F.col("p.frames") - F.col("s.offset"))
+    value = F.when(F.col("s.over") < 0, F.greatest(f64(resident_bytes), value)).otherwise(value)
+    ratio = F.col("p.process_res") / F.col("p.ladder_res").cast("double")
+    exact = (F.col("p.frames") == F.col("s.rung")) & (F.col("p.process_res") == F.col("p.ladder_res"))
+    return joined.select(
+        *[F.col(f"p.{c}") for c in runs.columns],
+        (value * ratio * ratio).alias("predicted_bytes"),
+        F.coalesce(exact, F.lit(False)).alias("measured"),
+        F.col("p.ladder_res").alias("ladder_res"),
+    )
+
+
 def allocator_fit(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Line of allocator peak (GiB) against frame count."""
     y, x = F.col("torch_peak_bytes") / f64(GIB), F.col("frame_count").cast("double")

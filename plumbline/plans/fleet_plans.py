@@ -11,6 +11,7 @@ from plumbline.operators.cloud import cloud_stats
 from plumbline.plans import adapters as A
 from plumbline.plans.registry import plan, publish, r6, r6s
 from plumbline.sources import catalog, manifests
+from plumbline.streaming import runs as SR
 
 RUNS = A.cte("runs")
 DESCRIBED = """d AS (SELECT run_id, i AS npz_index, frame_count,
@@ -154,6 +155,59 @@ def memory_prediction(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def nested_sweeps(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """Two sweep files of one document each: every eighth frame count measured, some again in the second."""
+    cut = F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
+    measured = A.runs(spark, sf).where(F.col("frame_count") % 8 == 0)
+    peak = F.max(F.floor(F.col("duration_s") * f64(1e9))).cast("long").alias("peak_bytes")
+    found = []
+    for part in (measured.where(F.col("created_at") < cut), measured.where(F.col("created_at") >= cut)):
+        rungs = part.groupBy(F.col("status").alias("label"), F.col("frame_count").cast("int").alias("frames"), "process_res").agg(peak)
+        runs = F.collect_list(F.struct("frames", "process_res", "peak_bytes", F.lit(True).alias("ok"))).alias("runs")
+        sweeps = rungs.groupBy("label").agg(runs).withColumn("contaminated", F.lit(False))
+        folder = SR.fresh_folder(spark, "sweeps")
+        sweeps.agg(F.collect_list(F.struct("label", "contaminated", "runs")).alias("sweeps")).write.json(folder)
+        found.append(R.sweep_rungs(manifests.read_sweeps(spark, folder)).where("ok"))
+    return found
+
+
+@plan(
+    "ladder_prediction",
+    "J6, R1, S17",
+    RUNS
+    + f""", r AS (SELECT status AS label, process_res AS res, frame_count AS f, created_at >= TIMESTAMP '1998-01-01' AS batch,
+      max(CAST(floor(duration_s * 1e9) AS BIGINT)) AS b FROM runs WHERE frame_count % 8 = 0 GROUP BY ALL),
+    l AS (SELECT label, res, f, arg_max(b, batch) AS b FROM r GROUP BY ALL),
+    m AS (SELECT label, res, f, CAST(max(b) OVER (PARTITION BY label, res ORDER BY f) AS DOUBLE) AS b FROM l),
+    e AS (SELECT label, res, min(f) AS f0, min(b) AS b0, max(f) AS f9, max(b) AS b9 FROM m GROUP BY ALL),
+    d AS (SELECT e.*, max(m.f) AS fd, max(m.b) AS bd FROM e LEFT JOIN m ON m.label = e.label AND m.res = e.res AND m.b < e.b9 GROUP BY ALL),
+    g AS (SELECT label, res, f AS fa, b AS ba, lead(f) OVER w AS fb, lead(b) OVER w AS bb FROM m WINDOW w AS (PARTITION BY label, res ORDER BY f)),
+    p AS (SELECT run_id, status AS label, frame_count - 8 AS k, process_res FROM runs),
+    h AS (SELECT p.*, coalesce(o.res, t.res) AS res FROM p LEFT JOIN e o ON o.label = p.label AND o.res = p.process_res
+      LEFT JOIN (SELECT label, max(res) AS res FROM e GROUP BY ALL) t ON t.label = p.label),
+    v AS (SELECT h.*, CASE WHEN k <= f0 THEN greatest({RESIDENT}e0, b0 * (k / CAST(f0 AS DOUBLE)))
+        WHEN k > f9 THEN b9 + coalesce((b9 - bd) / CAST(f9 - fd AS DOUBLE), 0e0) * (k - f9)
+        ELSE ba + (k - fa) * ((bb - ba) / (fb - fa)) END AS bytes
+      FROM h LEFT JOIN d ON d.label = h.label AND d.res = h.res LEFT JOIN g ON g.label = h.label AND g.res = h.res AND k > fa AND k <= fb)
+    SELECT v.run_id, v.label, k AS frames, CAST(process_res AS BIGINT) AS process_res, CAST(v.res AS BIGINT) AS ladder_res,
+      {r6('bytes * (process_res / CAST(v.res AS DOUBLE)) * (process_res / CAST(v.res AS DOUBLE)) / 1e9', 'predicted_gb')},
+      process_res = v.res AND m.f IS NOT NULL AS measured FROM v LEFT JOIN m ON m.label = v.label AND m.res = v.res AND m.f = k""",
+)
+def ladder_prediction(spark: SparkSession, sf: str) -> DataFrame:
+    """The peak of every run by the ladders that nested sweeps measured, a later sweep's rungs over an earlier one's."""
+    first, second = nested_sweeps(spark, sf)
+    rungs = R.upsert_rungs(first, second).select("label", "process_res", "frames", "peak_bytes")
+    runs = A.runs(spark, sf).select(
+        "run_id", F.col("status").alias("label"), (F.col("frame_count") - 8).alias("frames"), "process_res"
+    )
+    predicted = R.predict_from_ladders(runs, rungs, RESIDENT)
+    return publish(
+        predicted.select(
+            "run_id", "label", "frames", "process_res", "ladder_res", (F.col("predicted_bytes") / f64(1e9)).alias("predicted_gb"), "measured"
+        )
+    )
+
+
 @plan(
     "allocator_fit",
     "R2, R3",
