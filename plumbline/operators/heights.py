@@ -1,4 +1,4 @@
-"""Object heights from masked points: robust percentiles, end bands, rulers, components.
+"""Object heights from masked points: robust percentiles, end bands, rulers.
 
 A measurement group is one mask on one frame, so it is bounded by the image and
 plain grouped percentiles fit. Points are exchanged once on the group key and
@@ -24,7 +24,7 @@ from plumbline.functions.vectors import (
     signed_height,
     vec,
 )
-from plumbline.operators.ranks import NMAD_SCALE, exploded
+from plumbline.operators.ranks import NMAD_SCALE
 from plumbline.session import cut_lineage
 
 OBJECT = ["run_id", "object_id", "frame"]
@@ -293,68 +293,3 @@ def nearest_level_cloud(options: DataFrame, keys: list[str]) -> DataFrame:
     """
     gap = F.coalesce(F.abs(F.col("support") - F.col("recorded")), f64(float("inf")))
     return options.groupBy(*keys).agg(F.min_by("cloud", F.struct(gap, F.col("ord"))).alias("cloud"))
-
-
-def connected_voxels(points: DataFrame, keys: list[str], edge: float = 0.05) -> DataFrame:
-    """26-neighbour components of occupied voxels, summarised per group.
-
-    Every occupied voxel starts as its own label and repeatedly takes the lowest
-    label of itself and its neighbours, then jumps to that label's own label, so
-    a long thin component settles in a logarithmic number of rounds. Each round
-    is cut with a checkpoint.
-    """
-    cell = lambda c: F.floor(F.col(c) / f64(edge)).alias(f"i{c}")
-    finite_points = points.where(finite(F.col("x")) & finite(F.col("y")) & finite(F.col("z")))
-    voxels = finite_points.groupBy(*keys, cell("x"), cell("y"), cell("z")).agg(
-        F.count(F.lit(1)).alias("points")
-    )
-    at = ["ix", "iy", "iz"]
-    nodes = cut_lineage(voxels.withColumn("node", F.struct(*at)))
-    near = F.sequence(F.lit(-1), F.lit(1))
-    moved = nodes.select(*keys, F.col("node").alias("src"), *at)
-    for c in at:
-        moved = moved.withColumn(c, F.explode(F.transform(near, lambda d: d + F.col(c))))
-    edges = exploded(moved).join(nodes.select(*keys, *at, F.col("node").alias("dst")), [*keys, *at]).where(
-        F.col("src") < F.col("dst")
-    )
-    both = cut_lineage(
-        edges.select(*keys, "src", "dst").unionByName(
-            edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
-        )
-    )
-    labels = nodes.select(*keys, "node", F.col("node").alias("label"))
-    while True:
-        around = (
-            both.join(labels.select(*keys, F.col("node").alias("dst"), "label"), [*keys, "dst"])
-            .groupBy(*keys, F.col("src").alias("node"))
-            .agg(F.min("label").alias("_low"))
-        )
-        lowered = labels.join(around, [*keys, "node"], "left").select(
-            *keys, "node", F.col("label").alias("_old"), F.least("label", "_low").alias("_new")
-        )
-        hops = lowered.select(*keys, F.col("node").alias("_new"), F.col("_new").alias("_hop"))
-        jumped = cut_lineage(
-            lowered.join(hops, [*keys, "_new"], "left").select(
-                *keys, "node", "_old", F.coalesce("_hop", "_new").alias("label")
-            )
-        )
-        labels = jumped.drop("_old")
-        if jumped.where(F.col("_old") != F.col("label")).isEmpty():
-            break
-    sized = (
-        nodes.join(labels, [*keys, "node"])
-        .groupBy(*keys, "label")
-        .agg(F.sum("points").alias("_points"), F.count(F.lit(1)).alias("_voxels"))
-    )
-    # The share is of all points given, finite or not.
-    given = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_given"))
-    components = sized.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("components"),
-        F.max("_points").alias("largest_points"),
-        F.sum("_voxels").alias("voxels"),
-    )
-    return (
-        components.join(given, keys)
-        .withColumn("largest_share", F.col("largest_points") / F.col("_given"))
-        .drop("_given")
-    )

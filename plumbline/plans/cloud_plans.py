@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.numbers import f64
 from plumbline.functions.vectors import vec
 from plumbline.operators import audits, cloud as C, pixels as P
-from plumbline.operators.heights import connected_voxels
+from plumbline.operators.components import connected_voxels
 from plumbline.operators.levels import heights
 from plumbline.operators.ranks import exact_percentiles, uniform_sample
 from plumbline.plans import adapters as A
@@ -278,13 +278,12 @@ def quantiles_along_up(spark: SparkSession, sf: str) -> DataFrame:
     return publish(C.quantiles_along(points, up))
 
 
-@plan(
-    "voxel_components",
-    "C22",
-    A.cte("px", "edge", "cam", "world", recursive=True)
-    + """, near_pts AS (SELECT run_id, frame, wx AS x, wy AS y, wz AS z FROM world WHERE depth > 4e0),
-    v AS (SELECT run_id, frame, CAST(floor(x / 25e-2) AS BIGINT) AS ix, CAST(floor(y / 25e-2) AS BIGINT) AS iy,
-                 CAST(floor(z / 25e-2) AS BIGINT) AS iz, count(*) AS points FROM near_pts GROUP BY ALL),
+def components_sql(edge: str) -> str:
+    """Components of each frame's occupied voxels over all its valid pixels, by the closure over pairs of voxels."""
+    return (
+        A.cte("px", "edge", "cam", "world", recursive=True)
+        + f""", v AS (SELECT run_id, frame, CAST(floor(wx / {edge}) AS BIGINT) AS ix, CAST(floor(wy / {edge}) AS BIGINT) AS iy,
+                 CAST(floor(wz / {edge}) AS BIGINT) AS iz, count(*) AS points FROM world WHERE depth >= 1e-4 GROUP BY ALL),
     n AS (SELECT *, row_number() OVER (PARTITION BY run_id, frame ORDER BY ix, iy, iz) AS id FROM v),
     e AS (SELECT a.run_id, a.frame, a.id AS src, b.id AS dst FROM n a JOIN n b ON a.run_id = b.run_id AND a.frame = b.frame
           AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 AND abs(a.iz - b.iz) <= 1),
@@ -294,20 +293,24 @@ def quantiles_along_up(spark: SparkSession, sf: str) -> DataFrame:
     comp AS (SELECT run_id, frame, label, sum(points) AS pts, count(*) AS vox FROM n JOIN lab USING (run_id, frame, id) GROUP BY ALL)
     SELECT run_id, frame, count(*) AS components, CAST(max(pts) AS BIGINT) AS largest_points,
            round(max(pts) / CAST(sum(pts) AS DOUBLE) + 1e-9, 6) + 0e0 AS largest_share, CAST(sum(vox) AS BIGINT) AS voxels
-    FROM comp GROUP BY ALL""",
-)
+    FROM comp GROUP BY ALL"""
+    )
+
+
+def valid_points(spark: SparkSession, sf: str) -> DataFrame:
+    status = P.pixel_status(A.frames(spark, sf)).where("status = 'valid'")
+    return status.select("run_id", "frame", *(F.col(f"w{c}").alias(c) for c in "xyz"))
+
+
+@plan("voxel_components", "C22", components_sql("25e-2"))
 def voxel_components(spark: SparkSession, sf: str) -> DataFrame:
-    status = P.pixel_status(A.frames(spark, sf)).where(F.col("depth") > f64(4))
-    points = status.select("run_id", "frame", *(F.col(f"w{c}").alias(c) for c in "xyz"))
-    return publish(connected_voxels(points, ["run_id", "frame"], 0.25))
+    return publish(connected_voxels(valid_points(spark, sf), ["run_id", "frame"], 0.25))
 
 
-@plan("frame_components", "C22")
+@plan("frame_components", "C22", components_sql("5e-1"))
 def frame_components(spark: SparkSession, sf: str) -> DataFrame:
-    """Components over all valid pixels; ``voxel_components`` and its SQL look at those beyond 4 m only."""
-    status = P.pixel_status(A.frames(spark, sf)).where("status = 'valid'")
-    points = status.select("run_id", "frame", *(F.col(f"w{c}").alias(c) for c in "xyz"))
-    return publish(connected_voxels(points, ["run_id", "frame"], 0.25))
+    """The same in voxels of half a metre, which connect most of a frame."""
+    return publish(connected_voxels(valid_points(spark, sf), ["run_id", "frame"], 0.5))
 
 
 @plan(

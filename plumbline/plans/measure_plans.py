@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import f64
 from plumbline.functions.vectors import angle_deg, plane, plane_elevation_at, vec
+from plumbline.operators.components import connected_voxels
 from plumbline.operators import ground, heights as H, levels as L, masks as M, pixels as P, poses as G
 from plumbline.operators.ranks import exact_nmad
 from plumbline.plans import adapters as A
@@ -397,4 +398,4 @@ def endpoint_components(spark: SparkSession, sf: str) -> DataFrame:
     top = placed.join(extents.select(*H.OBJECT, "top"), H.OBJECT).where(
         F.abs(F.col("h") - F.col("top")) <= f64(0.05)
     )
-    return publish(H.connected_voxels(top.select(*H.OBJECT, "x", "y", "z"), H.OBJECT, 0.05))
+    return publish(connected_voxels(top.select(*H.OBJECT, "x", "y", "z"), H.OBJECT, 0.05))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import f64
 from plumbline.operators import cloud as C, ground as P, heights as H, levels as L, masks as M, pixels as X
+from plumbline.operators.components import connected_voxels
 from tests.conftest import SMALL
 
 FRAME = "run_id string, frame int, width int, height int, depth array<double>, confidence array<double>, intrinsics array<double>, extrinsics array<double>"
@@ -192,11 +193,23 @@ def test_components_join_across_corners_only(spark):
     rows = [("a", 0.01, 0.01, 0.01), ("a", 0.06, 0.06, 0.06), ("a", 0.5, 0.5, 0.5), ("a", 0.51, 0.5, 0.5), ("a", 0.52, 0.5, 0.5)]
     rows += [("chain", i * 0.05 + 0.01, 0.0, 0.0) for i in range(64)]
     points = spark.createDataFrame(rows, "k string, x double, y double, z double")
-    got = {r.k: r for r in H.connected_voxels(points, ["k"], 0.05).collect()}
+    got = {r.k: r for r in connected_voxels(points, ["k"], 0.05).collect()}
     assert (got["a"].components, got["a"].largest_points, got["a"].voxels) == (2, 3, 3)
     assert (got["chain"].components, got["chain"].largest_share) == (1, 1.0)
 
 
+def test_components_cross_blocks(spark):
+    """Chains through many blocks in any direction, two that only pass each other, and negative places."""
+    at = lambda i: 0.05 * i + 0.01
+    rows = [("long", at(i), at(-i), 0.0) for i in range(-90, 90)]
+    rows += [("two", at(i), 0.01, 0.01) for i in range(-40, 40)] + [("two", at(i), 0.01, 0.16) for i in range(-40, 40)]
+    rows += [("corner", at(15), at(15), at(15)), ("corner", at(16), at(16), at(16)), ("corner", at(14), at(17), 0.0), ("nan", float("nan"), 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "k string, x double, y double, z double")
+    got = {r.k: (r.components, r.largest_points, r.voxels) for r in connected_voxels(points, ["k"], 0.05).collect()}
+    assert got == {"long": (1, 180, 180), "two": (2, 80, 160), "corner": (2, 2, 3)}
+    assert connected_voxels(points.where("FALSE"), ["k"], 0.05).count() == 0
+
+
 def test_components_take_all_valid_pixels(spark):
     """Every depth counts, against a flood fill; the given frames split where near pixels are left out."""
     from plumbline.operators.pixels import pixel_status
@@ -226,7 +239,7 @@ def test_components_take_all_valid_pixels(spark):
         return len(sizes), max(sizes), len(cells)
 
     wanted = {k: filled(c) for k, c in counts.items()}
-    rows = catalogue.PLANS["frame_components"].job(spark, SMALL).collect()
+    rows = catalogue.PLANS["voxel_components"].job(spark, SMALL).collect()
     assert {(r.run_id, r.frame): (r.components, r.largest_points, r.voxels) for r in rows} == wanted
     assert all(abs(r.largest_share - r.largest_points / counts[r.run_id, r.frame].total()) < 1e-6 for r in rows)
     assert wanted != {k: filled(c) for k, c in split.items()}
