@@ -534,18 +534,19 @@ def choose_robust(fits: DataFrame, options: GroundOptions) -> DataFrame:
 
 
 def fit_ground_robust(
-    points: DataFrame, ups: DataFrame, options: GroundOptions = MEASUREMENT_FIT
+    points: DataFrame, ups: DataFrame, options: GroundOptions = MEASUREMENT_FIT, runs: DataFrame | None = None
 ) -> DataFrame:
-    return choose_robust(fit_ground(points, ups, options), options)
+    """The best pool of each run and seed; of ``runs`` (run_id) those without an up direction are refused rows."""
+    return choose_robust(fit_ground(points, ups, options, runs), options)
 
 
-def fit_two_pass(points: DataFrame, ups: DataFrame, options: GroundOptions) -> DataFrame:
+def fit_two_pass(points: DataFrame, ups: DataFrame, options: GroundOptions, runs: DataFrame | None = None) -> DataFrame:
     """A second fit along the first one's normal, with a tighter gate and the next seed.
 
     Both rows come back, ``pass`` 1 and 2, the second refused if the first is.
-    Takes one seed and one pool.
+    Takes one seed and one pool. ``runs`` as in ``fit_ground``.
     """
-    first = cut_lineage(fit_ground(points, ups, options))
+    first = cut_lineage(fit_ground(points, ups, options, runs))
     normals = first.where(F.col("status") == "ok").select(
         "run_id", F.col("nx").alias("ux"), F.col("ny").alias("uy"), F.col("nz").alias("uz")
     )

@@ -240,13 +240,16 @@ def measure_objects(
     lower: float = 2.0,
     upper: float = 98.0,
     min_points: int = 80,
+    min_per_end: int = 40,
 ) -> DataFrame:
-    """The measurement job: both definitions, with the rules for automatic masks.
+    """The measurement job: both definitions with ruler and details, and the rules for automatic masks.
 
     ``provenance``: run_id, object_id, frame, mode, automatic, accepted, occluded.
     An automatic mask that was not accepted, or whose base is hidden, is withheld.
     An automatic extent is taken from its balanced ends, and the full mask rides
-    along as a control.
+    along as a control. The ruler of an extent stands between the centroids of its
+    ends; that of a height stands on the floor below the centroid of the top.
+    Columns that a mode does not have are NULL.
     """
     heights = object_heights(points, planes).join(provenance, OBJECT)
     withheld = (
@@ -257,21 +260,53 @@ def measure_objects(
     extent_rows = open_.where(F.col("mode") == "vertical_extent")
     brushed = extent_rows.where(~F.col("automatic"))
     automatic = extent_rows.where(F.col("automatic"))
-    tails = endpoint_evidence(automatic)
+    tails = endpoint_evidence(automatic, min_per_end=min_per_end)
     limits = dict(lower=lower, upper=upper, min_points=min_points)
-    control = vertical_extent(automatic, **limits).select(
-        *OBJECT, F.col("height").alias("control_m")
+    control = vertical_extent(automatic, **limits).select(*OBJECT, F.col("height").alias("control_m"))
+    ends = tails.groupBy(*OBJECT).agg(
+        F.count(F.lit(1)).alias("endpoint_points"), F.max("points_per_end").alias("points_per_end")
     )
-    by_extent = vertical_extent(brushed.unionByName(tails.drop("points_per_end")), **limits).select(
-        *OBJECT, "status", "height", "uncertainty", "point_count"
+    measured_points = brushed.unionByName(tails.drop("points_per_end"))
+    extents = cut_lineage(vertical_extent(measured_points, **limits))
+    by_extent = extents.join(_extent_rulers(measured_points, extents, planes), OBJECT, "left").select(
+        *OBJECT,
+        "status",
+        "height",
+        "uncertainty",
+        "point_count",
+        F.col("bottom").alias("bottom_m"),
+        F.col("top").alias("top_m"),
+        F.col("bottom_roughness").alias("bottom_roughness_m"),
+        F.col("top_roughness").alias("top_roughness_m"),
+        F.when(F.col("status") == "ok", F.lit("extent")).alias("ruler_kind"),
+        *RULER,
+    )
+    floor_points = open_.where(F.col("mode") == "top_above_floor")
+    rmse = planes if "rmse" in planes.columns else None
+    tops = cut_lineage(measure_height(floor_points, percentile=upper, min_points=min_points, plane_rmse=rmse))
+    floor_rmse = planes.select("run_id", (F.col("rmse") if rmse is not None else F.lit(None).cast("double")).alias("_rmse"))
+    ok = F.col("status") == "ok"
+    by_top = (
+        tops.join(_floor_rulers(floor_points, tops, planes), OBJECT, "left")
+        .join(floor_rmse, "run_id", "left")
+        .select(
+            *OBJECT,
+            "status",
+            "height",
+            "uncertainty",
+            "point_count",
+            F.when(ok, f64(0)).alias("bottom_m"),
+            F.col("height").alias("top_m"),
+            F.col("top_roughness").alias("top_roughness_m"),
+            F.when(ok, F.lit("floor_height")).alias("ruler_kind"),
+            *RULER,
+            F.when(ok, F.col("_rmse")).alias("floor_rmse_m"),
+            F.col("max_height").alias("max_height_m"),
+        )
+    )
+    measured = (
+        by_extent.unionByName(by_top, allowMissingColumns=True).join(control, OBJECT, "left").join(ends, OBJECT, "left")
     )
-    by_top = measure_height(
-        open_.where(F.col("mode") == "top_above_floor"),
-        percentile=upper,
-        min_points=min_points,
-        plane_rmse=planes if "rmse" in planes.columns else None,
-    ).select(*OBJECT, "status", "height", "uncertainty", "point_count")
-    measured = by_extent.unionByName(by_top).join(control, OBJECT, "left")
     asked = provenance.withColumn("_withheld", withheld)
     status = F.coalesce(F.col("_withheld"), F.col("status"), F.lit("refused"))
     return asked.join(measured, OBJECT, "left").select(
@@ -281,11 +316,38 @@ def measure_objects(
         F.col("height").alias("raw_m"),
         F.col("uncertainty").alias("internal_spread_m"),
         "point_count",
+        "bottom_m",
+        "top_m",
+        "bottom_roughness_m",
+        "top_roughness_m",
+        "floor_rmse_m",
+        "max_height_m",
+        "ruler_kind",
+        *RULER,
+        "endpoint_points",
+        "points_per_end",
         "control_m",
         (F.col("height") - F.col("control_m")).alias("adapter_delta_m"),
     )
 
 
+RULER = [f"ruler_{end}_{c}" for end in ("bottom", "top") for c in "xyz"]
+
+
+def _extent_rulers(points: DataFrame, extents: DataFrame, planes: DataFrame) -> DataFrame:
+    return endpoint_geometry(points, extents, planes).select(*OBJECT, *RULER)
+
+
+def _floor_rulers(points: DataFrame, tops: DataFrame, planes: DataFrame) -> DataFrame:
+    """From the floor to the measured height, through the centroid of the points near that height."""
+    wanted = tops.where(F.col("status") == "ok").select(*OBJECT, F.col("height").alias("top"))
+    joined = band_centroid(points, wanted, "top").join(wanted, OBJECT).join(
+        planes.select("run_id", "nx", "ny", "nz", "d"), "run_id"
+    )
+    low, high = ruler_points(vec("top_x", "top_y", "top_z"), plane(), f64(0), F.col("top"))
+    return joined.select(*OBJECT, *(part.alias(n) for part, n in zip((*low, *high), RULER)))
+
+
 def nearest_level_cloud(options: DataFrame, keys: list[str]) -> DataFrame:
     """The cloud whose floor support is nearest the recorded one; the first listed wins a tie.
 

@@ -132,19 +132,24 @@ OBJECT = (
     obj AS (SELECT k.*, along - elevation AS h FROM kept k JOIN low USING (run_id))"""
 )
 
-EXTENT = """ends AS (SELECT run_id, object_id, frame, count(*) AS point_count, quantile_disc(h, 2e-2) AS bottom, quantile_disc(h, 98e-2) AS top,
-               min(h) AS min_height, max(h) AS max_height FROM obj GROUP BY ALL),
-    bm AS (SELECT run_id, object_id, frame, quantile_disc(h, 5e-1) AS mid, count(*) AS n FROM obj JOIN ends USING (run_id, object_id, frame)
-           WHERE h BETWEEN bottom - 5e-2 AND bottom + 5e-2 GROUP BY ALL),
-    tm AS (SELECT run_id, object_id, frame, quantile_disc(h, 5e-1) AS mid, count(*) AS n FROM obj JOIN ends USING (run_id, object_id, frame)
-           WHERE h BETWEEN top - 5e-2 AND top + 5e-2 GROUP BY ALL),
-    br AS (SELECT run_id, object_id, frame, any_value(n) AS n, 14826e-4 * quantile_disc(abs(h - mid), 5e-1) AS r FROM obj JOIN ends USING (run_id, object_id, frame)
-           JOIN bm USING (run_id, object_id, frame) WHERE h BETWEEN bottom - 5e-2 AND bottom + 5e-2 GROUP BY run_id, object_id, frame),
-    tr AS (SELECT run_id, object_id, frame, any_value(n) AS n, 14826e-4 * quantile_disc(abs(h - mid), 5e-1) AS r FROM obj JOIN ends USING (run_id, object_id, frame)
-           JOIN tm USING (run_id, object_id, frame) WHERE h BETWEEN top - 5e-2 AND top + 5e-2 GROUP BY run_id, object_id, frame),
-    extent AS (SELECT e.*, top - bottom AS height, CASE WHEN br.n >= 3 THEN br.r ELSE 0e0 END AS bottom_roughness,
-             CASE WHEN tr.n >= 3 THEN tr.r ELSE 0e0 END AS top_roughness, tr.n AS top_band_count, tr.r AS tr_raw
-           FROM ends e JOIN br USING (run_id, object_id, frame) JOIN tr USING (run_id, object_id, frame))"""
+def extent_sql(of: str = "obj", p: str = "") -> str:
+    """CTEs up to ``{p}extent``: both ends of each object over the points of ``of``, with their roughness."""
+    key = "(run_id, object_id, frame)"
+    low, high = "h BETWEEN bottom - 5e-2 AND bottom + 5e-2", "h BETWEEN top - 5e-2 AND top + 5e-2"
+    mids = lambda name, band: f"""{p}{name}m AS (SELECT run_id, object_id, frame, quantile_disc(h, 5e-1) AS mid, count(*) AS n
+           FROM {of} JOIN {p}ends USING {key} WHERE {band} GROUP BY ALL),
+    {p}{name}r AS (SELECT run_id, object_id, frame, any_value({p}{name}m.n) AS n, 14826e-4 * quantile_disc(abs(h - mid), 5e-1) AS r
+           FROM {of} JOIN {p}ends USING {key} JOIN {p}{name}m USING {key} WHERE {band} GROUP BY run_id, object_id, frame)"""
+    return f"""{p}ends AS (SELECT run_id, object_id, frame, count(*) AS point_count, quantile_disc(h, 2e-2) AS bottom, quantile_disc(h, 98e-2) AS top,
+               min(h) AS min_height, max(h) AS max_height FROM {of} GROUP BY run_id, object_id, frame),
+    {mids("b", low)},
+    {mids("t", high)},
+    {p}extent AS (SELECT e.*, top - bottom AS height, CASE WHEN b.n >= 3 THEN b.r ELSE 0e0 END AS bottom_roughness,
+             CASE WHEN t.n >= 3 THEN t.r ELSE 0e0 END AS top_roughness, t.n AS top_band_count, t.r AS tr_raw
+           FROM {p}ends e JOIN {p}br b USING {key} JOIN {p}tr t USING {key})"""
+
+
+EXTENT = extent_sql()
 
 MIN_POINTS = 8
 
@@ -233,17 +238,22 @@ def endpoint_evidence(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-GEOMETRY = f"""g AS (SELECT o.run_id, object_id, frame, any_value(bottom) AS bottom, any_value(top) AS top,
+def geometry_sql(of: str = "obj", p: str = "") -> str:
+    """CTEs up to ``{p}ruler``: centroids of the ends of ``{p}extent`` and the ruler between them."""
+    return f"""{p}g AS (SELECT o.run_id, object_id, frame, any_value(bottom) AS bottom, any_value(top) AS top,
         any_value(ux) AS ux, any_value(uy) AS uy, any_value(uz) AS uz, any_value(elevation) AS elevation,
         avg(x) FILTER (abs(h - bottom) <= 5e-2) AS bx, avg(y) FILTER (abs(h - bottom) <= 5e-2) AS by_, avg(z) FILTER (abs(h - bottom) <= 5e-2) AS bz,
         avg(x) FILTER (abs(h - top) <= 5e-2) AS tx, avg(y) FILTER (abs(h - top) <= 5e-2) AS ty, avg(z) FILTER (abs(h - top) <= 5e-2) AS tz
-      FROM obj o JOIN extent USING (run_id, object_id, frame) JOIN low USING (run_id) WHERE point_count >= {MIN_POINTS}
+      FROM {of} o JOIN {p}extent USING (run_id, object_id, frame) JOIN low USING (run_id) WHERE point_count >= {MIN_POINTS}
       GROUP BY o.run_id, object_id, frame),
-    k AS (SELECT *, sqrt((tx - bx) ** 2 + (ty - by_) ** 2 + (tz - bz) ** 2) AS apart,
+    {p}k AS (SELECT *, sqrt((tx - bx) ** 2 + (ty - by_) ** 2 + (tz - bz) ** 2) AS apart,
             ux * (tx - bx) + uy * (ty - by_) + uz * (tz - bz) AS rise,
-            ux * (bx + tx) / 2e0 + uy * (by_ + ty) / 2e0 + uz * (bz + tz) / 2e0 - elevation AS lift FROM g),
-    ruler AS (SELECT *, (bx + tx) / 2e0 + ux * (bottom - lift) AS rbx, (by_ + ty) / 2e0 + uy * (bottom - lift) AS rby, (bz + tz) / 2e0 + uz * (bottom - lift) AS rbz,
-            (bx + tx) / 2e0 + ux * (top - lift) AS rtx, (by_ + ty) / 2e0 + uy * (top - lift) AS rty, (bz + tz) / 2e0 + uz * (top - lift) AS rtz FROM k)"""
+            ux * (bx + tx) / 2e0 + uy * (by_ + ty) / 2e0 + uz * (bz + tz) / 2e0 - elevation AS lift FROM {p}g),
+    {p}ruler AS (SELECT *, (bx + tx) / 2e0 + ux * (bottom - lift) AS rbx, (by_ + ty) / 2e0 + uy * (bottom - lift) AS rby, (bz + tz) / 2e0 + uz * (bottom - lift) AS rbz,
+            (bx + tx) / 2e0 + ux * (top - lift) AS rtx, (by_ + ty) / 2e0 + uy * (top - lift) AS rty, (bz + tz) / 2e0 + uz * (top - lift) AS rtz FROM {p}k)"""
+
+
+GEOMETRY = geometry_sql()
 
 
 @plan(
@@ -316,29 +326,54 @@ def gravity_control(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Points an end of an automatic mask needs here, as frames are small.
+PER_END = 4
+_EACH = f"least(n // 2, greatest({PER_END}, CAST(floor(n * 1e-1) AS BIGINT)))"
+_RULER = [f"ruler_{end}_{c}" for end in ("bottom", "top") for c in "xyz"]
+
+
 @plan(
     "measurement_job",
     "M10",
     OBJECT
     + f""", {EXTENT}, prov AS (SELECT run_id, object_id, frame,
         CASE WHEN frame % 2 = 0 THEN 'vertical_extent' ELSE 'top_above_floor' END AS mode, frame % 3 = 1 AS automatic,
-        frame % 5 <> 0 AS accepted, frame % 7 = 0 AS occluded, count(*) AS n FROM mask GROUP BY ALL),
+        frame % 5 <> 0 AS accepted, frame % 7 = 0 AS occluded FROM mask GROUP BY ALL),
+    judged AS (SELECT *, CASE WHEN automatic AND NOT accepted THEN 'withheld: mask not accepted'
+          WHEN automatic AND occluded THEN 'withheld: base is occluded' END AS held, automatic AND frame % 2 = 0 AS balanced FROM prov),
     res AS (SELECT run_id, sqrt(avg(h * h) FILTER (abs(h) <= 35e-3)) AS rmse FROM obj GROUP BY ALL),
-    judged AS (SELECT p.*, CASE WHEN automatic AND NOT accepted THEN 'withheld: mask not accepted'
-          WHEN automatic AND occluded THEN 'withheld: base is occluded' END AS held FROM prov p),
-    final AS (SELECT j.run_id, object_id, frame, mode, automatic, held, point_count,
-          CASE WHEN mode = 'top_above_floor' THEN top ELSE height END AS v,
-          CASE WHEN mode = 'top_above_floor' THEN sqrt(top_roughness * top_roughness + rmse * rmse)
-               ELSE sqrt(bottom_roughness * bottom_roughness + top_roughness * top_roughness) END AS u
-        FROM judged j LEFT JOIN extent USING (run_id, object_id, frame) LEFT JOIN res USING (run_id))
-    SELECT run_id, object_id, frame, mode, CASE WHEN held IS NOT NULL THEN held
-        WHEN automatic AND mode = 'vertical_extent' THEN 'refused' WHEN point_count >= {MIN_POINTS} THEN 'ok' ELSE 'refused' END AS status,
-      {r6(f"CASE WHEN held IS NULL AND NOT (automatic AND mode = 'vertical_extent') AND point_count >= {MIN_POINTS} THEN v END", 'raw_m')},
-      {r6(f"CASE WHEN held IS NULL AND NOT (automatic AND mode = 'vertical_extent') AND point_count >= {MIN_POINTS} THEN u END", 'internal_spread_m')}
-    FROM final""",
+    placed AS (SELECT o.*, balanced, row_number() OVER w AS at_, count(*) OVER (PARTITION BY run_id, object_id, frame) AS n
+        FROM obj o JOIN judged USING (run_id, object_id, frame) WHERE held IS NULL WINDOW w AS (PARTITION BY run_id, object_id, frame ORDER BY h, y, x, z)),
+    chosen AS (SELECT *, {_EACH} AS each FROM placed WHERE NOT balanced OR (n >= {2 * PER_END} AND (at_ <= {_EACH} OR at_ > n - {_EACH}))),
+    tails AS (SELECT run_id, object_id, frame, count(*) AS endpoint_points, max(each) AS points_per_end FROM chosen WHERE balanced GROUP BY ALL),
+    {extent_sql("chosen", "c")}, {geometry_sql("chosen", "c")},
+    topped AS (SELECT o.run_id, object_id, frame, any_value(ux) AS ux, any_value(uy) AS uy, any_value(uz) AS uz, any_value(elevation) AS elevation, any_value(top) AS top,
+        avg(x) AS x, avg(y) AS y, avg(z) AS z FROM chosen o JOIN cextent USING (run_id, object_id, frame) JOIN low USING (run_id)
+        WHERE abs(h - top) <= 5e-2 GROUP BY o.run_id, object_id, frame),
+    based AS (SELECT *, ux * x + uy * y + uz * z - elevation AS up FROM topped),
+    final AS (SELECT j.run_id, j.object_id, j.frame, mode, held, mode = 'top_above_floor' AS floor_, c.point_count, c.point_count >= {MIN_POINTS} AS ok, c.bottom, c.top, c.height,
+          c.bottom_roughness, c.top_roughness, CASE WHEN c.top_band_count >= 3 THEN c.tr_raw END AS top_raw, c.max_height, rmse, endpoint_points, points_per_end,
+          CASE WHEN balanced AND held IS NULL AND e.point_count >= {MIN_POINTS} THEN e.height END AS control_m,
+          rbx, rby, rbz, rtx, rty, rtz, b.x - ux * up AS fbx, b.y - uy * up AS fby, b.z - uz * up AS fbz,
+          b.x + ux * (b.top - up) AS ftx, b.y + uy * (b.top - up) AS fty, b.z + uz * (b.top - up) AS ftz
+        FROM judged j LEFT JOIN cextent c USING (run_id, object_id, frame) LEFT JOIN extent e USING (run_id, object_id, frame) LEFT JOIN tails USING (run_id, object_id, frame)
+        LEFT JOIN (SELECT run_id, object_id, frame, rbx, rby, rbz, rtx, rty, rtz FROM cruler) r USING (run_id, object_id, frame)
+        LEFT JOIN (SELECT run_id, object_id, frame, ux, uy, uz, up, top, x, y, z FROM based) b USING (run_id, object_id, frame) LEFT JOIN res USING (run_id))
+    SELECT run_id, object_id, frame, mode, CASE WHEN held IS NOT NULL THEN held WHEN ok THEN 'ok' ELSE 'refused' END AS status,
+      {r6("CASE WHEN ok THEN CASE WHEN floor_ THEN top ELSE height END END", "raw_m")},
+      {r6("CASE WHEN ok THEN CASE WHEN floor_ THEN sqrt(coalesce(top_raw, 0e0) ** 2 + coalesce(rmse, 0e0) ** 2) ELSE sqrt(bottom_roughness ** 2 + top_roughness ** 2) END END", "internal_spread_m")},
+      point_count, {r6("CASE WHEN ok THEN CASE WHEN floor_ THEN 0e0 ELSE bottom END END", "bottom_m")}, {r6("CASE WHEN ok THEN top END", "top_m")},
+      {r6("CASE WHEN ok AND NOT floor_ THEN bottom_roughness END", "bottom_roughness_m")}, {r6("CASE WHEN ok THEN CASE WHEN floor_ THEN top_raw ELSE top_roughness END END", "top_roughness_m")},
+      {r6("CASE WHEN ok AND floor_ THEN rmse END", "floor_rmse_m")}, {r6("CASE WHEN ok AND floor_ THEN max_height END", "max_height_m")},
+      CASE WHEN ok THEN CASE WHEN floor_ THEN 'floor_height' ELSE 'extent' END END AS ruler_kind,
+      """
+    + ", ".join(
+        r6(f"CASE WHEN ok THEN CASE WHEN floor_ THEN f{end}{c} ELSE r{end}{c} END END", n)
+        for n, (end, c) in zip(_RULER, [(e, c) for e in "bt" for c in "xyz"])
+    )
+    + f""", endpoint_points, points_per_end, {r6s('control_m')}, {r6("CASE WHEN ok AND NOT floor_ THEN height - control_m END", 'adapter_delta_m')} FROM final""",
 )
 def measurement_job(spark: SparkSession, sf: str) -> DataFrame:
-    """An automatic extent needs 40 points at each end, more than an 8x8 frame has: those are refused."""
     kept, planes = object_cloud(spark, sf)
     frame = F.col("frame")
     provenance = A.masks(spark, sf).select(*H.OBJECT).distinct().select(
@@ -348,8 +383,7 @@ def measurement_job(spark: SparkSession, sf: str) -> DataFrame:
         (frame % 5 != 0).alias("accepted"),
         (frame % 7 == 0).alias("occluded"),
     )
-    measured = H.measure_objects(kept, planes, provenance, min_points=MIN_POINTS)
-    return publish(measured.drop("point_count", "control_m", "adapter_delta_m"))
+    return publish(H.measure_objects(kept, planes, provenance, min_points=MIN_POINTS, min_per_end=PER_END))
 
 
 @plan(

@@ -441,13 +441,15 @@ def evidence_store(spark: SparkSession, sf: str) -> DataFrame:
     "session_export",
     "S15",
     TRIALS
-    + """ SELECT run_id % 3 AS clip_key, 'observation' AS section, count(*) AS records FROM trials WHERE run_id % 3 > 0 GROUP BY ALL
-    UNION ALL SELECT run_id % 3, 'repeatability', count(DISTINCT object_id || '/' || run_id) FROM trials WHERE run_id % 3 > 0 GROUP BY ALL""",
+    + f""" SELECT run_id % 3 AS clip_key, 'observation' AS section, object_id || ':' || run_id || '#' || trial_index AS item, object_id, CAST(NULL AS VARCHAR) AS code,
+      run_id, trial_index, {r6s('raw_m')}, CAST(NULL AS BIGINT) AS n, CAST(NULL AS BIGINT) AS sitting_count FROM trials
+    UNION ALL SELECT run_id % 3, 'repeatability', object_id || ':' || run_id, object_id, any_value(code), run_id, NULL, NULL, count(*), count(DISTINCT sitting_id)
+      FROM trials JOIN targets USING (object_id) GROUP BY run_id, object_id""",
 )
 def session_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line of every clip's session, read back from its JSON."""
     numbered = A.numbered_trials(spark, sf)
-    clip_runs = numbered.select((F.col("run_id") % 3).alias("clip_key"), "run_id").distinct().where(F.col("clip_key") > 0)
+    clip_runs = numbered.select((F.col("run_id") % 3).alias("clip_key"), "run_id").distinct()
     lines = sinks.session_export(numbered, A.targets(spark), clip_runs)
-    return publish(
-        lines.where(F.col("json").isNotNull()).groupBy("clip_key", "section").agg(F.count(F.lit(1)).alias("records"))
-    )
+    record = "object_id string, code string, run_id long, trial_index long, raw_m double, n long, sitting_count long"
+    return publish(lines.select("clip_key", "section", "item", F.from_json("json", record).alias("r")).select("clip_key", "section", "item", "r.*"))

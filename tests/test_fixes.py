@@ -102,6 +102,11 @@ def test_runs_without_points_or_up_are_refused(spark):
     found = ground.fit_ground(points, ups, ground.MEASUREMENT_FIT, points.select("run_id")).collect()
     reason = {r.run_id: r.reason for r in found if r.run_id != 1}
     assert reason == {2: "no finite points", 3: "no up direction"} and any(r.run_id == 1 for r in found)
+    best = ground.fit_ground_robust(points, ups, ground.MEASUREMENT_FIT, points.select("run_id")).collect()
+    assert {r.run_id: r.reason for r in best if r.run_id != 1} == reason
+    one = ground.replace(ground.MEASUREMENT_FIT, seeds=ground.MEASUREMENT_FIT.seeds[:1], pools=ground.MEASUREMENT_FIT.pools[:1])
+    twice = ground.fit_two_pass(points, ups, one, points.select("run_id")).collect()
+    assert {r.run_id for r in twice if r["pass"] == 1} == {r.run_id for r in twice if r["pass"] == 2} >= {2, 3}
 
 
 def test_a_packet_sent_again_replaces(spark, tmp_path):
