@@ -23,7 +23,9 @@ LONGEST = 62
 #: Longer pieces do not occur in the vocabulary.
 PIECE = 16
 #: Distinct words a task gathers before it hands them on, and words of one stored row.
-GATHERED, ROW = 400_000, 20_000
+GATHERED, ROW = 60_000, 5_000
+#: Words a task keeps at hand beside those stored for it; the rest is merged again when it is met again.
+AT_HAND = 20_000
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -57,21 +59,30 @@ def units(text: str) -> list[str]:
 
 
 def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``words`` (unit, distinct) with ``edges``: (score, start, end, id) of each substring that is a piece.
+    """``words`` (unit, distinct, and other columns) with ``edges``: (score, start, end, id) of each substring that
+    is a piece.
 
     Substrings up to the longest piece are exploded and equi-joined to the piece table, which the
-    vocabulary bounds; edges are grouped by word where its substrings were made, with no exchange.
+    vocabulary bounds; edges are grouped by word where its substrings were made, with no exchange. Each word
+    also sends one empty substring, which meets an empty piece and carries the other columns: words without
+    any piece stay, and the words need not be joined to their edges again.
     """
+    more = [c for c in words.columns if c != "unit"]
     length = F.length("unit")
     starts = words.withColumn("_n", length).select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_start"))
-    spans = starts.select(
-        "unit", "_start", F.explode(F.sequence(F.lit(1), F.least(F.lit(PIECE), F.col("_n") - F.col("_start")))).alias("_len")
-    )
-    cut = spans.withColumn("piece", F.substring("unit", F.col("_start") + 1, F.col("_len")))
+    shortest = F.when(F.col("_start") == 0, 0).otherwise(1)
+    longest = F.least(F.lit(PIECE), F.col("_n") - F.col("_start"))
+    spans = starts.select("unit", *more, "_start", F.explode(F.sequence(shortest, longest)).alias("_len"))
+    carried = [F.when(F.col("_len") == 0, F.col(c)).alias(c) for c in more]
+    cut = spans.select("unit", *carried, "_start", "_len", F.substring("unit", F.col("_start") + 1, F.col("_len")).alias("piece"))
+    empty = pieces.sparkSession.createDataFrame([("", -1, 0.0)], "piece string, id int, score double")
     edge = F.struct(
         F.col("score"), F.col("_start").alias("start"), (F.col("_start") + F.col("_len")).alias("end"), F.col("id")
     )
-    return cut.join(F.broadcast(pieces), "piece").groupBy("unit").agg(F.collect_list(edge).alias("edges"))
+    joined = cut.join(F.broadcast(pieces.union(empty)), "piece")
+    own = [F.first(c, ignorenulls=True).alias(c) for c in more]
+    grouped = joined.groupBy("unit").agg(*own, F.collect_list(F.when(F.col("_len") > 0, edge)).alias("edges"))
+    return grouped
 
 
 def _bit(at: Column) -> Column:
@@ -165,9 +176,7 @@ def ids_of(unit: Column, cuts: Column, edges: Column, byte: int) -> Column:
 
 def encode_words(words: DataFrame, path: str = MODEL) -> DataFrame:
     """``words`` (unit: distinct, not NULL, 1 to ``LONGEST`` characters) with their ids."""
-    edges = lattice(words, piece_table(words.sparkSession, path))
-    empty = F.array().cast("array<struct<score:double,start:int,end:int,id:int>>")
-    joined = words.join(edges, "unit", "left").withColumn("edges", F.coalesce("edges", empty))
+    joined = lattice(words, piece_table(words.sparkSession, path))
     # The cuts are bound to a name of the lambda: as a column they might be worked out at each use.
     ids = F.transform(
         F.array(fold_merges(F.length("unit"), F.col("edges"))),
@@ -226,8 +235,8 @@ def _words_of(docs: DataFrame, path: str) -> DataFrame:
 
         def emit() -> Iterator[pa.RecordBatch]:
             some = [u for u in seen if u not in known and len(u) <= LONGEST]
-            for at in range(0, len(some), 50_000):
-                part = some[at : at + 50_000]
+            for at in range(0, len(some), ROW):
+                part = some[at : at + ROW]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(part, pa.string()), pa.array([block] * len(part), pa.int32())], ["unit", "block"]
                 )
@@ -298,7 +307,7 @@ def encode(docs: DataFrame, path: str = MODEL, column: str = "ids", checked: str
     names = docs.columns
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table_ = vocabulary(path)[0], None
+        known, table_, more = vocabulary(path)[0], None, {}
         data = _bytes_of(path)
         for batch in slices(batches):
             if table_ is None:
@@ -306,10 +315,12 @@ def encode(docs: DataFrame, path: str = MODEL, column: str = "ids", checked: str
             out, sizes, same = [], [], []
             for text in batch.column("text").to_pylist():
                 found = units(text or "")
+                if len(more) > AT_HAND:
+                    more.clear()
                 for u in found:
-                    if u not in table_:
-                        table_[u] = np.array([known[u][0]] if u in known else merged(u, path), np.int32).tobytes()
-                out.append(b"".join(map(table_.__getitem__, found)))
+                    if u not in table_ and u not in more:
+                        more[u] = np.array([known[u][0]] if u in known else merged(u, path), np.int32).tobytes()
+                out.append(b"".join([table_[u] if u in table_ else more[u] for u in found]))
                 sizes.append(len(out[-1]) // 4)
                 plain = b"".join(map(data.__getitem__, np.frombuffer(out[-1], np.int32).tolist()))
                 same.append(plain.removeprefix(b" ") == (text or "").encode("utf-8", "surrogatepass"))
