@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import heapq
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +25,10 @@ PIECE = 16
 GATHERED, ROW = 60_000, 5_000
 #: Words a task keeps at hand beside those stored for it; the rest is merged again when it is met again.
 AT_HAND = 20_000
-_UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
+#: Characters of text whose words a task holds at once (a longer text is a stretch of its own).
+STRETCH = 16_000_000
+#: An edge in one whole number: rank, start, end, id, from the top.
+_RANK, _START, _END, _ID = 40, 32, 24, (1 << 24) - 1
 
 
 @lru_cache(maxsize=2)
@@ -44,28 +46,70 @@ def vocabulary(path: str = MODEL) -> tuple[dict[str, tuple[int, float]], int]:
     return {m.id_to_piece(i): (i, m.get_score(i)) for i in plain}, m.piece_to_id("<0x00>")
 
 
+@lru_cache(maxsize=2)
+def ranks(path: str = MODEL) -> dict[float, int]:
+    """The place of each score among the vocabulary's, best first."""
+    return {s: k for k, s in enumerate(sorted({s for _, s in vocabulary(path)[0].values()}, reverse=True))}
+
+
 def piece_table(spark: SparkSession, path: str = MODEL) -> DataFrame:
-    """(piece, id, score): as many rows as the vocabulary, whatever the corpus."""
-    rows = [(p, i, s) for p, (i, s) in vocabulary(path)[0].items()]
-    return spark.createDataFrame(rows, "piece string, id int, score double")
+    """(piece, id, score, rank): as many rows as the vocabulary, whatever the corpus."""
+    place = ranks(path)
+    rows = [(p, i, s, place[s]) for p, (i, s) in vocabulary(path)[0].items()]
+    return spark.createDataFrame(rows, "piece string, id int, score double, rank int")
 
 
-def units(text: str) -> list[str]:
-    """The words of a text as the model sees them: each with the spaces before it. No merge crosses them."""
-    return _UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+@lru_cache(maxsize=2)
+def _neighbours(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each code point (0: in no piece of two or more), and which numbers stand side by side in a piece."""
+    pairs = {p[k : k + 2] for p in vocabulary(path)[0] for k in range(len(p) - 1)}
+    letters = {c: k + 1 for k, c in enumerate(sorted({c for pair in pairs for c in pair}))}
+    numbers = np.zeros(0x110000, np.int32)
+    numbers[[ord(c) for c in letters]] = list(letters.values())
+    together = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+    for a, b in pairs:
+        together[letters[a], letters[b]] = True
+    return numbers, together
+
+
+def units(text: str, path: str = MODEL) -> list[str]:
+    """The text, with marks for spaces, cut wherever no piece holds the two neighbouring characters.
+
+    A merge makes a piece that holds the characters on both sides of its seam, so no merge crosses a
+    cut and units can be encoded by themselves.
+    """
+    if not text:
+        return []
+    marked = SPACE + text.replace(" ", SPACE)
+    numbers, together = _neighbours(path)
+    at = numbers[np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    apart = ~together.ravel()[at[:-1] * len(together) + at[1:]]
+    places = [0, *(np.flatnonzero(apart) + 1).tolist(), len(marked)]
+    return [marked[a:b] for a, b in zip(places, places[1:])]
 
 
 # ---- the lattice
 
 
-def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
+def _full(start: Column, end: Column) -> Column:
+    return F.struct(F.col("score"), start.alias("start"), end.alias("end"), F.col("id"))
+
+
+def _packed(start: Column, end: Column) -> Column:
+    """Edges that sort by rank, then start; they are a sixth as wide as ``_full`` ones."""
+    up = [F.shiftleft(c.cast("long"), n) for c, n in ((F.col("rank"), _RANK), (start, _START), (end, _END), (F.col("id"), 0))]
+    return up[0].bitwiseOR(up[1]).bitwiseOR(up[2]).bitwiseOR(up[3])
+
+
+def lattice(words: DataFrame, pieces: DataFrame, edge: Callable[[Column, Column], Column] = _full) -> DataFrame:
     """``words`` (unit, distinct, and other columns) with ``edges``: (score, start, end, id) of each substring that
-    is a piece.
+    is a piece, or what ``edge`` makes of start and end and the columns of ``pieces``.
 
     Substrings up to the longest piece are exploded and equi-joined to the piece table, which the
     vocabulary bounds; edges are grouped by word where its substrings were made, with no exchange. Each word
     also sends one empty substring, which meets an empty piece and carries the other columns: words without
-    any piece stay, and the words need not be joined to their edges again.
+    any piece stay, and the words need not be joined to their edges again. A hash stands before the word in the
+    grouping key, so that sorting seldom looks at the words themselves.
     """
     more = [c for c in words.columns if c != "unit"]
     length = F.length("unit")
@@ -75,14 +119,12 @@ def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
     spans = starts.select("unit", *more, "_start", F.explode(F.sequence(shortest, longest)).alias("_len"))
     carried = [F.when(F.col("_len") == 0, F.col(c)).alias(c) for c in more]
     cut = spans.select("unit", *carried, "_start", "_len", F.substring("unit", F.col("_start") + 1, F.col("_len")).alias("piece"))
-    empty = pieces.sparkSession.createDataFrame([("", -1, 0.0)], "piece string, id int, score double")
-    edge = F.struct(
-        F.col("score"), F.col("_start").alias("start"), (F.col("_start") + F.col("_len")).alias("end"), F.col("id")
-    )
+    empty = pieces.sparkSession.createDataFrame([("", *[None] * (len(pieces.columns) - 1))], pieces.schema)
     joined = cut.join(F.broadcast(pieces.union(empty)), "piece")
     own = [F.first(c, ignorenulls=True).alias(c) for c in more]
-    grouped = joined.groupBy("unit").agg(*own, F.collect_list(F.when(F.col("_len") > 0, edge)).alias("edges"))
-    return grouped
+    found = F.when(F.col("_len") > 0, edge(F.col("_start"), F.col("_start") + F.col("_len")))
+    grouped = joined.groupBy(F.xxhash64("unit").alias("_hash"), "unit").agg(*own, F.collect_list(found).alias("edges"))
+    return grouped.drop("_hash")
 
 
 def _bit(at: Column) -> Column:
@@ -125,6 +167,24 @@ def fold_merges(n: Column, edges: Column) -> Column:
     )
 
 
+def _at(edge: Column, place: int) -> Column:
+    """The eight bits of a packed edge from ``place`` on."""
+    return F.shiftright(edge, place).bitwiseAND(F.lit(255).cast("long")).cast("int")
+
+
+def fold_in_order(n: Column, edges: Column) -> Column:
+    """The cuts ``fold_merges`` gives, by one pass over packed edges, for words without pieces ``out_of_order``."""
+
+    def step(cuts: Column, e: Column) -> Column:
+        start, end = _at(e, _START), _at(e, _END)
+        ends, inside = _bit(start).bitwiseOR(_bit(end)), _bit(end) - _bit(start + 1)
+        fits = (cuts.bitwiseAND(ends) == ends) & (F.bit_count(cuts.bitwiseAND(inside)) == 1)
+        return F.when(fits, cuts.bitwiseAND(F.bitwise_not(inside))).otherwise(cuts)
+
+    ranked = F.sort_array(F.filter(edges, lambda e: _at(e, _END) - _at(e, _START) > 1))
+    return F.aggregate(ranked, _bit(n + 1) - F.lit(1).cast("long"), step)
+
+
 def fold_viterbi(n: Column, edges: Column) -> Column:
     """The cuts of the best segmentation of a word by summed scores, for a unigram model.
 
@@ -174,14 +234,59 @@ def ids_of(unit: Column, cuts: Column, edges: Column, byte: int) -> Column:
     return F.flatten(F.element_at(parts, 1))
 
 
+def _unpacked(edges: Column) -> Column:
+    return F.transform(
+        edges,
+        lambda e: F.struct(
+            (-F.shiftright(e, _RANK)).cast("double").alias("score"), _at(e, _START).alias("start"), _at(e, _END).alias("end"),
+            e.bitwiseAND(F.lit(_ID).cast("long")).cast("int").alias("id"),
+        ),
+    )
+
+
+def _ids_packed(unit: Column, cuts: Column, edges: Column, byte: int) -> Column:
+    """``ids_of`` over packed edges: those between neighbouring cuts, by start, if they cover the word."""
+
+    def used(e: Column) -> Column:
+        start, end = _at(e, _START), _at(e, _END)
+        ends = _bit(start).bitwiseOR(_bit(end))
+        return cuts.bitwiseAND(ends.bitwiseOR(_bit(end) - _bit(start + 1))) == ends
+
+    low = F.lit((1 << _RANK) - 1)
+    mine = F.sort_array(F.transform(F.filter(edges, used), lambda e: e.bitwiseAND(low)))
+    ids = F.transform(mine, lambda e: e.bitwiseAND(F.lit(_ID).cast("long")).cast("int"))
+    return F.element_at(
+        F.transform(
+            F.array(ids),
+            lambda found: F.when(F.size(found) == F.bit_count(cuts) - 1, found).otherwise(
+                ids_of(unit, cuts, _unpacked(edges), byte)
+            ),
+        ),
+        1,
+    )
+
+
+@lru_cache(maxsize=2)
+def out_of_order(path: str = MODEL) -> list[int]:
+    """The ids of pieces in whose making a merge is followed by one that is not behind it by rank and place.
+
+    What happens inside a piece before it is made does not depend on what is around it, so the merges of
+    each piece by itself show all ways in which a merge can lead to another. In a word without such pieces
+    the best merge left is never one that has just become possible, and one pass in order is enough.
+    """
+    known, _ = vocabulary(path)
+    made = {i: _merges(p, known)[1] for p, (i, _) in known.items()}
+    return sorted(i for i, m in made.items() if any(a >= b for a, b in zip(m, m[1:])))
+
+
 def encode_words(words: DataFrame, path: str = MODEL) -> DataFrame:
     """``words`` (unit: distinct, not NULL, 1 to ``LONGEST`` characters) with their ids."""
-    joined = lattice(words, piece_table(words.sparkSession, path))
+    joined = lattice(words, piece_table(words.sparkSession, path), _packed)
+    n, edges = F.length("unit"), F.col("edges")
+    odd = F.exists(edges, lambda e: e.bitwiseAND(F.lit(_ID).cast("long")).isin(out_of_order(path)))
+    cuts_of = F.when(odd, fold_merges(n, _unpacked(edges))).otherwise(fold_in_order(n, edges))
     # The cuts are bound to a name of the lambda: as a column they might be worked out at each use.
-    ids = F.transform(
-        F.array(fold_merges(F.length("unit"), F.col("edges"))),
-        lambda cuts: ids_of(F.col("unit"), cuts, F.col("edges"), vocabulary(path)[1]),
-    )
+    ids = F.transform(F.array(cuts_of), lambda cuts: _ids_packed(F.col("unit"), cuts, edges, vocabulary(path)[1]))
     return joined.withColumn("ids", F.element_at(ids, 1)).drop("edges")
 
 
@@ -191,6 +296,18 @@ def merged(unit: str, path: str = MODEL) -> list[int]:
     known, byte = vocabulary(path)
     if unit in known:
         return [known[unit][0]]
+    out: list[int] = []
+    for p in _merges(unit, known)[0]:
+        if p in known:
+            out.append(known[p][0])
+        else:
+            out.extend(byte + x for x in p.encode("utf-8", "surrogatepass"))
+    return out
+
+
+def _merges(unit: str, known: dict[str, tuple[int, float]]) -> tuple[list[str], list[tuple[float, int]]]:
+    """The parts of a word after all merges, and rank and place of each merge in the order in which they came."""
+    done: list[tuple[float, int]] = []
     parts, after = list(unit), list(range(1, len(unit) + 1))
     before = list(range(-1, len(unit) - 1))
     heap: list[tuple[float, int, str]] = []
@@ -203,54 +320,94 @@ def merged(unit: str, path: str = MODEL) -> list[int]:
     for a in range(len(unit) - 1):
         offer(a)
     while heap:
-        _, a, pair = heapq.heappop(heap)
+        rank, a, pair = heapq.heappop(heap)
         b = after[a]
         if parts[a] == "" or b >= len(unit) or parts[a] + parts[b] != pair:
             continue
+        done.append((rank, a))
         parts[a], parts[b], after[a] = pair, "", after[b]
         if after[b] < len(unit):
             before[after[b]] = a
         if before[a] >= 0:
             offer(before[a])
         offer(a)
-    out: list[int] = []
-    for p in parts:
-        if p in known:
-            out.append(known[p][0])
-        else:
-            out.extend(byte + x for x in p.encode("utf-8", "surrogatepass"))
-    return out
+    return [p for p in parts if p], done
 
 
 # ---- documents
 
 
+def _stretches(texts: Iterator[str | None]) -> Iterator[tuple[int, str]]:
+    """Each text with the number of its stretch: a new one begins when ``STRETCH`` characters are passed."""
+    stretch, n = 0, 0
+    for text in texts:
+        if n and n + len(text or "") > STRETCH:
+            stretch, n = stretch + 1, 0
+        n += len(text or "")
+        yield stretch, text or ""
+
+
 def _words_of(docs: DataFrame, path: str) -> DataFrame:
-    """(unit, block): the distinct words of each partition that are no piece themselves."""
+    """(unit, block): the distinct words of each stretch of a partition that are no piece themselves; the block
+    is the partition's number and, in the low 24 bits, the stretch's."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path)[0]
         seen: set[str] = set()
-        block = None
+        block, last = [], 0
 
         def emit() -> Iterator[pa.RecordBatch]:
             some = [u for u in seen if u not in known and len(u) <= LONGEST]
             for at in range(0, len(some), ROW):
                 part = some[at : at + ROW]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, pa.string()), pa.array([block] * len(part), pa.int32())], ["unit", "block"]
-                )
+                own = pa.array([(block[0] << 24) + last] * len(part), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), own], ["unit", "block"])
+            seen.clear()
 
-        for batch in slices(batches):
-            for text, block in zip(batch.column("text").to_pylist(), batch.column("block").to_pylist()):
-                seen.update(units(text or ""))
-            if len(seen) > GATHERED:
+        def texts() -> Iterator[str | None]:
+            for batch in slices(batches):
+                block[:] = batch.column("block")[:1].to_pylist()
+                yield from batch.column("text").to_pylist()
+
+        for stretch, text in _stretches(texts()):
+            if stretch != last or len(seen) > GATHERED:
                 yield from emit()
-                seen = set()
-        if block is not None:
+                last = stretch
+            seen.update(units(text, path))
+        if seen:
             yield from emit()
 
-    return docs.select("text", F.spark_partition_id().alias("block")).mapInArrow(gather, "unit string, block int")
+    return docs.select("text", F.spark_partition_id().alias("block")).mapInArrow(gather, "unit string, block long")
+
+
+class _Words(dict):
+    """Words with their ids, four bytes each: the pieces, those stored for the stretch at hand, and up to
+    ``AT_HAND`` that were met beside them."""
+
+    def __init__(self, path: str, stored: Iterator[tuple[int, list[str], list[bytes]]]):
+        self.path, self.stored, self.ahead, self.stretch = path, stored, None, -1
+
+    def turn_to(self, stretch: int) -> None:
+        """Forget the words of the last stretch and read this one's; stretches are stored in order."""
+        if stretch == self.stretch:
+            return
+        self.clear()
+        self.update((p, np.int32(i).tobytes()) for p, (i, _) in vocabulary(self.path)[0].items())
+        self.stretch, self.met = stretch, []
+        self.ahead = self.ahead or next(self.stored, None)
+        while self.ahead and self.ahead[0] <= stretch:
+            if self.ahead[0] == stretch:
+                self.update(zip(*self.ahead[1:]))
+            self.ahead = next(self.stored, None)
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(self.met) >= AT_HAND:
+            for u in self.met:
+                del self[u]
+            self.met = []
+        self.met.append(unit)
+        ids = self[unit] = np.array(merged(unit, self.path), np.int32).tobytes()
+        return ids
 
 
 def encode(docs: DataFrame, path: str = MODEL, column: str = "ids", checked: str = "round_trip") -> DataFrame:
@@ -259,7 +416,7 @@ def encode(docs: DataFrame, path: str = MODEL, column: str = "ids", checked: str
 
     The words of all texts are made distinct over the corpus, sent through the lattice once, and written
     to the shared folder by the partition of ``docs`` that asked for them; each partition then reads
-    its own words and puts the texts together, so texts are never shuffled. NULL and empty texts have
+    its own words, a stretch of texts at a time, and puts the texts together, so texts are never shuffled. NULL and empty texts have
     no ids. All columns and rows of ``docs`` stay (any named like ``column`` or ``checked`` are replaced); only texts
     with the mark for a space itself do not decode to themselves, as the model has it.
     """
@@ -278,10 +435,10 @@ def encode(docs: DataFrame, path: str = MODEL, column: str = "ids", checked: str
                 for at in range(0, len(words), ROW):
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([block], pa.int32()), pa.array([words[at : at + ROW]], pa.list_(pa.string())),
-                            pa.array([ids[at : at + ROW]], pa.list_(pa.binary())),
+                            pa.array([block >> 24], pa.int32()), pa.array([block % (1 << 24)], pa.int32()),
+                            pa.array([words[at : at + ROW]], pa.list_(pa.string())), pa.array([ids[at : at + ROW]], pa.list_(pa.binary())),
                         ],
-                        ["block", "words", "word_ids"],
+                        ["block", "stretch", "words", "word_ids"],
                     )
 
         for batch in batches:
@@ -300,34 +457,38 @@ def encode(docs: DataFrame, path: str = MODEL, column: str = "ids", checked: str
         yield from emit()
 
     answers = coded.select("unit", "blocks", "ids").mapInArrow(
-        packed, "block int, words array<string>, word_ids array<binary>"
+        packed, "block int, stretch int, words array<string>, word_ids array<binary>"
     )
-    answers.repartition("block").write.partitionBy("block").parquet(folder)
+    answers.repartition("block").sortWithinPartitions("block", "stretch").write.partitionBy("block").parquet(folder)
     address = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     names = docs.columns
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table_, more = vocabulary(path)[0], None, {}
-        data = _bytes_of(path)
-        for batch in slices(batches):
-            if table_ is None:
-                table_ = _stored_words(address, batch.column("_block")[0].as_py())
-            out, sizes, same = [], [], []
-            for text in batch.column("text").to_pylist():
-                found = units(text or "")
-                if len(more) > AT_HAND:
-                    more.clear()
-                for u in found:
-                    if u not in table_ and u not in more:
-                        more[u] = np.array([known[u][0]] if u in known else merged(u, path), np.int32).tobytes()
-                out.append(b"".join([table_[u] if u in table_ else more[u] for u in found]))
-                sizes.append(len(out[-1]) // 4)
-                plain = b"".join(map(data.__getitem__, np.frombuffer(out[-1], np.int32).tolist()))
-                same.append(plain.removeprefix(b" ") == (text or "").encode("utf-8", "surrogatepass"))
-            offsets = pa.array(np.cumsum([0, *sizes]).astype(np.int32))
+        words, data = None, _bytes_of(path)
+        sliced: list[pa.RecordBatch] = []
+
+        def texts() -> Iterator[str | None]:
+            for batch in slices(batches):
+                sliced.append(batch)
+                yield from batch.column("text").to_pylist()
+
+        def answer(batch: pa.RecordBatch) -> pa.RecordBatch:
+            offsets = pa.array(np.cumsum([0, *(len(x) // 4 for x in out)]).astype(np.int32))
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(out), np.int32)))
             arrays = [*(batch.column(c) for c in names), ids, pa.array(same, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, [*names, column, checked])
+            return pa.RecordBatch.from_arrays(arrays, [*names, column, checked])
+
+        out, same = [], []
+        for stretch, text in _stretches(texts()):
+            if words is None:
+                words = _Words(path, _stored_words(address, sliced[0].column("_block")[0].as_py()))
+            words.turn_to(stretch)
+            out.append(b"".join(map(words.__getitem__, units(text, path))))
+            plain = b"".join(map(data.__getitem__, np.frombuffer(out[-1], np.int32).tolist()))
+            same.append(plain.removeprefix(b" ") == text.encode("utf-8", "surrogatepass"))
+            if len(out) == sliced[0].num_rows:
+                yield answer(sliced.pop(0))
+                out, same = [], []
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.withColumn("_block", F.spark_partition_id()).mapInArrow(
@@ -335,17 +496,16 @@ def encode(docs: DataFrame, path: str = MODEL, column: str = "ids", checked: str
     )
 
 
-def _stored_words(address: str, block: int) -> dict[str, bytes]:
-    """Each stored word of the block with its ids, four bytes each."""
+def _stored_words(address: str, block: int) -> Iterator[tuple[int, list[str], list[bytes]]]:
+    """(stretch, words, ids) of the block, by stretch; the rows of a block are in one file."""
     store, root = fs.FileSystem.from_uri(address)
     found = store.get_file_info(fs.FileSelector(f"{root}/block={block}", allow_not_found=True))
-    out: dict[str, bytes] = {}
     for info in found:
         if info.path.endswith(".parquet"):
             with store.open_input_file(info.path) as source:
-                for batch in pq.ParquetFile(source).iter_batches(batch_size=1, columns=["words", "word_ids"]):
-                    out.update(zip(batch.column("words").flatten().to_pylist(), batch.column("word_ids").flatten().to_pylist()))
-    return out
+                for batch in pq.ParquetFile(source).iter_batches(batch_size=1, columns=["stretch", "words", "word_ids"]):
+                    stretch, words, ids = (batch.column(c)[0].as_py() for c in ("stretch", "words", "word_ids"))
+                    yield stretch, words, ids
 
 
 def _bytes_of(path: str) -> dict[int, bytes]:
