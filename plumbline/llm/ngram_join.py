@@ -433,9 +433,19 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
 
 
 def first_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's smallest, with all columns."""
-    found = near_duplicates(docs, n, percent).where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    return docs.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
+    """One row of each group of near duplicates, that of the smallest doc_id, with all columns.
+
+    Rows are told apart by a number of their own, so rows that share a doc_id or have none (NULL comes
+    last in a group) are documents like others, and repeated rows leave one. Texts without a word are
+    linked with nothing and stay. No documents give no rows.
+    """
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rows = stored(whole.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), n, percent)
+    named = found.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", F.col("doc.doc_id").alias("id")), "row")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))).alias("first")
+    kept = named.groupBy("component_id").agg(first).select(F.col("first.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
