@@ -382,10 +382,17 @@ def _words_of(docs: DataFrame, path: str) -> DataFrame:
 
 class _Words(dict):
     """Words with their ids, four bytes each: the pieces, those stored for the stretch at hand, and up to
-    ``AT_HAND`` that were met beside them."""
+    ``AT_HAND`` that were met beside them. ``wrong`` tells whether any word of the stretch decodes to something else."""
 
     def __init__(self, path: str, stored: Iterator[tuple[int, list[str], list[bytes]]]):
-        self.path, self.stored, self.ahead, self.stretch = path, stored, None, -1
+        self.path, self.stored, self.ahead, self.stretch, self.wrong = path, stored, None, -1, False
+        self.data = _bytes_of(path)
+
+    def decoded(self, ids: bytes) -> bytes:
+        return b"".join(map(self.data.__getitem__, np.frombuffer(ids, np.int32).tolist()))
+
+    def differs(self, unit: str, ids: bytes) -> bool:
+        return self.decoded(ids) != unit.replace(SPACE, " ").encode("utf-8", "surrogatepass")
 
     def turn_to(self, stretch: int) -> None:
         """Forget the words of the last stretch and read this one's; stretches are stored in order."""
@@ -393,11 +400,12 @@ class _Words(dict):
             return
         self.clear()
         self.update((p, np.int32(i).tobytes()) for p, (i, _) in vocabulary(self.path)[0].items())
-        self.stretch, self.met = stretch, []
+        self.stretch, self.met, self.wrong = stretch, [], False
         self.ahead = self.ahead or next(self.stored, None)
         while self.ahead and self.ahead[0] <= stretch:
             if self.ahead[0] == stretch:
                 self.update(zip(*self.ahead[1:]))
+                self.wrong = self.wrong or any(map(self.differs, *self.ahead[1:]))
             self.ahead = next(self.stored, None)
 
     def __missing__(self, unit: str) -> bytes:
@@ -407,8 +415,15 @@ class _Words(dict):
             self.met = []
         self.met.append(unit)
         ids = self[unit] = np.array(merged(unit, self.path), np.int32).tobytes()
+        self.wrong = self.wrong or self.differs(unit, ids)
         return ids
 
+    def gives(self, text: str, ids: bytes) -> bool:
+        """Whether the text's ids decode to it. If each word's do, the text's give the text with marks as spaces."""
+        if not self.wrong:
+            return SPACE not in text
+        return self.decoded(ids).removeprefix(b" ") == text.encode("utf-8", "surrogatepass")
+
 
 def encode(docs: DataFrame, path: str = MODEL, column: str = "ids", checked: str = "round_trip") -> DataFrame:
     """``docs`` with ``column``: the ids of ``text``, equal to those of the model's own library, and
@@ -464,7 +479,7 @@ def encode(docs: DataFrame, path: str = MODEL, column: str = "ids", checked: str
     names = docs.columns
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, data = None, _bytes_of(path)
+        words = None
         sliced: list[pa.RecordBatch] = []
 
         def texts() -> Iterator[str | None]:
@@ -484,8 +499,7 @@ def encode(docs: DataFrame, path: str = MODEL, column: str = "ids", checked: str
                 words = _Words(path, _stored_words(address, sliced[0].column("_block")[0].as_py()))
             words.turn_to(stretch)
             out.append(b"".join(map(words.__getitem__, units(text, path))))
-            plain = b"".join(map(data.__getitem__, np.frombuffer(out[-1], np.int32).tolist()))
-            same.append(plain.removeprefix(b" ") == text.encode("utf-8", "surrogatepass"))
+            same.append(words.gives(text, out[-1]))
             if len(out) == sliced[0].num_rows:
                 yield answer(sliced.pop(0))
                 out, same = [], []
