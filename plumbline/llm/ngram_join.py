@@ -16,8 +16,13 @@ from plumbline.session import cut_lineage
 WORDS, PERCENT = 4, 85
 #: Texts of so many bytes are gathered before their n-grams are handed on, so that rows are worth packing.
 BLOCK_BYTES = 24 << 20
+#: Shingles of a part of the hash range, which one task sorts: parts are as many as the shingles ask for.
+PART_SHINGLES = 4 << 20
 #: Whole numbers of a set's parity sketch, 64 bits each.
 SKETCH = 16
+#: A prefix shingle is handed on with so many of those before it in its set's prefix, so that a pair of sets that
+#: share a run of them meets once. Pairs that meet again further on are made distinct afterwards.
+BEFORE = 16
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -60,7 +65,7 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
 
 
 def _packed(hashes: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash; within a part of the hash range they tell n-grams apart."""
+    """The upper 48 bits of each hash, which tell n-grams apart from here on."""
     return np.ascontiguousarray((hashes >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
@@ -108,16 +113,61 @@ def shingle_sets(docs: DataFrame, n: int = WORDS) -> DataFrame:
     )
 
 
-def shared_shingles(docs: DataFrame, n: int = WORDS, parts: int | None = None) -> DataFrame:
-    """(one, two, n, hashes, df): the shingles of each distinct set that some other set holds too, one
-    row per set and part of the hash range (``parts``, as many as shuffle partitions).
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes each as the largest needs."""
+    top = int(numbers.max(initial=0))
+    return numbers.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(k).max)).tobytes()
 
-    ``df`` is in how many distinct sets the shingle occurs. Sets are named, not numbered, so equal
-    texts are one set wherever they stand. A task gathers the sets of a block of texts, each set once,
-    and hands each part of the hash range on as one packed row; a part is then sorted, shingles of one
-    set fall out, and the others go back with their counts.
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers that ``_narrow`` packed."""
+    return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64) if data else np.zeros(0, np.int64)
+
+
+_BLOCK = "part int, names binary, sizes binary, counts binary, hashes binary, df binary"
+
+
+def _block(part: int, names: np.ndarray, sizes: np.ndarray, counts: np.ndarray, hashes: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
+    """One row: sets by name, their sizes, how many hashes each has here, and the hashes and counts in that order."""
+    columns = [names.tobytes(), _narrow(sizes), _narrow(counts), _packed(hashes), _narrow(df)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([part], pa.int32()), *(pa.array([c], pa.binary()) for c in columns)],
+        ["part", "names", "sizes", "counts", "hashes", "df"],
+    )
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The blocks of each part as one: names and sizes of its distinct sets, owner (a set's place), hash and count."""
+
+    def whole(rows: list) -> tuple[np.ndarray, ...]:
+        names = [np.frombuffer(r[0], np.int64).reshape(-1, 2) for r in rows]
+        sizes = np.concatenate([_wide(r[1], len(m)) for r, m in zip(rows, names)])
+        counts = np.concatenate([_wide(r[2], len(m)) for r, m in zip(rows, names)])
+        hashes = np.concatenate([_unpacked(r[3]) for r in rows])
+        df = np.concatenate([_wide(r[4], len(r[3]) // 6) for r in rows])
+        _, first, number = np.unique(names := np.concatenate(names), axis=0, return_index=True, return_inverse=True)
+        return names[first], sizes[first], np.repeat(number.reshape(-1), counts), hashes, df
+
+    part, rows = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("part", "names", "sizes", "counts", "hashes", "df"))):
+            if row[0] != part and rows:
+                yield whole(rows)
+                rows = []
+            part = row[0]
+            rows.append(row[1:])
+    if rows:
+        yield whole(rows)
+
+
+def shared_shingles(docs: DataFrame, n: int = WORDS, parts: int = 8) -> DataFrame:
+    """The shingles of each distinct set that some other set holds too, with ``df``, in how many distinct
+    sets each occurs, as blocks (``_block``) dealt out by the sets' names to ``parts`` parts.
+
+    Sets are named, not numbered, so equal texts are one set wherever they stand. A task gathers the
+    sets of a block of texts, each set once, and hands each of ``parts`` parts of the hash range on as one
+    packed row; a part is then sorted, shingles of one set fall out, and the others go back with their counts.
     """
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, seen, held = [], set(), 0
@@ -126,26 +176,17 @@ def shared_shingles(docs: DataFrame, n: int = WORDS, parts: int | None = None) -
             if not sets:
                 return
             sizes = np.array([len(s[1]) for s in sets])
+            names = np.array([s[0] for s in sets], np.int64)
             hashes = np.concatenate([s[1] for s in sets])
             owner = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
-            part = (hashes >> np.uint64(64 - 16)).astype(np.int64) * parts >> 16
+            part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             bounds = np.searchsorted(part[order], np.arange(parts + 1))
             for p in range(parts):
                 mine = order[bounds[p] : bounds[p + 1]]
                 if len(mine):
-                    own, back = np.unique(owner[mine], return_inverse=True)
-                    names = np.array([sets[i][0] for i in own], np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([p], pa.int32()),
-                            pa.array([_packed(hashes[mine])], pa.binary()),
-                            pa.array([back.astype(np.uint32 if len(own) > 65535 else np.uint16).tobytes()], pa.binary()),
-                            pa.array([names.tobytes()], pa.binary()),
-                            pa.array([sizes[own].astype(np.int32).tobytes()], pa.binary()),
-                        ],
-                        ["part", "hashes", "owner", "names", "sizes"],
-                    )
+                    own, counts = np.unique(owner[mine], return_counts=True)
+                    yield _block(p, names[own], sizes[own], counts, hashes[mine], np.zeros(0, np.int64))
 
         for batch in slices(batches):
             for text in batch.column("text").to_pylist():
@@ -160,29 +201,11 @@ def shared_shingles(docs: DataFrame, n: int = WORDS, parts: int | None = None) -
                     sets, seen, held = [], set(), 0
         yield from emit()
 
-    packed = docs.select("text").mapInArrow(
-        pack, "part int, hashes binary, owner binary, names binary, sizes binary"
-    )
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, rows = None, []
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            hashes = np.concatenate([_unpacked(r[0]) for r in rows])
-            names = np.concatenate([np.frombuffer(r[2], np.int64).reshape(-1, 2) for r in rows])
-            sizes = np.concatenate([np.frombuffer(r[3], np.int32) for r in rows])
-            owner, base = [], 0
-            for h, o, m, _ in rows:
-                kind = np.uint16 if len(o) * 3 == len(h) else np.uint32
-                owner.append(np.frombuffer(o, kind).astype(np.int64) + base)
-                base += len(m) // 16
-            owner = np.concatenate(owner)
-            # One number per distinct set; the same set from several blocks counts once.
-            _, first, number = np.unique(names, axis=0, return_index=True, return_inverse=True)
-            owner = number.reshape(-1)[owner]
-            names, sizes = names[first], sizes[first]
+        for names, sizes, owner, hashes, _ in _gathered(batches):
             order = np.lexsort((owner, hashes))
             hashes, owner = hashes[order], owner[order]
+            # The same set from several blocks counts once.
             fresh = np.r_[True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])]
             hashes, owner = hashes[fresh], owner[fresh]
             start = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
@@ -190,37 +213,19 @@ def shared_shingles(docs: DataFrame, n: int = WORDS, parts: int | None = None) -
             df = np.repeat(df, df)
             shared = df > 1
             hashes, owner, df = hashes[shared], owner[shared], df[shared]
-            order = np.argsort(owner, kind="stable")
-            hashes, owner, df = hashes[order].view(np.int64), owner[order], df[order]
-            bounds = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True]) if len(owner) else np.zeros(1, int)
-            for at in range(0, len(bounds) - 1, 10_000):
-                cuts = bounds[at : at + 10_001]
-                own, offsets = owner[cuts[:-1]], pa.array((cuts - cuts[0]).astype(np.int32))
-                span = slice(cuts[0], cuts[-1])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(names[own, 0]), pa.array(names[own, 1]), pa.array(sizes[own].astype(np.int32)),
-                        pa.ListArray.from_arrays(offsets, pa.array(hashes[span])),
-                        pa.ListArray.from_arrays(offsets, pa.array(df[span].astype(np.int64))),
-                    ],
-                    ["one", "two", "n", "hashes", "df"],
-                )
-
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("part", "hashes", "owner", "names", "sizes"))):
-                if row[0] != part and rows:
-                    yield from emit()
-                    rows = []
-                part = row[0]
-                rows.append(row[1:])
-        if rows:
-            yield from emit()
+            goes = (names[:, 0] % parts).astype(np.int32)
+            order = np.lexsort((owner, goes[owner]))
+            hashes, owner, df = hashes[order], owner[order], df[order]
+            bounds = np.searchsorted(goes[owner], np.arange(parts + 1))
+            for p in range(parts):
+                mine = slice(bounds[p], bounds[p + 1])
+                if bounds[p] < bounds[p + 1]:
+                    own, counts = np.unique(owner[mine], return_counts=True)
+                    yield _block(p, names[own], sizes[own], counts, hashes[mine], df[mine])
 
-    return (
-        packed.repartition(parts, "part")
-        .sortWithinPartitions("part")
-        .mapInArrow(count, "one long, two long, n int, hashes array<long>, df array<long>")
-    )
+    packed = docs.select("text").mapInArrow(pack, _BLOCK)
+    counted = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, _BLOCK)
+    return counted.repartition(parts, "part").sortWithinPartitions("part")
 
 
 def _sets_of(shared: DataFrame, percent: int) -> DataFrame:
@@ -228,53 +233,41 @@ def _sets_of(shared: DataFrame, percent: int) -> DataFrame:
     and their parities.
 
     A set's shingles stand by (df, hash); those in no other set come first and can match nothing. With
-    m of n shingles shared, m of n must reach ``percent``, else the set is similar to none. The parts
-    of a set, no more than its text has shingles, stream by in order.
+    m of n shingles shared, m of n must reach ``percent``, else the set is similar to none.
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, parts, rows = None, [], []
-
-        def closed() -> None:
-            hashes, df = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            if len(hashes) * 100 >= name[2] * percent:
-                rows.append((*name, hashes[np.lexsort((hashes, df))], parities(hashes)))
-
-        def batch_of(rows: list) -> pa.RecordBatch:
-            one, two, n, hashes, sketch = zip(*rows)
-            arrays = [pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(n, pa.int32())]
-            arrays += [pa.array(x, pa.list_(pa.int64())) for x in (hashes, sketch)]
-            return pa.RecordBatch.from_arrays(arrays, ["one", "two", "n", "hashes", "sketch"])
-
-        for batch in batches:
-            lists = [[x.values.to_numpy() for x in batch.column(c)] for c in ("hashes", "df")]
-            for one, two, n, hashes, df in zip(*(batch.column(c).to_pylist() for c in ("one", "two", "n")), *lists):
-                if name is not None and (one, two) != name[:2]:
-                    closed()
-                    parts = []
-                name = (one, two, n)
-                parts.append((hashes, df))
-            if len(rows) >= 1000:
-                yield batch_of(rows)
-                rows = []
-        if parts:
-            closed()
-        if rows:
-            yield batch_of(rows)
-
-    return (
-        shared.repartition("one", "two")
-        .sortWithinPartitions("one", "two")
-        .mapInArrow(merge, "one long, two long, n int, hashes array<long>, sketch array<long>")
-    )
+        for names, sizes, owner, hashes, df in _gathered(batches):
+            held = np.bincount(owner, minlength=len(names))
+            able = held * 100 >= sizes * percent
+            keep = able[owner]
+            hashes, owner, df = hashes[keep], owner[keep], df[keep]
+            order = np.lexsort((hashes, df, owner))
+            hashes = hashes[order].view(np.int64)
+            own = np.flatnonzero(able)
+            bounds = np.r_[0, np.cumsum(held[own])]
+            for at in range(0, len(own), 1000):
+                mine, cuts = own[at : at + 1000], bounds[at : at + 1001]
+                sketch = [parities(hashes[x:y]) for x, y in zip(cuts[:-1], cuts[1:])]
+                arrays = [pa.array(names[mine, 0]), pa.array(names[mine, 1]), pa.array(sizes[mine].astype(np.int32))]
+                lists = pa.ListArray.from_arrays(pa.array((cuts - cuts[0]).astype(np.int32)), pa.array(hashes[cuts[0] : cuts[-1]]))
+                arrays += [lists, pa.array(sketch, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["one", "two", "n", "hashes", "sketch"])
+
+    return shared.mapInArrow(merge, "one long, two long, n int, hashes array<long>, sketch array<long>")
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(hash, at, one, two, n): each set's rare-first prefix, without the shingles no other set has."""
+    """(hash, at, one, two, n, before): each set's rare-first prefix, without the shingles no other set has.
+
+    ``before`` holds the last ``BEFORE`` shingles of the prefix that come before the row's.
+    """
     need = F.ceil(F.col("n") * percent / 100)
     length = F.col("n") - need + 1 - (F.col("n") - F.size("hashes"))
     prefix = F.slice("hashes", 1, length.cast("int"))
-    return sets.select("one", "two", "n", F.size("hashes").alias("m"), F.posexplode(prefix).alias("at", "hash"))
+    rows = sets.select("one", "two", "n", F.size("hashes").alias("m"), "hashes", F.posexplode(prefix).alias("at", "hash"))
+    first = F.greatest(F.col("at") - BEFORE, F.lit(0))
+    return rows.withColumn("before", F.slice("hashes", first + 1, F.col("at") - first)).drop("hashes")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -330,20 +323,22 @@ def _not_too_far(percent: int):
 
 def _side(prefixes: DataFrame, side: str) -> DataFrame:
     names = {"one": f"{side}1", "two": f"{side}2", "n": f"{side}n", "m": f"{side}m", "at": f"{side}_at"}
-    more = {"g1": f"{side}g1", "g2": f"{side}g2", "far": f"{side}_far", "sketch": f"{side}_sketch"}
+    more = {c: f"{side}_{c}" for c in ("far", "sketch", "before")} | {"g1": f"{side}g1", "g2": f"{side}g2"}
     return prefixes.select("hash", *[F.col(k).alias(v) for k, v in (names | more).items() if k in prefixes.columns])
 
 
-def set_links(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a1, a2, b1, b2): links between distinct sets that connect all sets which any links connect.
+def set_groups(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(one, two, g1, g2): each distinct set that is linked with another, and the group that links make of it.
 
     1. Each prefix shingle's smallest set is its head. A set is verified with the head most of its
        shingles have: one pair per set, whatever the size of a group. Sets so linked are groups.
     2. Then with its other heads, as far as they are of other groups.
     3. Then all pairs of sets of different groups that share a prefix shingle. If distances d and e to
        the shingle's head are known and differ by more than the distance allowed, the pair is dropped:
-       distances obey the triangle inequality. So it is if the sets' parity sketches are too far apart.
-       Each pair left is verified once.
+       distances obey the triangle inequality. So it is if the sets' parity sketches are too far apart,
+       and where the shingle is not the first that the pair shares. Each pair left is verified once.
+
+    After each step groups are what further links join: links inside a group are not handed on.
     """
     sets = stored(_sets_of(shared, percent), "sets")
     prefixes = stored(_prefixes(sets, percent), "prefixes")
@@ -351,7 +346,7 @@ def set_links(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.min(F.struct("n", "one", "two", "m", "at")).alias("h"), F.count(F.lit(1)).alias("c")
     )
     heads = cut_lineage(heads.where("c > 1").select("hash", "h.*"))
-    star = _side(heads, "a").join(_side(prefixes, "b"), "hash").where(
+    star = _side(heads, "a").join(_side(prefixes.drop("before"), "b"), "hash").where(
         _may_link(percent) & ((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2")))
     )
     star = cut_lineage(star.groupBy(*_PAIR).agg(F.count(F.lit(1)).alias("c")))
@@ -359,12 +354,12 @@ def set_links(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
     measured = cut_lineage(verify(nearest.select("h.a1", "h.a2", "b1", "b2"), sets, percent))
     links = measured.where(_LINKED.format(p=percent)).select(*_PAIR)
 
-    groups = _groups(links)
+    groups = cut_lineage(_groups(links))
     others = _apart(star.select(*_PAIR).join(measured.select(*_PAIR), _PAIR, "left_anti"), groups)
-    measured = cut_lineage(measured.unionByName(verify(others, sets, percent)))
-    links = measured.where(_LINKED.format(p=percent)).select(*_PAIR)
+    second = cut_lineage(verify(others, sets, percent))
+    groups = cut_lineage(_merged(groups, second.where(_LINKED.format(p=percent)).select(*_PAIR)))
+    measured = measured.unionByName(second)
 
-    groups = _groups(links)
     far = measured.select(
         F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.col("b1").alias("one"), F.col("b2").alias("two"),
         (1 - F.col("both") / (F.col("an") + F.col("bn") - F.col("both"))).alias("far"),
@@ -374,7 +369,7 @@ def set_links(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
     is_head = (F.col("one") == F.col("h1")) & (F.col("two") == F.col("h2"))
     placed = stored(
         placed.select(
-            "hash", "one", "two", "n", "m", "at", F.coalesce("g1", "one").alias("g1"), F.coalesce("g2", "two").alias("g2"),
+            "hash", "one", "two", "n", "m", "at", "before", F.coalesce("g1", "one").alias("g1"), F.coalesce("g2", "two").alias("g2"),
             F.when(is_head, 0.0).otherwise(F.col("far")).alias("far"),
         ),
         "placed",
@@ -386,21 +381,44 @@ def set_links(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = _side(open_, "a").join(_side(open_, "b"), "hash").where(
         (F.struct("an", "a1", "a2") < F.struct("bn", "b1", "b2"))
         & ((F.col("ag1") != F.col("bg1")) | (F.col("ag2") != F.col("bg2")))
+        & ~F.arrays_overlap("a_before", "b_before")
         & _may_link(percent)
         & apart
         & _not_too_far(percent)
     )
     pairs = pairs.select(*_PAIR).distinct().join(measured.select(*_PAIR), _PAIR, "left_anti")
     more = verify(pairs, sets, percent).where(_LINKED.format(p=percent)).select(*_PAIR)
-    return links.unionByName(cut_lineage(more))
+    return _merged(groups, more)
+
+
+def _with_groups(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``pairs`` with ``ag`` and ``bg``, the names of their sets' groups; a set in none is its own."""
+    for side in "ab":
+        one, two = f"{side}1", f"{side}2"
+        named = groups.select(F.col("one").alias(one), F.col("two").alias(two), F.struct(F.col("g1").alias("one"), F.col("g2").alias("two")).alias("g"))
+        own = F.struct(F.col(one).alias("one"), F.col(two).alias("two"))
+        pairs = pairs.join(named, [one, two], "left").withColumn(f"{side}g", F.coalesce("g", own)).drop("g")
+    return pairs
 
 
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs whose sets are not of one group."""
-    a = groups.select(F.col("one").alias("a1"), F.col("two").alias("a2"), F.struct("g1", "g2").alias("ag"))
-    b = groups.select(F.col("one").alias("b1"), F.col("two").alias("b2"), F.struct("g1", "g2").alias("bg"))
-    joined = pairs.join(a, ["a1", "a2"], "left").join(b, ["b1", "b2"], "left")
-    return joined.where("ag IS NULL OR bg IS NULL OR ag <> bg").select(*_PAIR)
+    return _with_groups(pairs, groups).where("ag <> bg").select(*_PAIR)
+
+
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` joined by ``links`` between their sets, and by those of sets in none as yet.
+
+    Links between the same two groups are one edge, so a group of very many near copies whose pairs all
+    link makes no more edges than it has groups that met.
+    """
+    edges = cut_lineage(_with_groups(links, groups).select(F.col("ag").alias("a"), F.col("bg").alias("b")).distinct())
+    found = components(edges).select(F.col("node.one").alias("g1"), F.col("node.two").alias("g2"), "component")
+    old = groups.join(found, ["g1", "g2"], "left").select(
+        "one", "two", F.coalesce("component.one", "g1").alias("g1"), F.coalesce("component.two", "g2").alias("g2")
+    )
+    fresh = found.join(groups.select(F.col("g1"), F.col("g2")), ["g1", "g2"], "left_anti")
+    return old.unionByName(fresh.select(F.col("g1").alias("one"), F.col("g2").alias("two"), F.col("component.one").alias("g1"), F.col("component.two").alias("g2")))
 
 
 def _groups(links: DataFrame) -> DataFrame:
@@ -420,8 +438,9 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     of theirs. Only ``doc_id`` and ``text`` are read. No documents give no rows.
     """
     named = stored(shingle_sets(docs, n), "named")
-    links = set_links(shared_shingles(docs, n), percent)
-    groups = _groups(links)
+    total = named.agg(F.sum("n_shingles")).first()[0] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // PART_SHINGLES))
+    groups = set_groups(shared_shingles(docs, n, parts), percent)
     full = named.where("n_shingles > 0")
     heads = full.groupBy("one", "two").agg(F.min("doc_id").alias("first"))
     grouped = heads.join(groups, ["one", "two"], "left")
