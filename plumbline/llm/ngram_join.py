@@ -70,8 +70,9 @@ def _packed(hashes: np.ndarray) -> bytes:
 
 
 def _unpacked(data: bytes) -> np.ndarray:
+    """The hashes with their lower 16 bits 0, so that they can be packed again."""
     out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
     return out.view(np.uint64).ravel()
 
 

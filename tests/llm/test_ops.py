@@ -157,6 +157,20 @@ def test_ngram_join_against_all_pairs(spark, n, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows, n, percent)
 
 
+def test_ngram_blocks_keep_numbers_and_owners():
+    for numbers in ([], [0], [255, 256, 0], [70_000, 1], [2**33, 5]):
+        assert ngram_join._wide(ngram_join._narrow(np.array(numbers, np.int64)), len(numbers)).tolist() == numbers
+    hashes = np.array([1 << 20, 5 << 40, 3 << 60], np.uint64)
+    names = np.array([[7, -1], [-3, 2]], np.int64)
+    one = ngram_join._block(0, names, np.array([2, 300]), np.array([1, 2]), hashes, np.zeros(0, np.int64))
+    two = ngram_join._block(0, names[1:], np.array([300]), np.array([1]), hashes[:1], np.zeros(0, np.int64))
+    ((found, sizes, owner, held, df),) = ngram_join._gathered(iter([one, two]))
+    assert found.tolist() == [[-3, 2], [7, -1]] and sizes.tolist() == [300, 2]
+    assert len(df) == 0
+    assert owner.tolist() == [1, 0, 0, 0] and held.tolist() == [1 << 20, 5 << 40, 3 << 60, 1 << 20]
+    assert ngram_join._packed(held[:3]) == ngram_join._packed(hashes)
+
+
 def test_ngram_join_awkward_rows(awkward, none):
     found = ngram_join.near_duplicates(awkward).collect()
     assert len(found) == len(AWKWARD)
